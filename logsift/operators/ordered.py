@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark import StorageLevel
 
 DEFAULT_CHUNK_BITS = 16
 UNBOUNDED = Window.unboundedPreceding
@@ -30,14 +31,25 @@ def chunk_window(key: str, chunk: str, ord_col: str) -> Window:
 
 def prefix_over_chunks(summary: DataFrame, key: str, chunk: str,
                        exprs: dict[str, Column]) -> DataFrame:
-    """Evaluate window aggregates over the *previous* chunks of each key.
+    """Add window aggregates over the *previous* chunks of each key.
 
     ``exprs`` maps output names to aggregate columns (``F.sum(...)``,
-    ``F.max(...)``, ``F.last(..., ignorenulls=True)``); they are evaluated
-    over rows ``unbounded preceding .. 1 preceding`` of the chunk table.
-    """
+    ``F.max(...)``, ``F.last(..., ignorenulls=True)``), evaluated over
+    rows ``unbounded preceding .. 1 preceding`` of the chunk table.  The
+    columns are added in place (no self-join), so the summary is computed
+    once."""
     w = Window.partitionBy(key).orderBy(chunk).rowsBetween(UNBOUNDED, -1)
-    return summary.select(key, chunk, *[e.over(w).alias(n) for n, e in exprs.items()])
+    for n, e in exprs.items():
+        summary = summary.withColumn(n, e.over(w))
+    return summary
+
+
+def reuse(df: DataFrame) -> DataFrame:
+    """Materialise a frame that two branches of one plan read (the chunk
+    summary and the row branch of a two-level scan), so the scan, shuffle
+    and sort under it run once.  Blocks lost with an executor are rebuilt
+    from lineage."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def dense_positions(df: DataFrame, key: str, order_cols: list[str], chunk: Column,
@@ -48,9 +60,9 @@ def dense_positions(df: DataFrame, key: str, order_cols: list[str], chunk: Colum
     sorts before every row of a larger one), e.g. ``ord >> bits``."""
     d = df.withColumn("_chunk", chunk)
     w = Window.partitionBy(key, "_chunk").orderBy(*order_cols)
-    d = d.withColumn("_local", F.row_number().over(w))
+    d = reuse(d.withColumn("_local", F.row_number().over(w)))
     counts = d.groupBy(key, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    before = prefix_over_chunks(counts, key, "_chunk", {"_before": F.sum("_n")})
+    before = prefix_over_chunks(counts, key, "_chunk", {"_before": F.sum("_n")}).drop("_n")
     return (d.join(before, [key, "_chunk"])
              .withColumn(out, F.coalesce(F.col("_before"), F.lit(0)) + F.col("_local"))
              .drop("_chunk", "_local", "_before"))

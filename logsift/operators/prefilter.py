@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from logsift.functions import text as T
 from logsift.operators.ordered import (DEFAULT_CHUNK_BITS, UNBOUNDED, chunk_of,
-                                       chunk_window, prefix_over_chunks)
+                                       chunk_window, prefix_over_chunks, reuse)
 
 BLANK, DEBUG, CONTENT = 0, 1, 2
 
@@ -85,7 +85,7 @@ def collapse_runs(lines: DataFrame, chunk_bits: int = DEFAULT_CHUNK_BITS,
     local_new = ((F.col("kind") == CONTENT) & F.col("prev").isNotNull()
                  & (F.col("norm") != F.col("prev"))).cast("int")
     x = x.withColumn("lnew", local_new)
-    x = x.withColumn("lcum", F.sum("lnew").over(wc.rowsBetween(UNBOUNDED, 0)))
+    x = reuse(x.withColumn("lcum", F.sum("lnew").over(wc.rowsBetween(UNBOUNDED, 0))))
 
     content_ord = F.when(F.col("kind") == CONTENT, F.col("ord"))
     summ = x.groupBy("session_id", "chunk").agg(
@@ -94,15 +94,13 @@ def collapse_runs(lines: DataFrame, chunk_bits: int = DEFAULT_CHUNK_BITS,
         F.min_by("norm", content_ord).alias("first_norm"),
         F.max_by("norm", content_ord).alias("last_norm"),
         F.sum("lnew").alias("n_lnew"))
-    prev = prefix_over_chunks(summ, "session_id", "chunk",
+    summ = prefix_over_chunks(summ, "session_id", "chunk",
                               {"prev_last": F.last("last_norm", ignorenulls=True)})
-    summ = summ.join(prev, ["session_id", "chunk"])
     first_new = ((F.col("n_content") > 0)
                  & (F.col("prev_last").isNull() | (F.col("first_norm") != F.col("prev_last")))).cast("long")
     summ = summ.withColumn("first_new", first_new).withColumn(
         "runs_here", F.col("first_new") + F.col("n_lnew"))
-    before = prefix_over_chunks(summ, "session_id", "chunk", {"runs_before": F.sum("runs_here")})
-    summ = summ.join(before, ["session_id", "chunk"])
+    summ = reuse(prefix_over_chunks(summ, "session_id", "chunk", {"runs_before": F.sum("runs_here")}))
 
     stats = summ.groupBy("session_id").agg(
         F.sum("n_debug").alias("removed_debug"),

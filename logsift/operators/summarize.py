@@ -9,12 +9,12 @@ giant session costs a few small rows after the map side.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logsift.functions import text as T
 from logsift.operators.classify import ANOMALY, CRITICAL, WARNING, classify_lines
-from logsift.operators.ordered import DEFAULT_CHUNK_BITS, first_n
+from logsift.operators.ordered import DEFAULT_CHUNK_BITS, UNBOUNDED, first_n, reuse
 from logsift.operators.prefilter import pre_filter
 
 ERROR_STRUCT = "array<struct<line:int,msg:string,severity:string>>"
@@ -71,33 +71,65 @@ def severity_of(errors: Column) -> Column:
              .otherwise(F.lit("info")))
 
 
+def _finish(counts_and_lists: DataFrame) -> DataFrame:
+    return counts_and_lists.select(
+        "session_id",
+        T.summary_sentence(F.col("total"), F.col("n_errors"), F.col("n_anomalies"),
+                           F.col("last_error"), F.col("has_tb")).alias("summary"),
+        F.coalesce(F.col("errors"), F.array().cast(ERROR_STRUCT)).alias("errors"),
+        F.coalesce(F.transform(F.col("_an"), lambda a: a["text"]),
+                   F.array().cast("array<string>")).alias("anomalies"),
+        root_cause_hint().alias("root_cause_hint"),
+        "total", "n_errors", "n_anomalies",
+        F.when(F.col("n_critical") > 0, F.lit("critical"))
+         .when(F.col("n_errors") > 0, F.lit("warning"))
+         .otherwise(F.lit("info")).alias("severity_all"),
+    ).withColumn("severity", severity_of(F.col("errors")))
+
+
 def rule_based_summary(lines: DataFrame, pos: str = "line_no", line: str = "line",
-                       chunk_bits: int = DEFAULT_CHUNK_BITS) -> DataFrame:
+                       chunk_bits: int = DEFAULT_CHUNK_BITS, bounded: bool = False) -> DataFrame:
     """W8 over lines with dense positions: one row per session that has
     lines: session_id, summary, errors, anomalies, root_cause_hint,
-    severity (over the listed errors), severity_all (over all errors)."""
-    c = classify_lines(lines, pos=pos, line=line, chunk_bits=chunk_bits)
+    severity (over the listed errors), severity_all (over all errors).
+
+    ``bounded=True`` (each session's lines are bounded, as after the byte
+    cap): one per-session window gives classes and list ranks, and one
+    aggregate gives every output; the lists are bounded by their caps."""
+    c = classify_lines(lines, pos=pos, line=line, chunk_bits=chunk_bits, bounded=bounded)
     if pos != "line_no":
         c = c.withColumnRenamed(pos, "line_no")
+    if bounded:
+        w = Window.partitionBy("session_id").orderBy("line_no").rowsBetween(UNBOUNDED, 0)
+        is_an = F.col("cls") == ANOMALY
+        c = (c.withColumn("_er", F.sum(_is_err().cast("int")).over(w))
+              .withColumn("_ar", F.sum(is_an.cast("int")).over(w)))
+        err = F.when(_is_err() & (F.col("_er") <= T.MAX_ERRORS), F.struct(
+            F.col("line_no").cast("int").alias("line"), F.col("err_msg").alias("msg"),
+            F.col("cls").alias("severity")))
+        an = F.when(is_an & (F.col("_ar") <= T.MAX_ANOMALIES), F.struct(
+            F.col("line_no").cast("int").alias("line"),
+            T.anomaly_text(F.col("line_no"), F.col("msg")).alias("text")))
+        line_no = F.col("line_no")
+        agg = c.groupBy("session_id").agg(
+            F.count(F.lit(1)).alias("total"),
+            F.count_if(_is_err()).alias("n_errors"),
+            F.count_if(is_an).alias("n_anomalies"),
+            F.bool_or("in_tb").alias("has_tb"),
+            F.max_by("err_msg", F.when(_is_err(), line_no)).alias("last_error"),
+            F.max_by("msg", F.when(F.col("cls") == CRITICAL, line_no)).alias("last_critical"),
+            F.max_by("msg", F.when(F.col("in_tb"), line_no)).alias("last_tb"),
+            F.count_if(F.col("cls") == CRITICAL).alias("n_critical"),
+            F.array_sort(F.collect_list(err)).alias("errors"),
+            F.array_sort(F.collect_list(an)).alias("_an"))
+        return _finish(agg)
+    c = reuse(c)
     counts = session_counts(c)
     errs = (error_list(c).groupBy("session_id")
             .agg(F.array_sort(F.collect_list(F.struct("line", "msg", "severity"))).alias("errors")))
     anoms = (anomaly_list(c).groupBy("session_id")
              .agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("_an")))
-    out = (counts.join(errs, "session_id", "left").join(anoms, "session_id", "left")
-           .select(
-               "session_id",
-               T.summary_sentence(F.col("total"), F.col("n_errors"), F.col("n_anomalies"),
-                                  F.col("last_error"), F.col("has_tb")).alias("summary"),
-               F.coalesce(F.col("errors"), F.array().cast(ERROR_STRUCT)).alias("errors"),
-               F.coalesce(F.transform(F.col("_an"), lambda a: a["text"]),
-                          F.array().cast("array<string>")).alias("anomalies"),
-               root_cause_hint().alias("root_cause_hint"),
-               "total", "n_errors", "n_anomalies",
-               F.when(F.col("n_critical") > 0, F.lit("critical"))
-                .when(F.col("n_errors") > 0, F.lit("warning"))
-                .otherwise(F.lit("info")).alias("severity_all")))
-    return out.withColumn("severity", severity_of(F.col("errors")))
+    return _finish(counts.join(errs, "session_id", "left").join(anoms, "session_id", "left"))
 
 
 def empty_summary_sentence() -> Column:
@@ -112,7 +144,7 @@ def compress_sessions(lines: DataFrame, max_bytes: int | None = T.DEFAULT_MAX_BY
     severity, severity_all, total, n_errors, n_anomalies, kept,
     removed_debug, removed_duplicate, total_removed, used_llm."""
     fr = pre_filter(lines, max_bytes=max_bytes, chunk_bits=chunk_bits, **cols)
-    rs = rule_based_summary(fr.kept, chunk_bits=chunk_bits)
+    rs = rule_based_summary(fr.kept, chunk_bits=chunk_bits, bounded=max_bytes is not None)
     s = fr.stats.join(rs, "session_id", "left")
     return s.select(
         "session_id",

@@ -146,7 +146,7 @@ def q_filter_stats(spark, d):
 
 
 def _classified(spark, d):
-    return classify_lines(pre_filter(event_lines(spark, d)).kept)
+    return classify_lines(pre_filter(event_lines(spark, d)).kept, bounded=True)
 
 
 def q_classify_lines(spark, d):
