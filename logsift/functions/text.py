@@ -49,6 +49,9 @@ STDOUT_DIGEST_CHARS = 800
 STDERR_DIGEST_CHARS = 400
 REJECTED_DIGEST_CHARS = 300
 OUTPUT_CAP_CHARS = 512 * 1024
+RESULT_TITLE = "*Sandbox sonucu*"
+RESULT_OK = "✅ Başarılı"
+RESULT_FAILED = "❌ Başarısız"
 # ---------------------------------------------------------------------------
 
 # Whitespace as Python's str.isspace()/str.strip() define it (a rule, not a

@@ -115,8 +115,8 @@ def result_message(session_id: Column, command: Column, exit_code: Column,
                    stdout: Column, stderr: Column) -> Column:
     """F16: webhook text; stdout only on success, stderr only on failure."""
     ok = exit_code == 0
-    status = F.when(ok, F.lit("✅ Başarılı")).otherwise(F.lit("❌ Başarısız"))
-    head = F.format_string("*Sandbox sonucu*\n*session_id:* %s\n*command:* `%s`\n*status:* %s\n",
+    status = F.when(ok, F.lit(T.RESULT_OK)).otherwise(F.lit(T.RESULT_FAILED))
+    head = F.format_string(T.RESULT_TITLE + "\n*session_id:* %s\n*command:* `%s`\n*status:* %s\n",
                            session_id, command, status)
     out = F.when(ok & (F.coalesce(stdout, F.lit("")) != ""),
                  F.format_string("*stdout:*```\n%s\n```\n", stdout)).otherwise(F.lit(""))

@@ -387,10 +387,10 @@ FROM pages"""
     s["latest_results"] = with_(COMMANDS, RESULTS) + """
 SELECT sandbox_id, ingest_seq, command, exit_code, status, length(stdout) AS stdout_chars, stderr
 FROM (SELECT *, row_number() OVER (PARTITION BY sandbox_id ORDER BY ingest_seq DESC) AS rn FROM results) WHERE rn = 1"""
-    s["result_report"] = with_(COMMANDS, RESULTS) + """
+    s["result_report"] = with_(COMMANDS, RESULTS) + f"""
 SELECT sandbox_id, ingest_seq, status,
-       '*Sandbox sonucu*' || chr(10) || '*session_id:* ' || sandbox_id || chr(10) || '*command:* `' || command || '`'
-       || chr(10) || '*status:* ' || CASE WHEN exit_code = 0 THEN '✅ Başarılı' ELSE '❌ Başarısız' END || chr(10)
+       '{T.RESULT_TITLE}' || chr(10) || '*session_id:* ' || sandbox_id || chr(10) || '*command:* `' || command || '`'
+       || chr(10) || '*status:* ' || CASE WHEN exit_code = 0 THEN '{T.RESULT_OK}' ELSE '{T.RESULT_FAILED}' END || chr(10)
        || CASE WHEN exit_code = 0 AND left(stdout, 200) <> '' THEN '*stdout:*```' || chr(10) || left(stdout, 200) || chr(10) || '```' || chr(10) ELSE '' END
        || CASE WHEN exit_code <> 0 AND stderr <> '' THEN '*stderr:*```' || chr(10) || stderr || chr(10) || '```' || chr(10) ELSE '' END AS message,
        CASE WHEN exit_code = 0 THEN ':white_check_mark:' ELSE ':x:' END || ' Sandbox Result' || chr(10)
