@@ -142,12 +142,14 @@ def utf8_len(c: Column) -> Column:
 
 
 # --- run annotation (W1/W2 helpers) ---------------------------------------
-def annotation_bytes(n: Column) -> Column:
-    """UTF-8 length of `` [x2] [x3] ... [xn]`` without building it:
-    sum over k=2..n of (4 + digits(k)).  digits summed over 1..n is
-    sum over e>=0 of max(n - 10^e + 1, 0)."""
-    digit_sum = sum(F.greatest(n - F.lit(10 ** e) + 1, F.lit(0)) for e in range(19))
-    return F.when(n > 1, (n - 1) * 4 + digit_sum - 1).otherwise(F.lit(0)).cast("long")
+def annotation_bytes(n: str) -> Column:
+    """UTF-8 length of `` [x2] [x3] ... [xn]`` for the count column named
+    ``n``, without building the text: sum over k=2..n of (4 + digits(k)),
+    where digits summed over 1..n is sum over e < digits(n) of (n - 10^e + 1).
+    One SQL expression, parsed once by the JVM."""
+    return F.expr(
+        f"CASE WHEN {n} > 1 THEN ({n} - 1) * 4 - 1 + aggregate(sequence(0, length(CAST({n} AS STRING)) - 1), "
+        f"CAST(0 AS BIGINT), (acc, e) -> acc + {n} - CAST(power(10, e) AS BIGINT) + 1) ELSE 0 END").cast("long")
 
 
 def annotation_text(n: Column) -> Column:

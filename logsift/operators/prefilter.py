@@ -42,24 +42,33 @@ BLANK, DEBUG, CONTENT = 0, 1, 2
 class FilterResult:
     kept: DataFrame   # session_id, line_no, ord, n, line
     stats: DataFrame  # session_id, kept, removed_debug, removed_duplicate, total_removed
-    runs: DataFrame   # session_id, run_no, ord, n, line (all runs, before the cap)
+    runs: DataFrame   # session_id, run_no, ord, n, st (runs that can fit the cap)
+    removal: DataFrame  # session_id, removed_debug, removed_duplicate, total_removed (every session)
 
 
 def line_kinds(lines: DataFrame, session: str = "session_id", ord_col: str = "ord",
-               line: str = "line") -> DataFrame:
+               line: str = "line", cluster_bits: int | None = None) -> DataFrame:
     """P2 + P3 as flags: (session_id, ord, kind, st).  ``st`` is the
-    stripped text, kept only for content lines."""
+    stripped text, kept only for content lines.
+
+    With ``cluster_bits`` the raw lines are first hash-partitioned by
+    ``(session_id, chunk)``: the text rules then run in the reducers that
+    also do the ordered work, and only the raw line crosses the shuffle."""
+    base = lines.select(F.col(session).alias("session_id"),
+                        F.col(ord_col).cast("long").alias("ord"),
+                        F.col(line).alias("_line"))
+    if cluster_bits is not None:
+        base = (base.withColumn("chunk", chunk_of(F.col("ord"), cluster_bits))
+                    .repartition("session_id", "chunk"))
     st = F.col("_st")
     noise = (st == "") | st.startswith(T.META_PREFIX)
     kind = (F.when(noise, F.lit(BLANK))
              .when(T.is_debug(st), F.lit(DEBUG))
              .otherwise(F.lit(CONTENT)))
-    return (lines.select(F.col(session).alias("session_id"),
-                         F.col(ord_col).cast("long").alias("ord"),
-                         T.ustrip(F.coalesce(F.col(line), F.lit(""))).alias("_st"))
-                 .withColumn("kind", kind)
-                 .select("session_id", "ord", "kind",
-                         F.when(F.col("kind") == CONTENT, F.col("_st")).alias("st")))
+    keep = ["session_id", "ord"] + (["chunk"] if cluster_bits is not None else [])
+    return (base.withColumn("_st", T.ustrip(F.coalesce(F.col("_line"), F.lit(""))))
+                .withColumn("kind", kind)
+                .select(*keep, "kind", F.when(F.col("kind") == CONTENT, F.col("_st")).alias("st")))
 
 
 def drop_noise(lines: DataFrame, **cols) -> DataFrame:
@@ -77,23 +86,31 @@ def collapse_runs(lines: DataFrame, chunk_bits: int = DEFAULT_CHUNK_BITS,
     ``run_no > max_run_no`` are not materialised (their counts still are).
     ``chunk_stats``: per-session removed_debug, n_content, n_runs.
     """
-    x = line_kinds(lines, **cols).withColumn("chunk", chunk_of(F.col("ord"), chunk_bits))
+    x = line_kinds(lines, cluster_bits=chunk_bits, **cols)
     x = x.withColumn("norm", F.when(F.col("kind") == CONTENT, T.dedup_key(F.col("st"))))
     wc = chunk_window("session_id", "chunk", "ord")
+    whole = wc.rowsBetween(UNBOUNDED, Window.unboundedFollowing)
     # previous content line's key inside the chunk (debug/blank lines carry NULL)
     x = x.withColumn("prev", F.last("norm", ignorenulls=True).over(wc.rowsBetween(UNBOUNDED, -1)))
-    local_new = ((F.col("kind") == CONTENT) & F.col("prev").isNotNull()
-                 & (F.col("norm") != F.col("prev"))).cast("int")
-    x = x.withColumn("lnew", local_new)
-    x = reuse(x.withColumn("lcum", F.sum("lnew").over(wc.rowsBetween(UNBOUNDED, 0))))
-
-    content_ord = F.when(F.col("kind") == CONTENT, F.col("ord"))
-    summ = x.groupBy("session_id", "chunk").agg(
-        F.count_if(F.col("kind") == DEBUG).alias("n_debug"),
-        F.count_if(F.col("kind") == CONTENT).alias("n_content"),
-        F.min_by("norm", content_ord).alias("first_norm"),
-        F.max_by("norm", content_ord).alias("last_norm"),
-        F.sum("lnew").alias("n_lnew"))
+    x = x.withColumn("lnew", ((F.col("kind") == CONTENT) & F.col("prev").isNotNull()
+                              & (F.col("norm") != F.col("prev"))).cast("int"))
+    # chunk-level values ride on every row of the same window pass, so the
+    # chunk summary is one row per chunk, with no aggregate and no shuffle
+    x = x.withColumns({
+        "lcum": F.sum("lnew").over(wc.rowsBetween(UNBOUNDED, 0)),
+        "_rn": F.row_number().over(wc),
+        "c_debug": F.sum((F.col("kind") == DEBUG).cast("long")).over(whole),
+        "c_content": F.sum((F.col("kind") == CONTENT).cast("long")).over(whole),
+        "c_first": F.first("norm", ignorenulls=True).over(whole),
+        "c_last": F.last("norm", ignorenulls=True).over(whole),
+        "c_lnew": F.sum("lnew").over(whole),
+    })
+    x = reuse(x)
+
+    summ = x.where(F.col("_rn") == 1).select(
+        "session_id", "chunk", F.col("c_debug").alias("n_debug"), F.col("c_content").alias("n_content"),
+        F.col("c_first").alias("first_norm"), F.col("c_last").alias("last_norm"),
+        F.col("c_lnew").cast("long").alias("n_lnew"))
     summ = prefix_over_chunks(summ, "session_id", "chunk",
                               {"prev_last": F.last("last_norm", ignorenulls=True)})
     first_new = ((F.col("n_content") > 0)
@@ -112,12 +129,21 @@ def collapse_runs(lines: DataFrame, chunk_bits: int = DEFAULT_CHUNK_BITS,
     rows = (x.where(F.col("kind") == CONTENT)
              .join(carry, ["session_id", "chunk"])
              .withColumn("run_no", F.col("runs_before") + F.col("first_new") + F.col("lcum")))
-    if max_run_no is not None:
-        rows = rows.where(F.col("run_no") <= max_run_no)
-    runs = rows.groupBy("session_id", "run_no").agg(
-        F.min("ord").alias("ord"),
-        F.min_by("st", F.col("ord")).alias("st"),
-        F.count(F.lit(1)).alias("n"))
+    if max_run_no is None:
+        runs = rows.groupBy("session_id", "run_no").agg(
+            F.min("ord").alias("ord"), F.min_by("st", F.col("ord")).alias("st"),
+            F.count(F.lit(1)).alias("n"))
+        return runs, stats
+    # only runs that can fit; their pieces are combined inside each chunk on
+    # the existing partitioning, then one shuffle by session serves both the
+    # run totals and the per-session byte-cap window
+    pieces = (rows.where(F.col("run_no") <= max_run_no)
+                  .groupBy("session_id", "chunk", "run_no")
+                  .agg(F.min("ord").alias("ord"), F.min_by("st", F.col("ord")).alias("st"),
+                       F.count(F.lit(1)).alias("n")))
+    runs = (pieces.repartition("session_id").groupBy("session_id", "run_no")
+                  .agg(F.min("ord").alias("ord"), F.min_by("st", F.col("ord")).alias("st"),
+                       F.sum("n").alias("n")))
     return runs, stats
 
 
@@ -127,7 +153,7 @@ def byte_cap(runs: DataFrame, max_bytes: int | None) -> DataFrame:
     Adds ``bytes`` (line incl. annotation + 1) and ``cum_bytes``; keeps
     only fitting runs.  ``runs`` must hold only runs with
     ``run_no <= max_bytes // 2`` (bounded per session)."""
-    b = T.utf8_len(F.col("st")) + T.annotation_bytes(F.col("n")) + 1
+    b = T.utf8_len(F.col("st")) + T.annotation_bytes("n") + 1
     r = runs.withColumn("bytes", b.cast("long"))
     if max_bytes is None:
         return r.withColumn("cum_bytes", F.lit(None).cast("long"))
@@ -147,10 +173,12 @@ def pre_filter(lines: DataFrame, max_bytes: int | None = T.DEFAULT_MAX_BYTES,
         F.concat(F.col("st"), T.annotation_text(F.col("n"))).alias("line"),
         "bytes", "cum_bytes")
     kept_counts = kept.groupBy("session_id").agg(F.count(F.lit(1)).alias("kept"))
-    stats = (counts.join(kept_counts, "session_id", "left")
-                   .select("session_id",
-                           F.coalesce(F.col("kept"), F.lit(0)).alias("kept"),
-                           F.col("removed_debug").cast("long").alias("removed_debug"),
-                           (F.col("n_content") - F.col("n_runs")).cast("long").alias("removed_duplicate"))
-                   .withColumn("total_removed", F.col("removed_debug") + F.col("removed_duplicate")))
-    return FilterResult(kept=kept, stats=stats, runs=runs)
+    removal = counts.select(
+        "session_id",
+        F.col("removed_debug").cast("long").alias("removed_debug"),
+        (F.col("n_content") - F.col("n_runs")).cast("long").alias("removed_duplicate"),
+    ).withColumn("total_removed", F.col("removed_debug") + F.col("removed_duplicate"))
+    stats = (removal.join(kept_counts, "session_id", "left")
+                    .withColumn("kept", F.coalesce(F.col("kept"), F.lit(0)))
+                    .select("session_id", "kept", "removed_debug", "removed_duplicate", "total_removed"))
+    return FilterResult(kept=kept, stats=stats, runs=runs, removal=removal)

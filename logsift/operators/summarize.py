@@ -145,7 +145,8 @@ def compress_sessions(lines: DataFrame, max_bytes: int | None = T.DEFAULT_MAX_BY
     removed_debug, removed_duplicate, total_removed, used_llm."""
     fr = pre_filter(lines, max_bytes=max_bytes, chunk_bits=chunk_bits, **cols)
     rs = rule_based_summary(fr.kept, chunk_bits=chunk_bits, bounded=max_bytes is not None)
-    s = fr.stats.join(rs, "session_id", "left")
+    # every session has a removal row; ``kept`` is the summary's line total
+    s = fr.removal.join(rs, "session_id", "left").withColumn("kept", F.coalesce(F.col("total"), F.lit(0)))
     return s.select(
         "session_id",
         F.coalesce(F.col("summary"), empty_summary_sentence()).alias("summary"),

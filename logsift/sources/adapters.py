@@ -22,8 +22,16 @@ from logsift.functions import text as T
 STEP_ID_STRIDE = 1000  # step id = conversation * STEP_ID_STRIDE + turn
 
 
+_TABLES: dict[tuple[str, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table; the scan (file listing, footer) is set up once per
+    application and reused, the data is read by each query."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir}/{name}.parquet")
+    if key not in _TABLES:
+        _TABLES[key] = spark.read.parquet(key[1])
+    return _TABLES[key]
 
 
 def _k() -> Column:
