@@ -52,6 +52,11 @@ OUTPUT_CAP_CHARS = 512 * 1024
 RESULT_TITLE = "*Sandbox sonucu*"
 RESULT_OK = "✅ Başarılı"
 RESULT_FAILED = "❌ Başarısız"
+# Non-ASCII letters whose simple case mapping is an ASCII letter (dotless i,
+# dotted capital I, long s, Kelvin sign): case-insensitive matching treats
+# them as that letter.
+ASCII_CASE_TWINS = ("ı", "İ", "ſ", "K")
+ASCII_CASE_TARGETS = ("i", "i", "s", "k")
 # ---------------------------------------------------------------------------
 
 # Whitespace as Python's str.isspace()/str.strip() define it (a rule, not a
@@ -99,28 +104,47 @@ def ustrip(c: Column) -> Column:
 
 def dedup_key(c: Column) -> Column:
     """Key for run collapsing: drop every ``[ISO-ms]`` tag anywhere, then one
-    leading ``[stdout]``/``[stderr]`` tag, then strip."""
-    no_ts = F.regexp_replace(c, F.lit(java(ISO_MS_TAG_RE)), F.lit(""))
-    return ustrip(F.regexp_replace(no_ts, F.lit(java(STREAM_TAG_RE)), F.lit("")))
+    leading ``[stdout]``/``[stderr]`` tag, then strip.  Each regex runs only
+    on lines that can match it."""
+    no_ts = F.when(c.contains("["), F.regexp_replace(c, F.lit(java(ISO_MS_TAG_RE)), F.lit(""))).otherwise(c)
+    tagged = no_ts.contains("[stdout]") | no_ts.contains("[stderr]")
+    return ustrip(F.when(tagged, F.regexp_replace(no_ts, F.lit(java(STREAM_TAG_RE)), F.lit("")))
+                   .otherwise(no_ts))
 
 
 def clean_message(c: Column) -> Column:
     """Message text: strip, drop one leading ``[digits-T:.Z]`` bracket plus an
     optional stream tag, strip again."""
-    return ustrip(F.regexp_replace(ustrip(c), F.lit(java(CLEAN_PREFIX_RE)), F.lit("")))
+    s = ustrip(c)
+    return ustrip(F.when(s.startswith("["), F.regexp_replace(s, F.lit(java(CLEAN_PREFIX_RE)), F.lit("")))
+                   .otherwise(s))
 
 
 # --- F3-F6: detectors -----------------------------------------------------
+def folded(c: Column) -> Column:
+    """Lower case after mapping the case twins of ASCII letters: a line can
+    match a case-insensitive ASCII word only if this text contains it."""
+    return F.lower(F.translate(c, "".join(ASCII_CASE_TWINS), "".join(ASCII_CASE_TARGETS)))
+
+
+def _has_word(c: Column, words: tuple[str, ...], pattern: str) -> Column:
+    f = folded(c)
+    maybe = f.contains(words[0])
+    for w in words[1:]:
+        maybe = maybe | f.contains(w)
+    return maybe & c.rlike(java(pattern, True))  # the regex decides word boundaries
+
+
 def is_debug(c: Column) -> Column:
-    return c.rlike(java(DEBUG_RE, True))
+    return _has_word(c, DEBUG_WORDS, DEBUG_RE)
 
 
 def is_error(c: Column) -> Column:
-    return c.rlike(java(ERROR_RE, True))
+    return _has_word(c, ERROR_WORDS, ERROR_RE)
 
 
 def is_warning(c: Column) -> Column:
-    return c.rlike(java(WARNING_RE, True))
+    return _has_word(c, WARNING_WORDS, WARNING_RE)
 
 
 def is_traceback_start(c: Column) -> Column:
@@ -128,7 +152,7 @@ def is_traceback_start(c: Column) -> Column:
 
 
 def is_exception_line(c: Column) -> Column:
-    return c.rlike(java(EXCEPTION_LINE_RE))
+    return (c.contains("Error:") | c.contains("Exception:")) & c.rlike(java(EXCEPTION_LINE_RE))
 
 
 # --- F7 / F8 --------------------------------------------------------------

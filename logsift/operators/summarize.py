@@ -196,3 +196,37 @@ def token_cost(usage: DataFrame, input_rate: float = 0.0, output_rate: float = 0
     cost = (F.col("input_tokens") / F.lit(1e6) * F.lit(float(input_rate))
             + F.col("output_tokens") / F.lit(1e6) * F.lit(float(output_rate)))
     return usage.withColumn("cost_usd", cost)
+
+
+# --- S8 / P7 / L3: stored summaries -----------------------------------------
+def compression_records(summaries: DataFrame, stamped_at) -> DataFrame:
+    """S8 rows: (session_id, timestamp, severity, summary, errors); ``errors``
+    stays an array (JSON only at the boundary, see ``errors_json``)."""
+    return summaries.select(
+        F.coalesce(F.col("session_id"), F.lit("")).alias("session_id"),
+        stamped_at.alias("timestamp"), "severity", "summary", "errors")
+
+
+def errors_json(errors: Column) -> Column:
+    """F11 encode: the errors array as JSON text."""
+    return F.to_json(errors)
+
+
+def parse_errors_json(text: Column) -> Column:
+    """F11 decode: bad or missing JSON gives an empty list."""
+    return F.coalesce(F.from_json(text, ERROR_STRUCT), F.array().cast(ERROR_STRUCT))
+
+
+def append_summaries(records: DataFrame, path: str) -> None:
+    """Append summary records, partitioned by the record's date."""
+    (records.withColumn("record_date", F.substring("timestamp", 1, 10))
+            .write.mode("append").partitionBy("record_date").parquet(path))
+
+
+def list_summaries(records: DataFrame, session_id: str | None = None, limit: int = 50) -> DataFrame:
+    """P7 + L3: newest records first, optionally for one session (an empty
+    id means every session); a top-k, not a full sort."""
+    if limit < 0:
+        raise ValueError("limit must be >= 0")
+    r = records.where(F.col("session_id") == session_id) if session_id else records
+    return r.orderBy(F.desc("timestamp"), "session_id").limit(limit)

@@ -18,8 +18,8 @@ from logsift.operators import sessions as SE
 from logsift.operators import timeline as TL
 from logsift.operators.classify import classify_lines
 from logsift.operators.prefilter import collapse_runs, drop_noise, pre_filter
-from logsift.operators.summarize import (compress_sessions, resolve_summary, rule_based_summary,
-                                         token_cost)
+from logsift.operators.summarize import (compress_sessions, compression_records, errors_json,
+                                         list_summaries, resolve_summary, token_cost)
 from logsift.sources import adapters as A
 from logsift.sources import logs as LG
 
@@ -183,10 +183,9 @@ def q_session_severity(spark, d):
 
 
 def q_recent_summaries(spark, d):
-    log = compression_log(spark, d)
-    return (log.orderBy(F.desc("timestamp"), "session_id").limit(SUMMARY_LIST_LIMIT)
-            .select("session_id", "timestamp", "severity", "summary",
-                    F.to_json("errors").alias("errors_json")))
+    log = compression_records(compression_log(spark, d), F.col("timestamp"))
+    return list_summaries(log, limit=SUMMARY_LIST_LIMIT).select(
+        "session_id", "timestamp", "severity", "summary", errors_json(F.col("errors")).alias("errors_json"))
 
 
 def q_resolve_summary(spark, d):

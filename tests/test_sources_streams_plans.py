@@ -94,3 +94,44 @@ def test_entry_and_keys(spark):
     assert df.count() > 0 and "summary" in df.columns
     assert set(E.oracle_sql()) <= set(E.queries())
     assert len(E.queries()) >= 34
+
+
+def test_appends_and_stored_summaries(spark):
+    from logsift.operators.sessions import append_events, validate_events
+    from logsift.operators.summarize import (append_summaries, compression_records, errors_json,
+                                             list_summaries, parse_errors_json)
+    d = tempfile.mkdtemp(prefix="logsift-append-")
+    ev = spark.createDataFrame([(1, "s", "2025-01-15T14:00:00.000Z", "stdout", "ERROR: x", "agent"),
+                                (2, "t", "2025-01-16T14:00:00.000Z", None, "ok", "api")], schemas.LOG_EVENT)
+    valid, _ = validate_events(ev)
+    append_events(valid, f"{d}/events")
+    append_events(valid, f"{d}/events")  # bulk insert twice: rows add up
+    stored = spark.read.parquet(f"{d}/events")
+    assert stored.count() == 4 and {str(r.event_date) for r in stored.collect()} == {"2025-01-15", "2025-01-16"}
+    lines = stored.select("session_id", F.col("id").alias("ord"), F.col("content").alias("line")).dropDuplicates()
+    recs = compression_records(compress_sessions(lines), F.lit("2025-01-17T00:00:00.000000Z"))
+    append_summaries(recs, f"{d}/summaries")
+    back = spark.read.parquet(f"{d}/summaries")
+    assert [r.session_id for r in list_summaries(back, session_id="s").collect()] == ["s"]
+    assert list_summaries(back, session_id="", limit=1).count() == 1
+    j = back.select(errors_json(F.col("errors")).alias("j")).where(F.col("j") != "[]").first().j
+    assert json.loads(j) == [{"line": 1, "msg": "ERROR: x", "severity": "warning"}]
+    bad = spark.createDataFrame([("not json",), (None,)], "t string").select(parse_errors_json(F.col("t")).alias("e"))
+    assert [r.e for r in bad.collect()] == [[], []]
+
+
+def test_stream_compress_touched_sessions(spark):
+    d = tempfile.mkdtemp(prefix="logsift-t4-")
+    table = os.path.join(d, "events")
+    spark.createDataFrame([(1, "a", "2025-01-15T14:00:00.000Z", "stderr", "ERROR: boom", "agent"),
+                           (2, "b", "2025-01-15T14:00:01.000Z", "stdout", "fine", "agent")],
+                          schemas.LOG_EVENT).write.parquet(table)
+    inbox = os.path.join(d, "in")
+    os.makedirs(inbox)
+    with open(os.path.join(inbox, "1.json"), "w") as f:
+        f.write(json.dumps({"id": 1, "session_id": "a", "timestamp": "2025-01-15T14:00:00.000Z",
+                            "stream": "stderr", "content": "ERROR: boom", "source": "agent"}))
+    q = ST.stream_compress(ST.stream_events(spark, inbox), table, os.path.join(d, "out"), os.path.join(d, "ck"))
+    q.awaitTermination()
+    out = spark.read.parquet(os.path.join(d, "out")).collect()
+    assert [r.session_id for r in out] == ["a"] and out[0].severity == "warning"
