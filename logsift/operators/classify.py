@@ -32,23 +32,22 @@ def number_lines(lines: DataFrame, ord_col: str = "ord", out: str = "line_no",
 
 
 def _flags(lines: DataFrame, pos: str, line: str) -> DataFrame:
-    return (lines.withColumn("msg", T.clean_message(F.col(line)))
-                 .withColumn("_open", T.is_traceback_start(F.col("msg")))
-                 .withColumn("_close", T.is_exception_line(F.col("msg"))))
+    msg = T.clean_message(F.col(line))
+    return (lines.withColumn("msg", msg)
+                 .withColumns({"_open": T.is_traceback_start(F.col("msg")),
+                               "_close": T.is_exception_line(F.col("msg"))}))
 
 
 def _classes(d: DataFrame, last_open, last_close) -> DataFrame:
     in_tb = last_open.isNotNull() & (last_close.isNull() | (last_close < last_open))
-    d = d.withColumn("in_tb", in_tb)
     cls = (F.when(F.col("in_tb") & F.col("_close"), F.lit(CRITICAL))
             .when(F.col("in_tb"), F.lit(TRACEBACK))
             .when(T.is_error(F.col("msg")), F.lit(WARNING))
             .when(T.is_warning(F.col("msg")), F.lit(ANOMALY))
             .otherwise(F.lit(NONE)))
-    d = d.withColumn("cls", cls)
     err_msg = (F.when(F.col("cls") == CRITICAL, F.col("msg"))
                 .when(F.col("cls") == WARNING, T.truncate(F.col("msg"), T.WARNING_MSG_CHARS)))
-    return d.withColumn("err_msg", err_msg)
+    return d.withColumn("in_tb", in_tb).withColumn("cls", cls).withColumn("err_msg", err_msg)
 
 
 def classify_lines(lines: DataFrame, pos: str = "line_no", line: str = "line",

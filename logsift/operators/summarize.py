@@ -102,8 +102,8 @@ def rule_based_summary(lines: DataFrame, pos: str = "line_no", line: str = "line
     if bounded:
         w = Window.partitionBy("session_id").orderBy("line_no").rowsBetween(UNBOUNDED, 0)
         is_an = F.col("cls") == ANOMALY
-        c = (c.withColumn("_er", F.sum(_is_err().cast("int")).over(w))
-              .withColumn("_ar", F.sum(is_an.cast("int")).over(w)))
+        c = c.withColumns({"_er": F.sum(_is_err().cast("int")).over(w),
+                           "_ar": F.sum(is_an.cast("int")).over(w)})
         err = F.when(_is_err() & (F.col("_er") <= T.MAX_ERRORS), F.struct(
             F.col("line_no").cast("int").alias("line"), F.col("err_msg").alias("msg"),
             F.col("cls").alias("severity")))

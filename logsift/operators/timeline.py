@@ -84,7 +84,12 @@ def timeline_rows(steps: DataFrame, snapshots: DataFrame) -> DataFrame:
 
 def agent_timeline(steps: DataFrame, snapshots: DataFrame) -> DataFrame:
     """J1 + A10 nested: one document per agent, steps by step number, each
-    with its snapshots by time (empty array, not NULL, when none)."""
+    with its snapshots by time (empty array, not NULL, when none).
+
+    This is the display form: each document is one row, so it suits
+    histories of display size.  For whole tables use ``timeline_rows``
+    (flat, no per-key collection; a hot step is split by AQE's skew-join
+    handling) and ``timeline_digest`` (bounded per agent)."""
     snap_struct = F.struct(F.col("timestamp"), F.col("id"), F.col("file_path"),
                            F.col("git_hash"), F.col("diff_summary"))
     per_step = (snapshots.groupBy("step_id")
