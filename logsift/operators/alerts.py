@@ -79,8 +79,8 @@ def session_digests(summaries: DataFrame) -> DataFrame:
     is_crit = lambda e: F.lower(e["severity"]) == "critical"
     return summaries.select(
         "session_id",
-        F.size(F.filter(errs, is_crit)).alias("n_critical"),
-        F.size(F.filter(errs, lambda e: ~is_crit(e))).alias("n_other"),
+        F.size(F.filter(errs, is_crit)).cast("long").alias("n_critical"),
+        F.size(F.filter(errs, lambda e: ~is_crit(e))).cast("long").alias("n_other"),
         log_digest.alias("log_digest"), crit.alias("critical_digest"))
 
 

@@ -95,15 +95,15 @@ def prefilter(src: str, max_bytes: int | None, p: str = "") -> str:
 {p}nd AS (SELECT session_id, ord, st, {dedup('st')} AS norm FROM {p}k1 WHERE kind = 2),
 {p}r1 AS (SELECT *, CASE WHEN lag(norm) OVER (PARTITION BY session_id ORDER BY ord) = norm THEN 0 ELSE 1 END AS is_new
           FROM {p}nd),
-{p}r2 AS (SELECT *, sum(is_new) OVER (PARTITION BY session_id ORDER BY ord
-          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run_no FROM {p}r1),
+{p}r2 AS (SELECT *, CAST(sum(is_new) OVER (PARTITION BY session_id ORDER BY ord
+          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS run_no FROM {p}r1),
 {p}runs AS (SELECT session_id, run_no, min(ord) AS ord, arg_min(st, ord) AS st, count(*) AS n
             FROM {p}r2 GROUP BY session_id, run_no),
 {p}runs_t AS (SELECT *, st || CASE WHEN n > 1 THEN array_to_string(list_transform(range(2, n + 1),
               lambda k: ' [x' || k || ']'), '') ELSE '' END AS line FROM {p}runs),
 {p}capped AS (SELECT *, octet_length(encode(line)) + 1 AS bytes,
-              sum(octet_length(encode(line)) + 1) OVER (PARTITION BY session_id ORDER BY run_no
-              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_bytes FROM {p}runs_t),
+              CAST(sum(octet_length(encode(line)) + 1) OVER (PARTITION BY session_id ORDER BY run_no
+              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cum_bytes FROM {p}runs_t),
 {p}kept AS (SELECT session_id, run_no AS line_no, ord, n, line, bytes, cum_bytes FROM {p}capped WHERE {cap}),
 {p}fstats AS (
   SELECT s.session_id, coalesce(kc.kept, 0) AS kept, s.removed_debug,
@@ -147,7 +147,7 @@ def summarize(p: str = "") -> str:
          count(*) FILTER (WHERE cls = 'critical') AS n_critical
   FROM {p}cls2 GROUP BY session_id),
 {p}errs AS (
-  SELECT * FROM (SELECT session_id, line_no AS line, err_msg AS msg, cls AS severity,
+  SELECT * FROM (SELECT session_id, CAST(line_no AS INTEGER) AS line, err_msg AS msg, cls AS severity,
                         row_number() OVER (PARTITION BY session_id ORDER BY line_no) AS rank
                  FROM {p}cls2 WHERE cls IN ('critical', 'warning')) WHERE rank <= {T.MAX_ERRORS}),
 {p}anoms AS (
@@ -273,8 +273,8 @@ SELECT * FROM rollup ORDER BY started_at DESC, session_id LIMIT {Q.SESSION_LIST_
     s["session_severity"] = with_(*EV_PIPE) + "SELECT session_id, severity, severity_all FROM summ"
     s["recent_summaries"] = with_(*EV_PIPE, ROLLUP) + f"""
 SELECT s.session_id, r.last_event_at AS timestamp, s.severity, s.summary,
-       coalesce((SELECT to_json(list({{'line': CAST(e.line AS INTEGER), 'msg': e.msg, 'severity': e.severity}} ORDER BY e.line))
-                 FROM errs e WHERE e.session_id = s.session_id), '[]') AS errors_json
+       CAST(coalesce((SELECT to_json(list({{'line': CAST(e.line AS INTEGER), 'msg': e.msg, 'severity': e.severity}} ORDER BY e.line))
+                 FROM errs e WHERE e.session_id = s.session_id), '[]') AS VARCHAR) AS errors_json
 FROM summ s JOIN rollup r USING (session_id)
 ORDER BY r.last_event_at DESC, s.session_id LIMIT {Q.SUMMARY_LIST_LIMIT}"""
     s["resolve_summary"] = with_(DOC_LINES, prefilter("doc_lines", T.DEFAULT_MAX_BYTES), classify("kept"), summarize(),
@@ -290,7 +290,8 @@ SELECT s.session_id, coalesce(r.usable, FALSE) AS used_llm,
        CASE WHEN r.usable THEN r.m_hint ELSE s.root_cause_hint END AS root_cause_hint
 FROM summ s LEFT JOIN resp r USING (session_id)"""
     s["token_cost"] = f"""
-SELECT source AS model, count(*) AS n_records, sum(n_chars // 4) AS input_tokens, sum(n_chars // 40) AS output_tokens,
+SELECT source AS model, count(*) AS n_records, CAST(sum(n_chars // 4) AS BIGINT) AS input_tokens,
+       CAST(sum(n_chars // 40) AS BIGINT) AS output_tokens,
        round(sum((n_chars // 4) / 1e6 * {Q.INPUT_RATE} + (n_chars // 40) / 1e6 * {Q.OUTPUT_RATE}), 6) AS cost_usd
 FROM documents GROUP BY source"""
     s["agent_timeline"] = with_(STEPS, SNAPS) + """
@@ -385,7 +386,7 @@ SELECT page_id,
        page_id % 6 IN (0, 5) AS inside
 FROM pages"""
     s["latest_results"] = with_(COMMANDS, RESULTS) + """
-SELECT sandbox_id, ingest_seq, command, exit_code, status, length(stdout) AS stdout_chars, stderr
+SELECT sandbox_id, ingest_seq, command, exit_code, status, CAST(length(stdout) AS INTEGER) AS stdout_chars, stderr
 FROM (SELECT *, row_number() OVER (PARTITION BY sandbox_id ORDER BY ingest_seq DESC) AS rn FROM results) WHERE rn = 1"""
     s["result_report"] = with_(COMMANDS, RESULTS) + f"""
 SELECT sandbox_id, ingest_seq, status,

@@ -156,14 +156,14 @@ def q_classify_lines(spark, d):
 def q_session_errors(spark, d):
     s = summaries(spark, d)
     return s.select("session_id", F.posexplode("errors").alias("pos", "e")).select(
-        "session_id", (F.col("pos") + 1).alias("rank"), F.col("e.line").alias("line"),
+        "session_id", (F.col("pos") + 1).cast("long").alias("rank"), F.col("e.line").alias("line"),
         F.col("e.msg").alias("msg"), F.col("e.severity").alias("severity"))
 
 
 def q_session_anomalies(spark, d):
     s = summaries(spark, d)
     return s.select("session_id", F.posexplode("anomalies").alias("pos", "text")).select(
-        "session_id", (F.col("pos") + 1).alias("rank"), "text")
+        "session_id", (F.col("pos") + 1).cast("long").alias("rank"), "text")
 
 
 def q_root_cause(spark, d):
