@@ -22,15 +22,16 @@ from logsift.functions import text as T
 STEP_ID_STRIDE = 1000  # step id = conversation * STEP_ID_STRIDE + turn
 
 
-_TABLES: dict[tuple[str, str], DataFrame] = {}
+_TABLES: dict[tuple[str, int, str], DataFrame] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table; the scan (file listing, footer) is set up once per
     application and reused, the data is read by each query."""
-    key = (spark.sparkContext.applicationId, f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, spark._jsparkSession.hashCode(), path)
     if key not in _TABLES:
-        _TABLES[key] = spark.read.parquet(key[1])
+        _TABLES[key] = spark.read.parquet(path)
     return _TABLES[key]
 
 
