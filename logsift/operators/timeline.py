@@ -65,9 +65,11 @@ def file_history(snapshots: DataFrame, steps: DataFrame | None = None,
         s = s.join(steps.select(F.col("id").alias("step_id"), "agent_id"), "step_id", "left")
         if agent_id is not None:
             s = s.where(F.col("agent_id") == agent_id)
-    # ISO text sorts like time; a minute of snapshots is one chunk
-    return dense_positions(s, "file_path", ["timestamp", "id"],
-                           F.substring(F.col("timestamp"), 1, 16), out="version")
+    # Range partitions of (file_path, timestamp, id) are contiguous in the
+    # history order and sized by sampling, so each one is a bounded chunk and
+    # a path has at most as many chunks as there are partitions.
+    ranged = s.repartitionByRange("file_path", "timestamp", "id").withColumn("_range", F.spark_partition_id())
+    return dense_positions(ranged, "file_path", ["timestamp", "id"], F.col("_range"), out="version").drop("_range")
 
 
 def timeline_rows(steps: DataFrame, snapshots: DataFrame) -> DataFrame:

@@ -93,3 +93,22 @@ def test_snapshot_rows_from_step_files(spark):
 def test_timeline_summary_uses_compression(spark):
     s = TL.summarise_timeline(_steps(spark, 3)).collect()[0]
     assert s.agent_id == "agent-x" and s.summary.startswith("3 log satirindan")
+
+
+def test_file_history_hot_path_versions_are_exact(spark):
+    import random
+    rnd = random.Random(3)
+    rows = []
+    for i in range(6000):
+        path = "hot.py" if i % 10 else f"cold{i % 7}.py"
+        ts = f"2025-01-15T14:{rnd.randint(0, 59):02d}:{rnd.randint(0, 59):02d}.000Z"  # many ties
+        rows.append((i, 1, path, f"h{i}", None, ts))
+    snaps = spark.createDataFrame(rows, schemas.FILE_SNAPSHOT)
+    got = TL.file_history(snaps).select("file_path", "version", "id", "timestamp").collect()
+    by_path = {}
+    for r in got:
+        by_path.setdefault(r.file_path, []).append(r)
+    for path, rs in by_path.items():
+        want = sorted(rs, key=lambda r: (r.timestamp, r.id))
+        assert [r.version for r in sorted(rs, key=lambda r: r.version)] == list(range(1, len(rs) + 1))
+        assert [r.id for r in sorted(rs, key=lambda r: r.version)] == [r.id for r in want], path
