@@ -71,10 +71,14 @@ def line_kinds(lines: DataFrame, session: str = "session_id", ord_col: str = "or
                 .select(*keep, "kind", F.when(F.col("kind") == CONTENT, F.col("_st")).alias("st")))
 
 
-def drop_noise(lines: DataFrame, **cols) -> DataFrame:
-    """Content lines only (no blank, META or debug lines), stripped."""
-    return (line_kinds(lines, **cols).where(F.col("kind") == CONTENT)
-            .select("session_id", "ord", F.col("st").alias("line")))
+def drop_noise(lines: DataFrame, session: str = "session_id", ord_col: str = "ord",
+               line: str = "line") -> DataFrame:
+    """Content lines only (no blank, META or debug lines), stripped.  A
+    plain filter, so the debug rule runs once per line in the scan stage."""
+    st = F.col("line")
+    base = lines.select(F.col(session).alias("session_id"), F.col(ord_col).cast("long").alias("ord"),
+                        T.ustrip(F.coalesce(F.col(line), F.lit(""))).alias("line"))
+    return base.where((st != "") & ~st.startswith(T.META_PREFIX) & ~T.is_debug(st))
 
 
 def collapse_runs(lines: DataFrame, chunk_bits: int = DEFAULT_CHUNK_BITS,
