@@ -135,3 +135,26 @@ def test_stream_compress_touched_sessions(spark):
     q.awaitTermination()
     out = spark.read.parquet(os.path.join(d, "out")).collect()
     assert [r.session_id for r in out] == ["a"] and out[0].severity == "warning"
+
+
+def test_stream_rollup_update_mode_across_batches(spark):
+    d = tempfile.mkdtemp(prefix="logsift-t2-")
+    inbox = os.path.join(d, "in")
+    os.makedirs(inbox)
+    ev = lambda i, sid, ts: {"id": i, "session_id": sid, "timestamp": ts, "stream": "stdout",
+                             "content": "x", "source": "agent"}
+    with open(os.path.join(inbox, "1.json"), "w") as f:
+        f.write("\n".join(json.dumps(r) for r in [ev(1, "a", "2025-01-15T14:00:00.000Z"),
+                                                 ev(2, "b", "2025-01-15T14:00:05.000Z")]))
+    with open(os.path.join(inbox, "2.json"), "w") as f:
+        f.write(json.dumps(ev(3, "a", "2025-01-15T15:00:00.000Z")))
+    src = ST.stream_events(spark, inbox, max_files_per_trigger=1)
+    q = ST.stream_session_rollup(src, os.path.join(d, "rollup"), os.path.join(d, "ck"))
+    q.awaitTermination()
+    got = {r.session_id: (r.started_at, r.last_event_at, r.event_count)
+           for r in ST.read_session_rollup(spark, os.path.join(d, "rollup")).collect()}
+    assert got == {"a": ("2025-01-15T14:00:00.000Z", "2025-01-15T15:00:00.000Z", 2),
+                   "b": ("2025-01-15T14:00:05.000Z", "2025-01-15T14:00:05.000Z", 1)}
+    # the second batch wrote only the session it changed
+    second = spark.read.parquet(os.path.join(d, "rollup", "batch_id=1")).collect()
+    assert [r.session_id for r in second] == ["a"]
