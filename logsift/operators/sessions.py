@@ -44,10 +44,21 @@ def validate_events(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return valid, r.where(F.size("reasons") > 0)
 
 
-def append_events(df: DataFrame, path: str) -> None:
-    """Append valid events partitioned by event date."""
-    (df.withColumn("event_date", F.substring("timestamp", 1, 10))
-       .write.mode("append").partitionBy("event_date").parquet(path))
+SESSION_BUCKETS = 64
+
+
+def session_bucket(session_id, buckets: int = SESSION_BUCKETS):
+    """Stable hash bucket of a session id (the stored table's first partition level)."""
+    return F.pmod(F.xxhash64(session_id), F.lit(buckets)).cast("int")
+
+
+def append_events(df: DataFrame, path: str, buckets: int = SESSION_BUCKETS) -> None:
+    """Append valid events, partitioned by session bucket and event date:
+    reads by session prune to one bucket (statically or by dynamic partition
+    pruning), reads by time prune by date."""
+    (df.withColumn("session_bucket", session_bucket(F.col("session_id"), buckets))
+       .withColumn("event_date", F.substring("timestamp", 1, 10))
+       .write.mode("append").partitionBy("session_bucket", "event_date").parquet(path))
 
 
 def events_for_session(events: DataFrame, session_id: str, limit: int = 100,

@@ -108,6 +108,8 @@ def test_appends_and_stored_summaries(spark):
     append_events(valid, f"{d}/events")  # bulk insert twice: rows add up
     stored = spark.read.parquet(f"{d}/events")
     assert stored.count() == 4 and {str(r.event_date) for r in stored.collect()} == {"2025-01-15", "2025-01-16"}
+    one = stored.where(F.col("session_id") == "s")
+    assert one.count() == 2
     lines = stored.select("session_id", F.col("id").alias("ord"), F.col("content").alias("line")).dropDuplicates()
     recs = compression_records(compress_sessions(lines), F.lit("2025-01-17T00:00:00.000000Z"))
     append_summaries(recs, f"{d}/summaries")
@@ -123,9 +125,10 @@ def test_appends_and_stored_summaries(spark):
 def test_stream_compress_touched_sessions(spark):
     d = tempfile.mkdtemp(prefix="logsift-t4-")
     table = os.path.join(d, "events")
-    spark.createDataFrame([(1, "a", "2025-01-15T14:00:00.000Z", "stderr", "ERROR: boom", "agent"),
-                           (2, "b", "2025-01-15T14:00:01.000Z", "stdout", "fine", "agent")],
-                          schemas.LOG_EVENT).write.parquet(table)
+    from logsift.operators.sessions import append_events
+    append_events(spark.createDataFrame([(1, "a", "2025-01-15T14:00:00.000Z", "stderr", "ERROR: boom", "agent"),
+                                         (2, "b", "2025-01-15T14:00:01.000Z", "stdout", "fine", "agent")],
+                                        schemas.LOG_EVENT), table)
     inbox = os.path.join(d, "in")
     os.makedirs(inbox)
     with open(os.path.join(inbox, "1.json"), "w") as f:
@@ -158,3 +161,18 @@ def test_stream_rollup_update_mode_across_batches(spark):
     # the second batch wrote only the session it changed
     second = spark.read.parquet(os.path.join(d, "rollup", "batch_id=1")).collect()
     assert [r.session_id for r in second] == ["a"]
+
+
+def test_touched_session_read_prunes_buckets(spark):
+    from logsift.operators.sessions import append_events, session_bucket
+    d = tempfile.mkdtemp(prefix="logsift-prune-")
+    rows = [(i, f"s{i % 50}", "2025-01-15T14:00:00.000Z", "stdout", "x", "agent") for i in range(500)]
+    append_events(spark.createDataFrame(rows, schemas.LOG_EVENT), f"{d}/events")
+    touched = spark.createDataFrame([("s7",)], "session_id string").withColumn(
+        "session_bucket", session_bucket(F.col("session_id")))
+    buckets = [r[0] for r in touched.select("session_bucket").distinct().collect()]
+    q = (spark.read.parquet(f"{d}/events").where(F.col("session_bucket").isin(buckets))
+         .join(touched, ["session_bucket", "session_id"], "left_semi"))
+    assert q.count() == 10
+    scan = [ln for ln in q._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in ln][0]
+    assert f"session_bucket#" in scan and f"= {buckets[0]})" in scan.split("PartitionFilters:")[1].split("]")[0]
