@@ -112,3 +112,21 @@ def test_file_history_hot_path_versions_are_exact(spark):
         want = sorted(rs, key=lambda r: (r.timestamp, r.id))
         assert [r.version for r in sorted(rs, key=lambda r: r.version)] == list(range(1, len(rs) + 1))
         assert [r.id for r in sorted(rs, key=lambda r: r.version)] == [r.id for r in want], path
+
+
+def test_read_events_keeps_corrupt_records(spark):
+    import json
+    import os
+    import tempfile
+    d = tempfile.mkdtemp(prefix="logsift-json-")
+    good = {"id": 1, "session_id": "s", "timestamp": "2025-01-15T14:00:00.000Z", "stream": "stdout",
+            "content": "ok", "source": "agent"}
+    guide = {"agent_id": "a", "level": "info", "metadata": {}, "session_id": "s",
+             "timestamp": "2025-01-15T14:00:01.000Z", "content": "no source"}
+    with open(os.path.join(d, "e.json"), "w") as f:
+        f.write(json.dumps(good) + "\n" + "{not json\n" + json.dumps(guide) + "\n")
+    ev = SE.read_events(spark, d).cache()
+    valid, rejected = SE.validate_events(ev)
+    assert [r.id for r in valid.collect()] == [1]
+    reasons = sorted(tuple(r.reasons) for r in rejected.collect())
+    assert ("source missing",) in reasons and any("malformed record" in r for r in reasons)
