@@ -109,7 +109,8 @@ def collapse_runs(lines: DataFrame, chunk_bits: int = DEFAULT_CHUNK_BITS,
         "c_last": F.last("norm", ignorenulls=True).over(whole),
         "c_lnew": F.sum("lnew").over(whole),
     })
-    x = reuse(x)
+    # neither consumer needs the dedup key or the lag after the window pass
+    x = reuse(x.drop("norm", "prev", "lnew"))
 
     summ = x.where(F.col("_rn") == 1).select(
         "session_id", "chunk", F.col("c_debug").alias("n_debug"), F.col("c_content").alias("n_content"),
