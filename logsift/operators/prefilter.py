@@ -109,7 +109,10 @@ def collapse_runs(lines: DataFrame, chunk_bits: int = DEFAULT_CHUNK_BITS,
         "c_last": F.last("norm", ignorenulls=True).over(whole),
         "c_lnew": F.sum("lnew").over(whole),
     })
-    # neither consumer needs the dedup key or the lag after the window pass
+    # keep chunk-level values on the chunk's first row only, and drop what
+    # neither consumer needs after the window pass, before persisting
+    chunk_cols = ["c_debug", "c_content", "c_first", "c_last", "c_lnew"]
+    x = x.withColumns({c: F.when(F.col("_rn") == 1, F.col(c)) for c in chunk_cols})
     x = reuse(x.drop("norm", "prev", "lnew"))
 
     summ = x.where(F.col("_rn") == 1).select(
