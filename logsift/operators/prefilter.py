@@ -40,11 +40,19 @@ BLANK, DEBUG, CONTENT = 0, 1, 2
 
 @dataclass
 class FilterResult:
-    kept: DataFrame   # session_id, line_no, ord, n, line
-    stats: DataFrame  # session_id, kept, removed_debug, removed_duplicate, total_removed
-    runs: DataFrame   # session_id, run_no, ord, n, st (runs that can fit the cap)
+    kept: DataFrame     # session_id, line_no, ord, n, line, bytes, cum_bytes
+    runs: DataFrame     # session_id, run_no, ord, n, st (runs that can fit the cap)
     removal: DataFrame  # session_id, removed_debug, removed_duplicate, total_removed (every session)
 
+    @property
+    def stats(self) -> DataFrame:
+        """A4: session_id, kept, removed_debug, removed_duplicate, total_removed
+        (built on demand: the summary path takes ``kept`` from its own count)."""
+        kept_counts = self.kept.groupBy("session_id").agg(F.count(F.lit(1)).alias("kept"))
+        return (self.removal.join(kept_counts, "session_id", "left")
+                    .withColumn("kept", F.coalesce(F.col("kept"), F.lit(0)))
+                    .select("session_id", "kept", "removed_debug", "removed_duplicate", "total_removed"))
+
 
 def line_kinds(lines: DataFrame, session: str = "session_id", ord_col: str = "ord",
                line: str = "line", cluster_bits: int | None = None) -> DataFrame:
@@ -180,13 +188,9 @@ def pre_filter(lines: DataFrame, max_bytes: int | None = T.DEFAULT_MAX_BYTES,
         "session_id", F.col("run_no").alias("line_no"), "ord", "n",
         F.concat(F.col("st"), T.annotation_text(F.col("n"))).alias("line"),
         "bytes", "cum_bytes")
-    kept_counts = kept.groupBy("session_id").agg(F.count(F.lit(1)).alias("kept"))
     removal = counts.select(
         "session_id",
         F.col("removed_debug").cast("long").alias("removed_debug"),
         (F.col("n_content") - F.col("n_runs")).cast("long").alias("removed_duplicate"),
     ).withColumn("total_removed", F.col("removed_debug") + F.col("removed_duplicate"))
-    stats = (removal.join(kept_counts, "session_id", "left")
-                    .withColumn("kept", F.coalesce(F.col("kept"), F.lit(0)))
-                    .select("session_id", "kept", "removed_debug", "removed_duplicate", "total_removed"))
-    return FilterResult(kept=kept, stats=stats, runs=runs, removal=removal)
+    return FilterResult(kept=kept, runs=runs, removal=removal)
