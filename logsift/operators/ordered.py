@@ -69,14 +69,18 @@ def dense_positions(df: DataFrame, key: str, order_cols: list[str], chunk: Colum
 
 
 def first_n(df: DataFrame, key: str, order_cols: list[str], n: int, chunk: Column,
-            out: str = "rank") -> DataFrame:
+            out: str = "rank", fanin_bits: int = 10) -> DataFrame:
     """The first ``n`` rows of each key in ``order_cols`` order, with their
-    rank.  Candidates are cut to ``n`` per chunk first, so no task sees
-    more than ``n`` times the key's chunk count of rows."""
-    w_local = Window.partitionBy(key, "_fn_chunk").orderBy(*order_cols)
-    cand = (df.withColumn("_fn_chunk", chunk)
-              .withColumn("_fn_r", F.row_number().over(w_local))
-              .where(F.col("_fn_r") <= n)
-              .drop("_fn_r", "_fn_chunk"))
+    rank.  Top-n is decomposable over any split of the rows, so candidates
+    are cut to ``n`` per chunk, then to ``n`` per hash group of chunks
+    (``2**fanin_bits`` groups per key), then ranked per key.  The final rank
+    sees at most ``n * 2**fanin_bits`` candidates per key whatever its size;
+    a middle task sees ``n`` times the key's chunks over ``2**fanin_bits``."""
+    def cut(d: DataFrame, part: list) -> DataFrame:
+        w = Window.partitionBy(*part).orderBy(*order_cols)
+        return d.withColumn("_fn_r", F.row_number().over(w)).where(F.col("_fn_r") <= n).drop("_fn_r")
+    cand = cut(df.withColumn("_fn_chunk", chunk), [key, "_fn_chunk"])
+    cand = cut(cand.withColumn("_fn_group", F.shiftright(F.xxhash64("_fn_chunk"), 64 - fanin_bits)),
+               [key, "_fn_group"]).drop("_fn_chunk", "_fn_group")
     w = Window.partitionBy(key).orderBy(*order_cols)
     return cand.withColumn(out, F.row_number().over(w)).where(F.col(out) <= n)
