@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -34,43 +35,109 @@ from logsift.llm.common import id_text, stage
 
 WINDOW = 2048
 END_ID = 1
-CACHE_ENTRIES = 1_000_000
-#: Cuts a text where the tokenizer's own pre-tokenizer always cuts it too: white space is split as
-#: that pattern does, and a run of other characters (with the blank before it) is kept whole.
-SAFE_CUT = r" ?\S+|\s+(?!\S)|\s+"
+CACHE_ENTRIES = 500_000
+#: Fixed value: the pattern of byte-level pre-tokenizers.
+BYTE_LEVEL_PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, pid int, k long")
 PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def rank_encoder(tokenizer):
+    """The same encoding by ``tiktoken``, which is much faster, and the bytes of each id; None if ids are not merge ranks."""
+    import json
+
+    import tiktoken
+
+    spec = json.loads(tokenizer.to_str())
+    model, steps = spec["model"], spec["pre_tokenizer"] or {}
+    vocab = model.get("vocab", {})
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    byte_of = {chr(b): b for b in shown}
+    byte_of |= {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+    if (model["type"] != "BPE" or steps.get("type") != "ByteLevel" or steps.get("add_prefix_space") or spec["normalizer"]
+            or any(vocab.get(a + b) != 256 + i for i, (a, b) in enumerate(merges))):
+        return None
+    special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+    ranks = {bytes(byte_of[c] for c in w): i for w, i in vocab.items() if w not in special}
+    encoding = tiktoken.Encoding("words", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
+    widths = np.zeros(max(ranks.values()) + 1, "int64")
+    widths[list(ranks.values())] = [len(w) for w in ranks]
+    return encoding.encode_ordinary, widths
+
+
+class Words(dict):
+    """Ids of words, each as it stands after ``prefix``; made when first asked for, or many at a time."""
+
+    def __init__(self, encode, widths, prefix: str):
+        self.encode, self.widths, self.prefix = encode, widths, prefix
+
+    def __missing__(self, word: str) -> bytes:
+        code = self[word] = array("I", self.encode(self.prefix + word)).tobytes()
+        return code
+
+    def add(self, words: list[str]) -> None:
+        """Encode words as one text, which is cut at every blank, and share out its ids by their bytes.
+
+        Only words without white space at their ends can stand beside each other so.
+        """
+        if self.widths is None or self.prefix != " ":
+            return
+        words = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()]
+        for i in range(0, len(words), 20_000):
+            part = words[i:i + 20_000]
+            ids = np.array(self.encode(" " + " ".join(part)), "<u4")
+            ends = np.cumsum([len(w.encode()) + 1 for w in part])
+            cuts = np.concatenate([[0], np.searchsorted(np.cumsum(self.widths[ids]), ends) + 1]) * 4
+            code = ids.tobytes()
+            self.update((w, code[a:b]) for w, a, b in zip(part, cuts[:-1].tolist(), cuts[1:].tolist()))
+
+
 class Encoder:
-    """Byte-level BPE ids of whole texts, by the ``tokenizers`` library, with a bounded cache of words."""
+    """Byte-level BPE ids of whole texts, as ``tokenizers`` gives them, with a bounded cache of words.
+
+    A text is split at blanks: the tokenizer's pre-tokenizer cuts before each of them too, save inside
+    a run of white space.  Texts with such runs, with strings of special tokens or with separators only
+    one side counts as space are encoded in one piece.
+    """
 
     def __init__(self, path: str, entries: int = CACHE_ENTRIES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cut = re.compile(SAFE_CUT)
-        self.cache: dict[str, bytes] = {}
-        self.entries = entries
+        encode, widths = rank_encoder(self.tokenizer) or (self.plain, None)
+        self.first, self.later, self.entries = Words(encode, widths, ""), Words(encode, widths, " "), entries
+        self.inner_space = re.compile(r"\s (?!\S)").search
+
+    def plain(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, as little-endian unsigned 32-bit numbers."""
-        if len(self.cache) > self.entries:
-            self.cache = {}
-        cut = [None if self._whole(t) else self.cut.findall(t) for t in texts]
-        new = list({w for words in cut if words for w in words if w not in self.cache})
-        for i in range(0, len(new), 10_000):
-            part = new[i:i + 10_000]
-            for word, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self.cache[word] = np.array(e.ids, "<u4").tobytes()
-        get = self.cache.__getitem__
-        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-                if words is None else b"".join(map(get, words)) for t, words in zip(texts, cut)]
-
-    def _whole(self, text: str) -> bool:
-        """Texts whose cuts could differ: strings of special tokens, and separators only Python counts as space."""
-        return any(c in text for c in "\x1c\x1d\x1e\x1f") or any(s in text for s in self.special)
+        """Ids of each text as little-endian unsigned 32-bit numbers."""
+        for cache in (self.first, self.later):
+            if len(cache) > self.entries:
+                cache.clear()
+        out, size = [], 0
+        part: list[str] = []
+        for text in texts:  # a few MB of words at a time
+            part.append(text)
+            size += len(text)
+            if size > 1_000_000:
+                out += self._part(part)
+                part, size = [], 0
+        return out + self._part(part)
+
+    def _part(self, texts: list[str]) -> list[bytes]:
+        words = [None if self.whole(t) else t.split(" ") for t in texts]
+        new = {w for ws in words if ws for w in ws}.difference(self.later)
+        self.later.add(list(new))
+        return [array("I", self.plain(t)).tobytes() if ws is None else
+                self.first[ws[0]] + b"".join(map(self.later.__getitem__, ws[1:])) for t, ws in zip(texts, words)]
+
+    def whole(self, text: str) -> bool:
+        return bool(self.inner_space(text) or any(c in text for c in "\x1c\x1d\x1e\x1f")
+                    or any(s in text for s in self.special))
 
 
 def encode_pieces(path: str, window: int):

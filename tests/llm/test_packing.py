@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from logsift.llm.packing import Encoder, best_fit_plan, pack
+from logsift.llm.packing import Encoder, best_fit_plan, pack, rank_encoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -48,9 +48,10 @@ def test_encoder_equals_whole_text_encoding():
     parts = ["word", " ", "  ", "\n", "\t ", "it's", "é", "日本", " ", " ", "\x1c", "1,2", "<|endoftext|>", "!?", "\x85"]
     texts = ["".join(rnd.choices(parts, k=rnd.randint(0, 30))) for _ in range(500)]
     encoder = Encoder(PATH, entries=50)
-    for i in range(0, 500, 50):
-        for t, code in zip(texts[i:i + 50], encoder.encode(texts[i:i + 50])):
-            assert np.frombuffer(code, "<u4").tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
+    assert rank_encoder(encoder.tokenizer)
+    texts += ["", " ", "   ", " a", "a ", "\n b\n\n c"]
+    for t, code in zip(texts, [c for i in range(0, len(texts), 50) for c in encoder.encode(texts[i:i + 50])]):
+        assert np.frombuffer(code, "<u4").tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
 
 
 def test_pack_holds_every_id_once(spark):
