@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from logsift.llm import exact_dedup, packing
+from logsift.llm import exact_dedup, packing, simhash
 from logsift.llm.common import configure
 
 MODULES = {
+    "op2_simhash": simhash,
     "op7_exact_dedup": exact_dedup,
     "op10_packing": packing,
 }
