@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from logsift.llm import exact_dedup, packing, secret_scan, simhash
+from logsift.llm import exact_dedup, packing, secret_scan, simhash, toxicity
 from logsift.llm.common import configure
 
 MODULES = {
     "op2_simhash": simhash,
     "op5_secret_scan": secret_scan,
     "op7_exact_dedup": exact_dedup,
+    "op9_toxicity": toxicity,
     "op10_packing": packing,
 }
 
