@@ -2,9 +2,10 @@
 
 Examples are a bounded sample of the labelled rows (``max_examples`` of each
 class, the smallest hashes of their ids); rows to hold out are never read as
-examples.  Terms are lower-cased runs of letters; the ``max_terms`` that tell
-the classes of the examples apart best (chi-square of presence) form the
-vocabulary.  Document frequencies of these terms are counted over all
+examples.  Terms are lower-cased runs of letters and their first 4 to 7 letters;
+the ``max_terms`` that tell
+the classes of the examples apart best (chi-square of presence, ``MIN_CHI2`` at
+least) form the vocabulary.  Document frequencies of these terms are counted over all
 documents, and every document becomes a sparse TF-IDF vector of unit length.
 
 The index over the examples is an inverted list for each term, cut into blocks
@@ -18,12 +19,12 @@ rows an example stands for, and shrunk to the share of toxic rows; a monotone
 curve fitted to leave-one-out votes of the examples turns them into
 probabilities.
 
-The index is bounded by its parameters (8,000 examples, 1,024 terms by
+The index is bounded by its parameters (4,000 examples, 256 terms by
 default) and sent to the tasks; the text is read once.
 
 Cases: null or empty texts, and texts without a term of the vocabulary, are
-voted on by the examples that have none either (or get the share of toxic
-rows); without any labelled row every score is 0; null labels are no labels and
+voted on by the examples that have none either; without any neighbour a text
+gets the share of toxic rows; without any labelled row every score is 0; null labels are no labels and
 of two labels of one id the toxic one counts; null ids cannot be labelled and
 are not held out; repeated rows get equal scores; an empty table gives an empty
 result; other columns are never read, save that ``drop_toxic`` keeps them.
@@ -44,11 +45,14 @@ from logsift.llm.common import fresh, stage
 
 BLOCK = 64
 NEIGHBOURS = 25
-MAX_EXAMPLES = 4000
-MAX_TERMS = 1024
+MAX_EXAMPLES = 2000
+MAX_TERMS = 256
+MIN_CHI2 = 40.0  # far beyond chance for one term among a million
 MIN_EXAMPLES_OF_TERM = 3
 PRIOR_WEIGHT = 0.5
 THRESHOLD = 0.3
+STEM_LENGTHS = (4, 5, 6, 7)
+STEM = "^"
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -149,7 +153,13 @@ class TermIndex:
         """Monotone curve from leave-one-out shares to the share of toxic rows: pooled adjacent violators, lines between."""
         if not len(labels):
             return
-        x = np.array([self.vote(t, c, label)[0] for (t, c), label in zip(vectors, labels)])
+        known: dict[tuple, float] = {}
+        x = np.zeros(len(labels))
+        for i, ((t, c), label) in enumerate(zip(vectors, labels)):
+            key = t.tobytes(), c.tobytes(), label
+            if key not in known:
+                known[key] = self.vote(t, c, label)[0]
+            x[i] = known[key]
         y, w = np.array(labels, "f8"), np.array(self.weight)[np.array(labels)]
         order = np.argsort(x, kind="stable")
         pools: list[list[float]] = []  # (largest share, weight, toxic weight, smallest share)
@@ -167,6 +177,8 @@ class TermIndex:
     def score(self, terms: np.ndarray, counts: np.ndarray):
         """(probability, neighbours)."""
         share, near = self.vote(terms, counts)
+        if not near:
+            return self.base, near
         # a small slope keeps the order of shares inside a level part of the curve
         return float(min(1.0, max(0.0, 0.98 * np.interp(share, *self.curve) + 0.02 * share))), near
 
@@ -180,10 +192,19 @@ def vector_udf(terms: list[str]):
     """Text to the counts of the vocabulary's terms: two rows of 32-bit numbers, terms ascending."""
     @F.pandas_udf("binary")
     def vectors(texts: pd.Series) -> pd.Series:
-        place = {t: i for i, t in enumerate(terms)}.get
+        place = {t: i for i, t in enumerate(terms)}
+        stems = sorted({len(t) - 1 for t in terms if t[0] == STEM})
 
         def one(text):
-            found = Counter(filter(None.__ne__, map(place, WORD.findall((text or "").lower()))))
+            found: Counter = Counter()
+            for word, n in Counter(WORD.findall((text or "").lower())).items():
+                if word in place:
+                    found[place[word]] += n
+                for size in stems:
+                    if size >= len(word):
+                        break
+                    if (stem := STEM + word[:size]) in place:
+                        found[place[stem]] += n
             keys = sorted(found)
             return np.array([keys, [found[i] for i in keys]], "<i4").tobytes()
 
@@ -197,7 +218,8 @@ def term_stats(batches):
     counts: dict[str, list[int]] = {}
     for batch in batches:
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for term in set(WORD.findall(text.lower())):
+            words = set(WORD.findall(text.lower()))
+            for term in words | {STEM + w[:n] for w in words for n in STEM_LENGTHS if n < len(w)}:
                 counts.setdefault(term, [0, 0])[toxic] += 1
     yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([c[1] for c in counts.values()], pa.int64()),
                                       pa.array([c[0] for c in counts.values()], pa.int64())], ["term", "a", "c"])
@@ -227,9 +249,9 @@ def choose_examples(labels: DataFrame, id_col: str, label_col: str, learn, max_e
     return parts[0].unionByName(parts[1]).join(F.broadcast(rows), "toxic")
 
 
-def fit_and_vectors(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, learn, vector: str,
-                    max_examples: int, max_terms: int, k: int) -> tuple[DataFrame, TermIndex]:
-    """``docs`` with their vectors (staged), and the fitted index."""
+def fit_and_vectors(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, learn, keep: list[str],
+                    vector: str, max_examples: int, max_terms: int, k: int) -> tuple[DataFrame, TermIndex]:
+    """The columns ``keep`` of ``docs`` with their vectors (staged), and the fitted index."""
     chosen = F.broadcast(choose_examples(labels, id_col, label_col, learn, max_examples))
     examples = stage(docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
                      .join(chosen, "id").select("id", "text", "toxic", "rows"), "examples")
@@ -240,8 +262,11 @@ def fit_and_vectors(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
         F.sum("a").alias("a"), F.sum("c").alias("c")).where(F.col("a") + F.col("c") >= MIN_EXAMPLES_OF_TERM)
     a, c = F.col("a").cast("double"), F.col("c").cast("double")
     apart = (a * n0 - c * n1) ** 2 / ((a + c) * (n0 + n1 - a - c + 0.5))
-    terms = [r["term"] for r in stats.orderBy(F.desc(apart), "term").limit(max_terms).collect()] if n0 and n1 else []
-    coded = stage(docs.withColumn(vector, vector_udf(terms)(F.col(text_col))), "vectors")
+    terms = []
+    if n0 and n1:
+        stats = stats.select("term", (apart * (n0 + n1) / (n0 * n1)).alias("chi2")).where(F.col("chi2") >= MIN_CHI2)
+        terms = [r["term"] for r in stats.orderBy(F.desc("chi2"), "term").limit(max_terms).collect()]
+    coded = stage(docs.select(*keep, vector_udf(terms)(F.col(text_col)).alias(vector)), "vectors")
     df = {r["term"]: r["df"] for r in coded.select(vector).mapInArrow(term_df(len(terms)), "term long, df long")
           .groupBy("term").agg(F.sum("df").alias("df")).collect()}
     idf = np.array([np.log((1 + df.get(-1, 0)) / (1 + df.get(t, 0))) + 1 for t in range(len(terms))])
@@ -276,9 +301,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
     ``evidence`` lists the nearest examples as ``id:similarity``.
     """
-    rows = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias(text_col))
-    coded, index = fit_and_vectors(rows, labels, id_col, text_col, label_col, learn, "_vector", max_examples, max_terms, k)
-    return coded.select(F.col(id_col).cast("long").alias("doc_id"), score_udf(index)("_vector").alias("r")).select(
+    coded, index = fit_and_vectors(docs, labels, id_col, text_col, label_col, learn, [id_col], fresh("_vector", [id_col]),
+                                   max_examples, max_terms, k)
+    return coded.select(F.col(id_col).cast("long").alias("doc_id"), score_udf(index)(coded.columns[-1]).alias("r")).select(
         "doc_id", "r.score", "r.evidence")
 
 
@@ -287,7 +312,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
                max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS, k: int = NEIGHBOURS) -> DataFrame:
     """``docs`` (all columns) without the rows that score ``threshold`` or more."""
     vector = fresh("_vector", docs.columns)
-    coded, index = fit_and_vectors(docs, labels, id_col, text_col, label_col, learn, vector, max_examples, max_terms, k)
+    coded, index = fit_and_vectors(docs, labels, id_col, text_col, label_col, learn, docs.columns, vector,
+                                   max_examples, max_terms, k)
     return coded.where(score_udf(index)(vector)["score"] < threshold).select(*docs.columns)
 
 

@@ -6,7 +6,7 @@ import pytest
 
 from logsift.llm.toxicity import TermIndex, drop_toxic, may_learn, query, toxicity_scores
 
-SF = "/root/testdata/sf0.01"
+SF = "/root/testdata/sf0.1"
 
 
 def vectors(rnd, n, terms=40):
@@ -91,5 +91,6 @@ def test_held_out_accuracy(spark):
     rows = [r for r in query(spark, SF).collect()]
     assert all(r.held_out == held(r.doc_id) for r in rows)
     test = [(r.predicted, truth[r.doc_id]) for r in rows if r.held_out and r.doc_id in truth]
-    wrong = sum(p != t for p, t in test)
-    assert len(test) > 50 and wrong <= 0.03 * len(test), (wrong, len(test))
+    wrong, toxic = sum(p != t for p, t in test), [p for p, t in test if t]
+    assert len(test) > 500 and wrong <= 0.03 * len(test), (wrong, len(test))
+    assert sum(toxic) >= 0.85 * len(toxic)
