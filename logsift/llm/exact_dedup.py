@@ -48,11 +48,9 @@ def decide(rows: DataFrame, support: float = 0.001) -> DataFrame:
     """(rid, doc_id, keep_id, group_size, kept, text_sha256) for staged ``digest_rows``."""
     candidates = rows.stat.freqItems(["text_sha256"], support).select(
         F.explode("text_sha256_freqItems").alias("text_sha256"))
-    total = rows.agg(F.count(F.lit(1)).alias("total"))
+    total = rows.agg(F.count(F.lit(1))).scalar()
     counted = rows.join(F.broadcast(candidates), "text_sha256").groupBy("text_sha256").agg(*_choice())
-    winners = stage(counted.join(F.broadcast(total))
-                    .where((F.col("group_size") > 1) & (F.col("group_size") > F.col("total") * support))
-                    .drop("total"), "heavy-digests")
+    winners = stage(counted.where((F.col("group_size") > 1) & (F.col("group_size") > total * support)), "heavy-digests")
     hot = rows.join(F.broadcast(winners), "text_sha256")
     rest = rows.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti")
     cold = rest.join(rest.groupBy("text_sha256").agg(*_choice()), "text_sha256")
