@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from logsift.llm import exact_dedup, order_minhash, packing, secret_scan, simhash, toxicity, url_reputation
+from logsift.llm import exact_dedup, order_minhash, packing, secret_scan, simhash, substring_dedup, suffix_dedup, toxicity, url_reputation
 from logsift.llm.common import configure
 
 MODULES = {
+    "op1_substring_dedup": substring_dedup,
     "op2_simhash": simhash,
     "op3_order_minhash": order_minhash,
+    "op4_suffix_dedup": suffix_dedup,
     "op5_secret_scan": secret_scan,
     "op6_url_reputation": url_reputation,
     "op7_exact_dedup": exact_dedup,
