@@ -28,7 +28,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     recomputation, and columns such as partition numbers get fixed values.
     """
     path = shared_dir(df.sparkSession, "llm", f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

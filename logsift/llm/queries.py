@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from logsift.llm import exact_dedup, order_minhash, packing, secret_scan, simhash, substring_dedup, suffix_dedup, toxicity, url_reputation
+from logsift.llm import exact_dedup, order_minhash, packing, secret_scan, sentencepiece_scan, simhash, substring_dedup, suffix_dedup, toxicity, url_reputation
 from logsift.llm.common import configure
 
 MODULES = {
@@ -13,6 +13,7 @@ MODULES = {
     "op5_secret_scan": secret_scan,
     "op6_url_reputation": url_reputation,
     "op7_exact_dedup": exact_dedup,
+    "op8_sentencepiece": sentencepiece_scan,
     "op9_toxicity": toxicity,
     "op10_packing": packing,
 }

@@ -34,7 +34,6 @@ CHUNK = 2 << 20
 HOT = 20_000
 BLOCK = 1 << 20
 MIX = 0x9E3779B97F4A7C15
-NO_ID = -(1 << 63)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -131,31 +130,35 @@ def scan(units, width: int):
                 if len(parts) < width:
                     continue
                 for found in minimizer_segments(unit.hashes(parts), width, unit.gram):
-                    for col, x in zip(cols, (np.full(len(found[0]), kd), np.full(len(found[0]), kt), *found)):
+                    for col, x in zip(cols, (np.full(len(found[0]), kd), np.full(len(found[0]), kt, "i4"), *found)):
                         col.append(x)
-            yield batch(["kd", "kt", "mh", "start", "n"], ["int64"] * 5,
-                        [np.concatenate(c) if c else np.zeros(0, "i8") for c in cols])
+            kinds = ["int64", "int32", "int64", "int64", "int64"]
+            yield batch(["kd", "kt", "mh", "start", "n"], kinds, [np.concatenate(c) if c else [] for c in cols])
 
     return run
 
 
-SEGMENTS = "mh long, sid binary, kd long, kt long, start long, n long, piece binary"
+SEGMENTS = "mh long, sid binary, kd long, kt int, start long, piece binary"
 
 
 def cut_segments(units, width: int):
     """Task function: (kd, kt, text, places) to the candidate segments."""
 
     def run(batches):
-        unit = units()
+        unit, sent = units(), set()
         for b in batches:
             rows = []
+            if len(sent) > 500_000:
+                sent.clear()
             for kd, kt, text, places in zip(*(c.to_pylist() for c in b.columns)):
                 parts = unit.split(text)
                 for p in places:
                     piece = unit.cut(parts, p["start"], p["start"] + p["n"] + width - 1)
-                    rows.append((p["mh"], hashlib.blake2b(piece, digest_size=16).digest(), kd, kt, p["start"], p["n"], piece))
-            kinds = ["int64", "binary", "int64", "int64", "int64", "int64", "binary"]
-            yield batch([c.split()[0] for c in SEGMENTS.split(", ")], kinds, list(zip(*rows)) or [()] * 7)
+                    sid = hashlib.blake2b(piece, digest_size=16).digest()
+                    rows.append((p["mh"], sid, kd, kt, p["start"], None if sid in sent else piece))
+                    sent.add(sid)  # its bytes have gone out once
+            kinds = ["int64", "binary", "int64", "int32", "int64", "binary"]
+            yield batch([c.split()[0] for c in SEGMENTS.split(", ")], kinds, list(zip(*rows)) or [()] * 6)
 
     return run
 
@@ -232,17 +235,19 @@ def _search(segments: DataFrame, find, width: int) -> DataFrame:
 
 
 def _distinct(segments: DataFrame, copies) -> DataFrame:
-    return segments.groupBy("mh", "sid").agg(F.first("piece").alias("piece"), copies.alias("copies"))
+    return segments.groupBy("mh", "sid").agg(F.first("piece", ignorenulls=True).alias("piece"), copies.alias("copies"))
 
 
 def repeated_windows(docs: DataFrame, units, find, width: int, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """Keyed documents (doc_id, text, kd, kt) and, for those with any, their repeated windows.
 
+    The key of a row is its id with a 32-bit hash of the text (for repeated ids), or two hashes of the
+    text where the id is null.
     The second table has (kd, kt, spans), spans being a list of (start, n) windows in units.
     """
-    keyed = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("kd"), F.xxhash64("text").alias("kt"))
+    keyed = docs.select("doc_id", "text", F.coalesce("doc_id", F.xxhash64("text")).alias("kd"), F.hash("text").alias("kt"))
     places = stage(keyed.select("kd", "kt", "text").mapInArrow(
-        scan(units, width), "kd long, kt long, mh long, start long, n long"), "places")
+        scan(units, width), "kd long, kt int, mh long, start long, n long"), "places")
     often = places.groupBy("mh").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("mh")
     candidates = places.join(often, "mh").groupBy("kd", "kt").agg(
         F.collect_set(F.struct("mh", "start", "n")).alias("places"))
