@@ -248,7 +248,8 @@ def repeated_windows(docs: DataFrame, units, find, width: int, hot: int = HOT) -
     keyed = docs.select("doc_id", "text", F.coalesce("doc_id", F.xxhash64("text")).alias("kd"), F.hash("text").alias("kt"))
     places = stage(keyed.select("kd", "kt", "text").mapInArrow(
         scan(units, width), "kd long, kt int, mh long, start long, n long"), "places")
-    often = places.groupBy("mh").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("mh")
+    # staged, so that the join below has two plain sides and AQE can split a hot minimizer
+    often = stage(places.groupBy("mh").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("mh"), "repeated-minimizers")
     candidates = places.join(often, "mh").groupBy("kd", "kt").agg(
         F.collect_set(F.struct("mh", "start", "n")).alias("places"))
     segments = stage(keyed.select("kd", "kt", "text").join(candidates, ["kd", "kt"]).select(
