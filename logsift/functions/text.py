@@ -88,7 +88,7 @@ STRIP_RE = rf"^{WS}+|{WS}+$"
 
 
 def java(pattern: str, ignore_case: bool = False) -> str:
-    return ("(?iu)" if ignore_case else "") + pattern
+    return ("(?diu)" if ignore_case else "(?d)") + pattern  # d: only \n ends a line
 
 
 def re2(pattern: str, ignore_case: bool = False) -> str:

@@ -111,6 +111,8 @@ def unseen_alerts(feed: DataFrame, delivered: DataFrame, now: Column, horizon_mi
     """J6 + F15 + F19 (batch form of the poller): critical feed rows in the
     horizon (unparsable times kept, D16) whose key was not delivered, each
     once, with its message line ``• ts - msg``."""
+    if "created_at" in feed.columns:  # the other name of the time
+        feed = feed.withColumn("timestamp", F.coalesce(F.nullif("timestamp", F.lit("")), F.nullif("created_at", F.lit("")), F.lit("")))
     ts = T.parse_iso(F.col("timestamp"))
     c = recent(critical_only(feed), ts, now, horizon_minutes, keep_null=True)
     c = c.withColumn("alert_key", alert_key(F.col("session_id"), F.col("timestamp")))

@@ -134,7 +134,7 @@ def result_digest(command: Column, status: Column, exit_code: Column, duration_m
     emoji = F.when(exit_code == 0, F.lit(":white_check_mark:")).otherwise(F.lit(":x:"))
     head = F.format_string("%s Sandbox Result\n*Command:* `%s`\n*Status:* %s | *Exit:* `%d` | *Time:* %.0fms",
                            emoji, T.truncate(command, T.COMMAND_DIGEST_CHARS), status, exit_code,
-                           duration_ms.cast("double"))
+                           F.bround(duration_ms.cast("double"), 0))
     rejected = F.format_string(":no_entry: *Rejected:*\n```%s```", T.truncate(se, T.REJECTED_DIGEST_CHARS))
     body = F.concat_ws(
         "\n",

@@ -75,12 +75,18 @@ def first_n(df: DataFrame, key: str, order_cols: list[str], n: int, chunk: Colum
     are cut to ``n`` per chunk, then to ``n`` per hash group of chunks
     (``2**fanin_bits`` groups per key), then ranked per key.  The final rank
     sees at most ``n * 2**fanin_bits`` candidates per key whatever its size;
-    a middle task sees ``n`` times the key's chunks over ``2**fanin_bits``."""
+    a middle task sees ``n`` times the key's chunks over ``2**fanin_bits``.
+
+    Up to the engine's group-limit threshold a plain ``row_number`` does the
+    same with one shuffle: every task keeps ``n`` rows of a key before it."""
+    w = Window.partitionBy(key).orderBy(*order_cols)
+    if n <= int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        return df.withColumn(out, F.row_number().over(w)).where(F.col(out) <= n)
+
     def cut(d: DataFrame, part: list) -> DataFrame:
         w = Window.partitionBy(*part).orderBy(*order_cols)
         return d.withColumn("_fn_r", F.row_number().over(w)).where(F.col("_fn_r") <= n).drop("_fn_r")
     cand = cut(df.withColumn("_fn_chunk", chunk), [key, "_fn_chunk"])
     cand = cut(cand.withColumn("_fn_group", F.shiftright(F.xxhash64("_fn_chunk"), 64 - fanin_bits)),
                [key, "_fn_group"]).drop("_fn_chunk", "_fn_group")
-    w = Window.partitionBy(key).orderBy(*order_cols)
     return cand.withColumn(out, F.row_number().over(w)).where(F.col(out) <= n)

@@ -74,7 +74,7 @@ DOC_LINES = """doc_lines AS (
 STEPS = f"""steps AS (
   SELECT conv_id * 1000 + turn AS id, 'c' || conv_id AS agent_id, CAST(turn AS INTEGER) AS step_number,
          CASE role WHEN 'user' THEN 'decision' WHEN 'assistant' THEN 'api_call' ELSE 'bash' END AS action_type,
-         role AS action_detail, substr(text, 1, 80) AS result_summary,
+         role AS action_detail, text AS result_summary,
          {ISO.format("to_timestamp(1704067200 + conv_id * 3600 + turn * 60)")} AS timestamp
   FROM conversations)"""
 
@@ -392,7 +392,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY sandbox_id ORDER BY ingest_seq D
 SELECT sandbox_id, ingest_seq, status,
        '{T.RESULT_TITLE}' || chr(10) || '*session_id:* ' || sandbox_id || chr(10) || '*command:* `' || command || '`'
        || chr(10) || '*status:* ' || CASE WHEN exit_code = 0 THEN '{T.RESULT_OK}' ELSE '{T.RESULT_FAILED}' END || chr(10)
-       || CASE WHEN exit_code = 0 AND left(stdout, 200) <> '' THEN '*stdout:*```' || chr(10) || left(stdout, 200) || chr(10) || '```' || chr(10) ELSE '' END
+       || CASE WHEN exit_code = 0 AND coalesce(stdout, '') <> '' THEN '*stdout:*```' || chr(10) || stdout || chr(10) || '```' || chr(10) ELSE '' END
        || CASE WHEN exit_code <> 0 AND stderr <> '' THEN '*stderr:*```' || chr(10) || stderr || chr(10) || '```' || chr(10) ELSE '' END AS message,
        CASE WHEN exit_code = 0 THEN ':white_check_mark:' ELSE ':x:' END || ' Sandbox Result' || chr(10)
        || '*Command:* `' || left(command, 120) || '`' || chr(10)

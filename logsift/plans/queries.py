@@ -314,7 +314,7 @@ def q_result_report(spark, d):
     r = AU.with_status(command_results(spark, d), *AU.STATUSES)
     return r.select("sandbox_id", "ingest_seq", "status",
                     AU.result_message(F.col("sandbox_id"), F.col("command"), F.col("exit_code"),
-                                      T.truncate(F.col("stdout"), 200), F.col("stderr")).alias("message"),
+                                      F.col("stdout"), F.col("stderr")).alias("message"),
                     AU.result_digest(F.col("command"), F.col("status"), F.col("exit_code"),
                                      F.col("duration_ms"), F.col("stdout"), F.col("stderr")).alias("digest"))
 

@@ -112,7 +112,7 @@ def agent_steps(conversations: DataFrame) -> DataFrame:
         F.when(role == "user", F.lit("decision")).when(role == "assistant", F.lit("api_call"))
          .otherwise(F.lit("bash")).alias("action_type"),
         F.col("role").alias("action_detail"),
-        F.substring(F.col("text"), 1, 80).alias("result_summary"),
+        F.col("text").alias("result_summary"),
         T.iso_ms(F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 3600 + F.col("turn") * 60))
          .alias("timestamp"))
 

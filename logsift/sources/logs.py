@@ -20,13 +20,14 @@ from logsift import schemas
 from logsift.functions import text as T
 
 SESSION_FILE_RE = r"session_(.+)\.log$"
-LINE_RE = r"^\[([^\]]*)\] \[(stdout|stderr)\] (.*)$"
+LINE_RE = r"(?sd)^\[([^\]]*)\] \[(stdout|stderr)\] (.*)$"
 
 
 def read_session_logs(spark: SparkSession, path: str) -> DataFrame:
     """(session_id, ord, line) for every line of every session log
-    under ``path`` (invalid UTF-8 bytes become U+FFFD, D22)."""
-    raw = (spark.read.text(path)
+    under ``path`` (invalid UTF-8 bytes become U+FFFD, D22).  Only line
+    feeds end a line, as the writer has it; other files are left alone."""
+    raw = (spark.read.option("pathGlobFilter", "session_*.log").text(path, lineSep="\n")
            .select(F.col("value"), F.col("_metadata.file_path").alias("file"),
                    F.col("_metadata.file_block_start").alias("block"),
                    F.monotonically_increasing_id().alias("_mid")))

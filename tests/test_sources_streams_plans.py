@@ -31,7 +31,7 @@ def test_read_session_logs_keeps_order_and_meta(spark):
     parsed = LG.parse_log_lines(lines).where(F.col("stream") == "stderr").orderBy("ord").first()
     assert parsed.content == "Traceback (most recent call last):"
     s = compress_sessions(lines).collect()[0]
-    assert s.severity == "critical" and s.kept == 11
+    assert s.severity == "critical" and s.kept == 8
 
 
 def test_stream_ingest_and_alert_dedup(spark):
