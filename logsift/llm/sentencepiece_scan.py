@@ -6,14 +6,21 @@ is longest, place by place).  Characters without a piece cost ten less than
 the worst piece and are written as byte pieces.  Scores are summed as whole
 numbers, so sums are exact and the scan is associative.
 
-Ordinary documents are solved many at a time, in step.  A giant document (over
+No piece holds a blank after another character, nor (if so) a line feed beside
+others, so every split has a border there: the text falls into segments, mostly
+words, whose best splits are independent.  A segment is solved once in a task,
+many at a time, in step.  A vocabulary with such pieces has whole texts as
+segments; results are the same either way.
+
+A giant document (over
 ``giant`` characters) is cut into chunks: a state at a boundary says how many
 characters of the next chunk the piece across it takes, so a chunk is a matrix
 of best sums from each entry to each exit state.  Matrices are combined
 associatively, blocks of chunks first, which gives every chunk the best sums
 of its entry states.  Each chunk then solves itself from those sums and tells
 which entry each exit leads back to; composing these from the end gives every
-chunk its exit, from which it is traced back on its own.
+chunk its exit, from which it is traced back on its own.  Between its first and last border a chunk has one best
+sum for all entries and exits, so only its two ends need columns for states.
 
 White space follows the common settings: blanks become U+2581, one is put in
 front, nothing else is normalised; a vocabulary that wants more is refused.
@@ -27,6 +34,8 @@ whole texts are encoded; other columns are never read.
 from __future__ import annotations
 
 import hashlib
+import re
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -40,6 +49,8 @@ GIANT = 32_768
 CHUNK = 4_096
 GROUP = 64       # chunks of a block
 LATTICE = 300_000  # characters solved in step
+KNOWN = 200_000    # segments a task remembers, of up to LONG characters
+LONG = 64
 NONE = -(1 << 60)
 BLANK = "▁"
 MIX = 0x9E3779B97F4A7C15
@@ -64,9 +75,18 @@ class Vocabulary:
         self.unknown = min(s for s, _ in self.scores.values()) - 10 * scale
         self.width = max(map(len, self.scores))
         self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.byte_of = {i: b for b, i in enumerate(self.bytes)}
+        self.cut = None
+        if not any(BLANK in p.lstrip(BLANK) for p in self.scores):
+            alone = "" if any("\n" in p and len(p) > 1 for p in self.scores) else "\n"
+            self.cut = re.compile(f"{BLANK}*[^{BLANK}{alone}]+|{BLANK}+" + (f"|{alone}" if alone else ""))
+        self.text = dict(enumerate(self.pieces)) | {i: chr(b) for b, i in enumerate(self.bytes) if b < 128}
+        self.high = {i: b for b, i in enumerate(self.bytes) if b >= 128}
         self._table()
 
+    def segments(self, seen: str) -> list[str]:
+        """The text, cut where no piece can lie across."""
+        return self.cut.findall(seen) if self.cut else [seen] if seen else []
+
     def _table(self) -> None:
         starts = {p[:i] for p in self.scores for i in range(1, len(p) + 1)}
         keys = {}
@@ -162,9 +182,8 @@ class Lattice:
         for p in range(1, n + 1):
             on = active[p]
             sums = best[p:p + w, :on] + self.score[p - 1, :, :on, None]
-            pick = sums.argmax(0)
-            top = np.maximum(np.take_along_axis(sums, pick[None], 0)[0], NONE)
-            length = w - pick
+            top = np.maximum(sums.max(0), NONE)
+            length = w - sums.argmax(0)
             if p < rows:
                 own = best[p + w, :on]
                 stay = (own >= top) & (own > NONE // 2)
@@ -206,41 +225,75 @@ class Lattice:
         return out
 
 
-def encode_texts(v: Vocabulary, texts: list[str]) -> list[list[int]]:
-    """Ids of whole texts, many at a time."""
-    seen = [shown(t) for t in texts]
-    order = sorted(range(len(seen)), key=lambda i: -len(seen[i]))
-    out: list[list[int]] = [[] for _ in seen]
+def in_step(v: Vocabulary, jobs: list[tuple], columns: int = 1):
+    """Lattices of (key, text, core) jobs, each with its keys; a lattice holds a bounded number of characters."""
+    jobs = sorted((j for j in jobs if j[1]), key=lambda j: -len(j[1]))
     at = 0
-    while at < len(order):
-        longest = max(1, len(seen[order[at]]))
-        part = order[at:at + max(1, LATTICE // longest)]
+    while at < len(jobs):
+        part = jobs[at:at + max(1, LATTICE // (len(jobs[at][1]) * columns))]
         at += len(part)
-        part = [i for i in part if seen[i]]
-        if part:
-            lattice = Lattice(v, [seen[i] for i in part])
-            _, back = lattice.forward(np.zeros((1, len(part), 1), "i8"))
-            lane = np.arange(len(part))
+        yield Lattice(v, [j[1] for j in part], [j[2] for j in part]), [j[0] for j in part]
+
+
+class Segments:
+    """Best splits of segments, (ids, sum); those seen lately are not solved again."""
+
+    def __init__(self, v: Vocabulary):
+        self.v, self.known = v, {}
+
+    def solve(self, texts: list[str]) -> list[tuple[list[int], int]]:
+        """(ids, best sum) of texts as the vocabulary sees them."""
+        cut = [self.v.segments(t) for t in texts]
+        new = set(chain.from_iterable(cut)).difference(self.known)
+        for lattice, keys in in_step(self.v, [(s, s, len(s)) for s in new]):
+            best, back = lattice.forward(np.zeros((1, len(keys), 1), "i8"))
+            lane = np.arange(len(keys))
             _, steps = lattice.trace(back[:, :, 0], lane, lattice.lens)
-            for i, found in zip(part, lattice.ids(steps, len(part), lane)):
-                out[i] = found
+            sums = best[lattice.lens, lane, 0].tolist()
+            self.known.update(zip(keys, zip(lattice.ids(steps, len(keys), lane), sums)))
+        out = []
+        for parts in cut:
+            found = [self.known[s] for s in parts]
+            out.append((list(chain.from_iterable(f[0] for f in found)), sum(f[1] for f in found)))
+        for s in new:
+            if len(s) > LONG:
+                del self.known[s]
+        if len(self.known) > KNOWN:
+            self.known.clear()
+        return out
+
+
+def encode_texts(v: Vocabulary, texts: list[str], segments: Segments | None = None) -> list[list[int]]:
+    """Ids of whole texts, about a lattice of characters at a time."""
+    segments = segments or Segments(v)
+    out: list[list[int]] = []
+    at = 0
+    while at < len(texts):
+        part, size = [], 0
+        while at < len(texts) and size < LATTICE:
+            part.append(shown(texts[at]))
+            size += len(part[-1])
+            at += 1
+        out += [ids for ids, _ in segments.solve(part)]
     return out
 
 
 def decode_ids(v: Vocabulary, ids: list[int], first: bool = True) -> str:
     """Text of ids; ``first``: they begin a document, whose blank in front is dropped."""
-    out, raw = [], bytearray()
-    for i in ids:
-        if i in v.byte_of:
-            raw.append(v.byte_of[i])
-            continue
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-            raw = bytearray()
-        out.append(v.pieces[i])
-    if raw:
-        out.append(raw.decode("utf-8", "replace"))
-    text = "".join(out).replace(BLANK, " ")
+    if v.high.keys().isdisjoint(ids):
+        text = "".join(map(v.text.__getitem__, ids))
+    else:
+        out, raw = [], bytearray()
+        for i in ids:
+            if i in v.high:
+                raw.append(v.high[i])
+                continue
+            if raw:
+                out.append(raw.decode("utf-8", "replace"))
+                raw = bytearray()
+            out.append(v.text[i])
+        text = "".join(out) + raw.decode("utf-8", "replace")
+    text = text.replace(BLANK, " ")
     return text[1:] if first and text.startswith(" ") else text
 
 
@@ -270,35 +323,79 @@ def solve_chunks(path: str, what: str):
     sums of the entries; ids: the ids traced back from the exit.
     """
 
-    def solve(v, rows):
+    def ends(v, text, core):
+        """The first border behind every entry and the last one before every exit, if there are such."""
+        cuts = np.cumsum([len(s) for s in v.segments(text)])[:-1]
+        inner = cuts[(cuts >= v.width) & (cuts <= core)]
+        return (int(inner[0]), int(inner[-1])) if len(inner) else None
+
+    def every_entry(w, k):
+        entry = np.full((w, k, w), NONE, "i8")
+        entry[np.arange(w), :, np.arange(w)] = 0
+        return entry
+
+    def own_entry(rows, keys):
+        return np.stack([np.frombuffer(rows[i][4], "<i8") for i in keys], 1)[:, :, None]
+
+    def exit_sums(lattice, best):
+        """Best sums of the exits: (texts, exits, entry columns)."""
+        reach = lattice.cores[:, None] + np.arange(lattice.v.width)
+        sums = best[np.minimum(reach, lattice.n), np.arange(lattice.k)[:, None]]
+        return np.where((reach <= lattice.lens[:, None])[:, :, None], sums, NONE)
+
+    def solve(v, segments, rows):
         w = v.width
-        rows = sorted(rows, key=lambda r: -len(r[3]))
-        lattice = Lattice(v, [r[3] for r in rows], [r[2] for r in rows])
-        lane, core = np.arange(len(rows)), lattice.cores
-        if what == "matrix":
-            entry = np.full((w, len(rows), w), NONE, "i8")
-            entry[np.arange(w), :, np.arange(w)] = 0
-        else:
-            entry = np.stack([np.frombuffer(r[4], "<i8") for r in rows], 1)[:, :, None]
-        best, back = lattice.forward(entry)
-        reach = np.minimum(core[:, None] + np.arange(w), lattice.n)
+        ends_of = [ends(v, r[3], r[2]) for r in rows]
+        whole = [(i, r[3], r[2]) for i, (r, e) in enumerate(zip(rows, ends_of)) if not e]
+        heads = [(i, r[3][:e[0]], e[0]) for i, (r, e) in enumerate(zip(rows, ends_of)) if e]
+        tails = [(i, r[3][e[1]:], r[2] - e[1]) for i, (r, e) in enumerate(zip(rows, ends_of)) if e]
+        cut = [i for i, e in enumerate(ends_of) if e]
+        out: dict = {}
         if what == "matrix":
-            exits = best[reach, lane[:, None]].transpose(0, 2, 1)  # texts, entries, exits
-            exits = np.where((core[:, None] + np.arange(w) <= lattice.lens[:, None])[:, None, :], exits, NONE)
-            return [(r[0], r[1], m.astype("<i8").tobytes()) for r, m in zip(rows, exits)]
+            middle = segments.solve([rows[i][3][slice(*ends_of[i])] for i in cut])
+            for lattice, keys in in_step(v, whole, w):
+                best, _ = lattice.forward(every_entry(w, len(keys)))
+                out.update(zip(keys, exit_sums(lattice, best).transpose(0, 2, 1)))
+            head, tail = {}, {}
+            for lattice, keys in in_step(v, heads, w):
+                best, _ = lattice.forward(every_entry(w, len(keys)))
+                head.update(zip(keys, best[lattice.lens, np.arange(len(keys))]))
+            for lattice, keys in in_step(v, tails):
+                best, _ = lattice.forward(np.zeros((1, len(keys), 1), "i8"))
+                tail.update(zip(keys, exit_sums(lattice, best)[:, :, 0]))
+            for i, (_, between) in zip(cut, middle):
+                out[i] = np.maximum(head[i][:, None] + between + tail[i], NONE)
+            return [(r[0], r[1], out[i].astype("<i8").tobytes()) for i, r in enumerate(rows)]
         if what == "back":
-            entries, _ = lattice.trace(back[:, :, 0], np.repeat(lane, w), reach.ravel())
-            return [(r[0], r[1], e.astype("u1").tobytes()) for r, e in zip(rows, entries.reshape(-1, w))]
-        _, steps = lattice.trace(back[:, :, 0], lane, core + np.array([r[5] for r in rows]))
-        return [(r[0], r[1], np.array(i, "<i4").tobytes()) for r, i in zip(rows, lattice.ids(steps, len(rows), lane))]
+            for lattice, keys in in_step(v, whole):
+                _, back = lattice.forward(own_entry(rows, keys))
+                reach = np.minimum(lattice.cores[:, None] + np.arange(w), lattice.n)
+                entries, _ = lattice.trace(back[:, :, 0], np.repeat(np.arange(len(keys)), w), reach.ravel())
+                out.update(zip(keys, entries.reshape(-1, w)))
+            for lattice, keys in in_step(v, heads):
+                _, back = lattice.forward(own_entry(rows, keys))
+                entries, _ = lattice.trace(back[:, :, 0], np.arange(len(keys)), lattice.lens)
+                out.update((i, np.full(w, e)) for i, e in zip(keys, entries))
+            return [(r[0], r[1], out[i].astype("u1").tobytes()) for i, r in enumerate(rows)]
+        middle = dict(zip(cut, segments.solve([rows[i][3][slice(*ends_of[i])] for i in cut])))
+        for jobs in (whole, heads, tails):
+            for lattice, keys in in_step(v, jobs):
+                lane = np.arange(len(keys))
+                first = np.zeros((1, len(keys), 1), "i8") if jobs is tails else own_entry(rows, keys)
+                last = lattice.lens if jobs is heads else lattice.cores + np.array([rows[i][5] for i in keys])
+                _, back = lattice.forward(first)
+                _, steps = lattice.trace(back[:, :, 0], lane, last)
+                for i, ids in zip(keys, lattice.ids(steps, len(keys), lane)):
+                    out[i] = out[i] + middle[i][0] + ids if jobs is tails else ids
+        return [(r[0], r[1], np.array(out[i], "<i4").tobytes()) for i, r in enumerate(rows)]
 
     def run(batches):
         v = Vocabulary(path)
-        most = max(1, LATTICE // (CHUNK * (v.width if what == "matrix" else 1)))
+        segments = Segments(v)
         for b in batches:
             rows = list(zip(*(c.to_pylist() for c in b.columns)))
-            for i in range(0, len(rows), most):
-                out = solve(v, rows[i:i + most])
+            for i in range(0, len(rows), 200):
+                out = solve(v, segments, rows[i:i + 200])
                 cols = [pa.array(c, pa.type_for_alias(t)) for c, t in zip(zip(*out), ["int64", "int64", "binary"])]
                 yield pa.RecordBatch.from_arrays(cols, ["rid", "chunk", "value"])
 
@@ -390,9 +487,11 @@ def digest_batches(path: str):
 
     def run(batches):
         v = Vocabulary(path)
+        segments = Segments(v)
         for b in batches:
             docs, texts = (c.to_pylist() for c in b.columns)
-            rows = [(d, len(t), *digest(ids, decode_ids(v, ids))) for d, t, ids in zip(docs, texts, encode_texts(v, texts))]
+            rows = [(d, len(t), *digest(ids, decode_ids(v, ids)))
+                    for d, t, ids in zip(docs, texts, encode_texts(v, texts, segments))]
             cols = list(zip(*rows)) or [()] * 5
             kinds = ["int64"] * 3 + ["string"] * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.type_for_alias(t)) for c, t in zip(cols, kinds)],
