@@ -6,11 +6,11 @@ is longest, place by place).  Characters without a piece cost ten less than
 the worst piece and are written as byte pieces.  Scores are summed as whole
 numbers, so sums are exact and the scan is associative.
 
-No piece holds a blank after another character, nor (if so) a line feed beside
-others, so every split has a border there: the text falls into segments, mostly
-words, whose best splits are independent.  A segment is solved once in a task,
-many at a time, in step.  A vocabulary with such pieces has whole texts as
-segments; results are the same either way.
+Where no piece of the vocabulary holds, say, a blank after another character or
+a letter beside a digit, every split has a border there: the text falls into
+segments, mostly words, whose best splits are independent.  A segment is solved
+once in a task, many at a time, in step.  The cuts are checked against every
+piece; if none holds, whole texts are segments, with the same results.
 
 A giant document (over
 ``giant`` characters) is cut into chunks: a state at a boundary says how many
@@ -49,11 +49,16 @@ GIANT = 32_768
 CHUNK = 4_096
 GROUP = 64       # chunks of a block
 LATTICE = 300_000  # characters solved in step
-KNOWN = 200_000    # segments a task remembers, of up to LONG characters
+KNOWN = 400_000    # segments a task remembers, of up to LONG characters
 LONG = 64
 NONE = -(1 << 60)
 BLANK = "▁"
 MIX = 0x9E3779B97F4A7C15
+#: Ways to cut a text by the kinds of adjacent characters, finest first; one that cuts no piece may be used.
+CUTS = [re.compile(c.replace("_B", BLANK)) for c in (
+    r"_B*[^\W\d_²]+|_B*\d|_B*(?:[^\w_B\n]|[_²])+|_B+|\n",  # letters, single digits, other signs
+    r"_B*[^_B\n]+|_B+|\n",
+    r"_B*[^_B]+|_B+")]
 SCALE = 1 << 20  # scores that are not whole numbers are counted in these parts
 
 
@@ -75,12 +80,17 @@ class Vocabulary:
         self.unknown = min(s for s, _ in self.scores.values()) - 10 * scale
         self.width = max(map(len, self.scores))
         self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.cut = None
-        if not any(BLANK in p.lstrip(BLANK) for p in self.scores):
-            alone = "" if any("\n" in p and len(p) > 1 for p in self.scores) else "\n"
-            self.cut = re.compile(f"{BLANK}*[^{BLANK}{alone}]+|{BLANK}+" + (f"|{alone}" if alone else ""))
-        self.text = dict(enumerate(self.pieces)) | {i: chr(b) for b, i in enumerate(self.bytes) if b < 128}
-        self.high = {i: b for b, i in enumerate(self.bytes) if b >= 128}
+        self.cut = next((c for c in CUTS if all(len(c.findall(p)) < 2 for p in self.scores)), None)
+        self.words = self.cut is not None  # every cut is one before the first blank of a word
+        self.text = list(self.pieces)
+        self.cost = np.zeros(len(self.pieces), "i8")  # of an id; a character written as bytes costs its first byte
+        self.high = np.zeros(len(self.pieces), bool)  # bytes that are no character by themselves
+        self.raw = np.zeros(len(self.pieces), "u1")
+        for b, i in enumerate(self.bytes):
+            self.text[i], self.high[i], self.raw[i] = chr(b), b >= 128, b
+            self.cost[i] = self.unknown if b >> 6 != 2 else 0
+        for score, i in self.scores.values():
+            self.cost[i] = score
         self._table()
 
     def segments(self, seen: str) -> list[str]:
@@ -146,8 +156,9 @@ class Lattice:
         n, k = int(self.lens.max(initial=0)), self.k
         self.n = n
         signs = np.zeros((n + w, k), "u8")
-        for lane, text in enumerate(texts):
-            signs[:len(text), lane] = code_points(text) + np.uint64(1)
+        lane = np.repeat(np.arange(k), self.lens)
+        place = np.arange(len(lane)) - np.repeat(np.cumsum(self.lens) - self.lens, self.lens)
+        signs[place, lane] = code_points("".join(texts)) + np.uint64(1)
         signs = signs.ravel()
         self.score = np.full((n, w, k), NONE, "i8")
         self.id = np.full((n, w, k), -1, "i4")
@@ -203,9 +214,8 @@ class Lattice:
             place[on] -= length
         return place, steps
 
-    def ids(self, steps, count: int, lane: np.ndarray) -> list[list[int]]:
-        """Ids in text order of ``count`` traces."""
-        out: list[list[int]] = [[] for _ in range(count)]
+    def ids(self, steps, count: int, lane: np.ndarray) -> list[bytes]:
+        """Ids in text order of ``count`` traces, as 32-bit numbers."""
         w = self.v.width
         row = np.concatenate([s[0] for s in steps] or [np.zeros(0, "i8")])
         place = np.concatenate([s[1] for s in steps] or [np.zeros(0, "i8")])
@@ -213,15 +223,14 @@ class Lattice:
         found = self.id[place - 1, w - length, lane[row]]
         order = np.lexsort((place, row))
         row, place, found = row[order], place[order], found[order]
-        cuts = np.searchsorted(row, np.arange(count + 1))
-        for r in range(count):
-            part = found[cuts[r]:cuts[r + 1]]
-            if (part < 0).any():
-                text = self.texts[lane[r]]
-                for i, p in zip(part.tolist(), place[cuts[r]:cuts[r + 1]].tolist()):
-                    out[r] += [i] if i >= 0 else [self.v.bytes[b] for b in text[p - 1].encode()]
-            else:
-                out[r] = part.tolist()
+        cuts = np.searchsorted(row, np.arange(count + 1)).tolist()
+        code = found.astype("<i4").tobytes()
+        out = [code[4 * a:4 * z] for a, z in zip(cuts, cuts[1:])]
+        for r in np.unique(row[found < 0]).tolist():
+            text, ids = self.texts[lane[r]], []
+            for i, p in zip(found[cuts[r]:cuts[r + 1]].tolist(), place[cuts[r]:cuts[r + 1]].tolist()):
+                ids += [i] if i >= 0 else [self.v.bytes[b] for b in text[p - 1].encode()]
+            out[r] = np.array(ids, "<i4").tobytes()
         return out
 
 
@@ -236,37 +245,41 @@ def in_step(v: Vocabulary, jobs: list[tuple], columns: int = 1):
 
 
 class Segments:
-    """Best splits of segments, (ids, sum); those seen lately are not solved again."""
+    """Ids of words and segments as 32-bit numbers; those seen lately are not solved again."""
 
     def __init__(self, v: Vocabulary):
-        self.v, self.known = v, {}
-
-    def solve(self, texts: list[str]) -> list[tuple[list[int], int]]:
-        """(ids, best sum) of texts as the vocabulary sees them."""
-        cut = [self.v.segments(t) for t in texts]
-        new = set(chain.from_iterable(cut)).difference(self.known)
-        for lattice, keys in in_step(self.v, [(s, s, len(s)) for s in new]):
-            best, back = lattice.forward(np.zeros((1, len(keys), 1), "i8"))
+        self.v, self.known, self.words = v, {}, {}
+
+    def solve(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts as the vocabulary sees them."""
+        # texts with single blanks fall into words, each standing for itself and the blank in front
+        plain = [self.v.words and t.startswith(BLANK) and BLANK + BLANK not in t for t in texts]
+        parts = [t[1:].split(BLANK) if p else self.v.segments(t) for t, p in zip(texts, plain)]
+        new = {}
+        for word in set(chain.from_iterable(c for c, p in zip(parts, plain) if p)).difference(self.words):
+            new[word] = [BLANK + word] if word.isalpha() else self.v.segments(BLANK + word)
+        fresh = set(chain.from_iterable(new.values())).union(*(c for c, p in zip(parts, plain) if not p))
+        fresh.difference_update(self.known)
+        for lattice, keys in in_step(self.v, [(s, s, len(s)) for s in fresh]):
+            _, back = lattice.forward(np.zeros((1, len(keys), 1), "i8"))
             lane = np.arange(len(keys))
             _, steps = lattice.trace(back[:, :, 0], lane, lattice.lens)
-            sums = best[lattice.lens, lane, 0].tolist()
-            self.known.update(zip(keys, zip(lattice.ids(steps, len(keys), lane), sums)))
-        out = []
-        for parts in cut:
-            found = [self.known[s] for s in parts]
-            out.append((list(chain.from_iterable(f[0] for f in found)), sum(f[1] for f in found)))
-        for s in new:
-            if len(s) > LONG:
-                del self.known[s]
-        if len(self.known) > KNOWN:
-            self.known.clear()
+            self.known.update(zip(keys, lattice.ids(steps, len(keys), lane)))
+        segment, whole = self.known.__getitem__, self.words.__getitem__
+        for word, cut in new.items():
+            self.words[word] = segment(cut[0]) if len(cut) == 1 else b"".join(map(segment, cut))
+        out = [b"".join(map(whole if p else segment, c)) for c, p in zip(parts, plain)]
+        for table, keys in ((self.known, fresh), (self.words, new)):
+            for s in keys:
+                if len(s) > LONG:
+                    del table[s]
+            if len(table) > KNOWN:
+                table.clear()
         return out
 
 
-def encode_texts(v: Vocabulary, texts: list[str], segments: Segments | None = None) -> list[list[int]]:
-    """Ids of whole texts, about a lattice of characters at a time."""
-    segments = segments or Segments(v)
-    out: list[list[int]] = []
+def encode_codes(v: Vocabulary, texts: list[str], segments: Segments):
+    """Ids of whole texts as 32-bit numbers, about a lattice of characters at a time."""
     at = 0
     while at < len(texts):
         part, size = [], 0
@@ -274,25 +287,24 @@ def encode_texts(v: Vocabulary, texts: list[str], segments: Segments | None = No
             part.append(shown(texts[at]))
             size += len(part[-1])
             at += 1
-        out += [ids for ids, _ in segments.solve(part)]
-    return out
+        yield from segments.solve(part)
 
 
-def decode_ids(v: Vocabulary, ids: list[int], first: bool = True) -> str:
+def encode_texts(v: Vocabulary, texts: list[str]) -> list[list[int]]:
+    """Ids of whole texts."""
+    return [np.frombuffer(code, "<i4").tolist() for code in encode_codes(v, texts, Segments(v))]
+
+
+def decode_ids(v: Vocabulary, ids, first: bool = True) -> str:
     """Text of ids; ``first``: they begin a document, whose blank in front is dropped."""
-    if v.high.keys().isdisjoint(ids):
-        text = "".join(map(v.text.__getitem__, ids))
-    else:
-        out, raw = [], bytearray()
-        for i in ids:
-            if i in v.high:
-                raw.append(v.high[i])
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw = bytearray()
-            out.append(v.text[i])
-        text = "".join(out) + raw.decode("utf-8", "replace")
+    ids = np.asarray(ids, "i8")
+    parts = list(map(v.text.__getitem__, ids.tolist()))
+    high = np.flatnonzero(v.high[ids])
+    if len(high):
+        for run in np.split(high, np.flatnonzero(np.diff(high) > 1) + 1):
+            a, z = int(run[0]), int(run[-1]) + 1
+            parts[a:z] = [v.raw[ids[a:z]].tobytes().decode("utf-8", "replace")] + [""] * (z - a - 1)
+    text = "".join(parts)
     text = text.replace(BLANK, " ")
     return text[1:] if first and text.startswith(" ") else text
 
@@ -363,7 +375,8 @@ def solve_chunks(path: str, what: str):
             for lattice, keys in in_step(v, tails):
                 best, _ = lattice.forward(np.zeros((1, len(keys), 1), "i8"))
                 tail.update(zip(keys, exit_sums(lattice, best)[:, :, 0]))
-            for i, (_, between) in zip(cut, middle):
+            for i, code in zip(cut, middle):
+                between = v.cost[np.frombuffer(code, "<i4")].sum()
                 out[i] = np.maximum(head[i][:, None] + between + tail[i], NONE)
             return [(r[0], r[1], out[i].astype("<i8").tobytes()) for i, r in enumerate(rows)]
         if what == "back":
@@ -386,8 +399,8 @@ def solve_chunks(path: str, what: str):
                 _, back = lattice.forward(first)
                 _, steps = lattice.trace(back[:, :, 0], lane, last)
                 for i, ids in zip(keys, lattice.ids(steps, len(keys), lane)):
-                    out[i] = out[i] + middle[i][0] + ids if jobs is tails else ids
-        return [(r[0], r[1], np.array(out[i], "<i4").tobytes()) for i, r in enumerate(rows)]
+                    out[i] = out[i] + middle[i] + ids if jobs is tails else ids
+        return [(r[0], r[1], out[i]) for i, r in enumerate(rows)]
 
     def run(batches):
         v = Vocabulary(path)
@@ -474,9 +487,8 @@ def encode_giants(rows: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
         solve_chunks(path, "ids"), SOLVED)
 
 
-def digest(ids: list[int], decoded: str) -> tuple[int, str, str]:
-    return (len(ids), hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest(),
-            hashlib.sha256(decoded.encode()).hexdigest())
+def digest(code: bytes, decoded: str) -> tuple[int, str, str]:
+    return len(code) // 4, hashlib.sha256(code).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
 
 DIGESTS = "doc_id long, n_chars long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -490,8 +502,8 @@ def digest_batches(path: str):
         segments = Segments(v)
         for b in batches:
             docs, texts = (c.to_pylist() for c in b.columns)
-            rows = [(d, len(t), *digest(ids, decode_ids(v, ids)))
-                    for d, t, ids in zip(docs, texts, encode_texts(v, texts, segments))]
+            rows = [(d, len(t), *digest(code, decode_ids(v, np.frombuffer(code, "<i4"))))
+                    for d, t, code in zip(docs, texts, encode_codes(v, texts, segments))]
             cols = list(zip(*rows)) or [()] * 5
             kinds = ["int64"] * 3 + ["string"] * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.type_for_alias(t)) for c, t in zip(cols, kinds)],
@@ -506,9 +518,8 @@ def digest_parts(path: str):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         v = Vocabulary(path)
         pdf = pdf.sort_values("chunk")
-        parts = [np.frombuffer(code, "<i4").tolist() for code in pdf["value"]]
-        text = "".join(decode_ids(v, ids, i == 0) for i, ids in enumerate(parts))
-        row = (pdf["doc_id"].iloc[0], pdf["n_chars"].iloc[0], *digest([i for p in parts for i in p], text))
+        text = "".join(decode_ids(v, np.frombuffer(code, "<i4"), i == 0) for i, code in enumerate(pdf["value"]))
+        row = (pdf["doc_id"].iloc[0], pdf["n_chars"].iloc[0], *digest(b"".join(pdf["value"]), text))
         out = pd.DataFrame([row], columns=[c.split()[0] for c in DIGESTS.split(", ")])
         return out.astype({"doc_id": "Int64"})
 
