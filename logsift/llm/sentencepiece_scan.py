@@ -9,7 +9,7 @@ numbers, so sums are exact and the scan is associative.
 Where no piece of the vocabulary holds, say, a blank after another character or
 a letter beside a digit, every split has a border there: the text falls into
 segments, mostly words, whose best splits are independent.  A segment is solved
-once in a task, many at a time, in step.  The cuts are checked against every
+once while it is remembered, many at a time, in step.  The cuts are checked against every
 piece; if none holds, whole texts are segments, with the same results.
 
 A giant document (over
@@ -35,6 +35,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -259,7 +260,7 @@ class Segments:
         for word in set(chain.from_iterable(c for c, p in zip(parts, plain) if p)).difference(self.words):
             new[word] = [BLANK + word] if word.isalpha() else self.v.segments(BLANK + word)
         fresh = set(chain.from_iterable(new.values())).union(*(c for c, p in zip(parts, plain) if not p))
-        fresh.difference_update(self.known)
+        fresh = fresh.difference(self.known)  # asks for each new one; difference_update would walk through all known
         for lattice, keys in in_step(self.v, [(s, s, len(s)) for s in fresh]):
             _, back = lattice.forward(np.zeros((1, len(keys), 1), "i8"))
             lane = np.arange(len(keys))
@@ -278,6 +279,12 @@ class Segments:
         return out
 
 
+@lru_cache(maxsize=2)
+def loaded(path: str) -> Segments:
+    """A vocabulary with what is known of it, kept from task to task of a Python worker."""
+    return Segments(Vocabulary(path))
+
+
 def encode_codes(v: Vocabulary, texts: list[str], segments: Segments):
     """Ids of whole texts as 32-bit numbers, about a lattice of characters at a time."""
     at = 0
@@ -313,7 +320,7 @@ def cut_chunks(path: str, size: int):
     """Task function: (rid, text) to (rid, chunk, core, text with what pieces may reach into)."""
 
     def run(batches):
-        width = Vocabulary(path).width
+        width = loaded(path).v.width
         for b in batches:
             for rid, text in zip(*(c.to_pylist() for c in b.columns)):
                 seen = shown(text)
@@ -403,8 +410,8 @@ def solve_chunks(path: str, what: str):
         return [(r[0], r[1], out[i]) for i, r in enumerate(rows)]
 
     def run(batches):
-        v = Vocabulary(path)
-        segments = Segments(v)
+        segments = loaded(path)
+        v = segments.v
         for b in batches:
             rows = list(zip(*(c.to_pylist() for c in b.columns)))
             for i in range(0, len(rows), 200):
@@ -498,8 +505,8 @@ def digest_batches(path: str):
     """Task function: ordinary (doc_id, text) rows to digests of ids and of the text they decode to."""
 
     def run(batches):
-        v = Vocabulary(path)
-        segments = Segments(v)
+        segments = loaded(path)
+        v = segments.v
         for b in batches:
             docs, texts = (c.to_pylist() for c in b.columns)
             rows = [(d, len(t), *digest(code, decode_ids(v, np.frombuffer(code, "<i4"))))
@@ -516,7 +523,7 @@ def digest_parts(path: str):
     """Group function: the chunks of one giant document to its digests; each chunk decodes on its own."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = Vocabulary(path)
+        v = loaded(path).v
         pdf = pdf.sort_values("chunk")
         text = "".join(decode_ids(v, np.frombuffer(code, "<i4"), i == 0) for i, code in enumerate(pdf["value"]))
         row = (pdf["doc_id"].iloc[0], pdf["n_chars"].iloc[0], *digest(b"".join(pdf["value"]), text))
