@@ -3,24 +3,24 @@
 Examples are a bounded sample of the labelled rows (``max_examples`` of each
 class, the smallest hashes of their ids); rows to hold out are never read as
 examples.  Terms are lower-cased runs of letters and their first 4 to 7 letters;
-the ``max_terms`` that tell
-the classes of the examples apart best (chi-square of presence, ``MIN_CHI2`` at
-least) form the vocabulary.  Document frequencies of these terms are counted over all
-documents, and every document becomes a sparse TF-IDF vector of unit length.
+every term of an example belongs to the vocabulary, however rare.  Document
+frequencies are counted over all documents, and every document becomes a sparse
+TF-IDF vector of unit length, in which a term weighs one more than its chi-square
+(how far its presence tells the classes of the examples apart); no term is cut off.
 
 The index over the examples is an inverted list for each term, cut into blocks
 of ``BLOCK`` examples with the largest weight of each block.  A query sums
-those maxima to an upper bound for every block, scores the most promising
-blocks, and then only those whose bound reaches the k-th best similarity, so
-the nearest neighbours are exact.  All neighbours as near as the k-th count
+those maxima to an upper bound for every block, gathers the postings of the most
+promising blocks, and then only of those whose bound reaches the k-th best
+similarity, so the nearest neighbours are exact.  All neighbours as near as the k-th count
 (equal vectors are indexed once, with their numbers of examples), so ties have
 no order.  Votes are weighted by squared similarity and by how many labelled
 rows an example stands for, and shrunk to the share of toxic rows; a monotone
-curve fitted to leave-one-out votes of the examples turns them into
-probabilities.
+curve fitted to leave-one-out votes of the examples (which do not count in the
+weights of their own terms either) turns them into probabilities.
 
-The index is bounded by its parameters (4,000 examples, 256 terms by
-default) and sent to the tasks; the text is read once.
+The index is bounded by the terms of the examples (at most 4,000 by default) and
+sent to the tasks; the text is read once.
 
 Cases: null or empty texts, and texts without a term of the vocabulary, are
 voted on by the examples that have none either; without any neighbour a text
@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -46,9 +47,6 @@ from logsift.llm.common import fresh, stage
 BLOCK = 64
 NEIGHBOURS = 25
 MAX_EXAMPLES = 2000
-MAX_TERMS = 256
-MIN_CHI2 = 40.0  # far beyond chance for one term among a million
-MIN_EXAMPLES_OF_TERM = 3
 PRIOR_WEIGHT = 0.5
 THRESHOLD = 0.3
 STEM_LENGTHS = (4, 5, 6, 7)
@@ -56,6 +54,11 @@ STEM = "^"
 WORD = re.compile(r"[^\W\d_]+")
 
 
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges of these starts and lengths, one range after the other."""
+    return np.arange(lengths.sum()) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+
+
 class TermIndex:
     """Exact nearest examples by TF-IDF cosine, from block-max inverted lists."""
 
@@ -68,6 +71,8 @@ class TermIndex:
             key = np.concatenate([terms, counts]).astype("i4").tobytes()
             g = groups.setdefault(key, [terms, counts, [0, 0], doc])
             g[2][label] += 1
+        # examples that share their heaviest term lie together, so that the maxima of blocks are close
+        groups = dict(sorted(groups.items(), key=lambda g: (self.heaviest(g[1][0], g[1][1]), g[1][3])))
         self.place = {key: i for i, key in enumerate(groups)}
         self.votes = np.array([g[2] for g in groups.values()], "f8").reshape(-1, 2) * weight
         self.number = np.array([sum(g[2]) for g in groups.values()], "i8")
@@ -80,29 +85,43 @@ class TermIndex:
         terms = np.concatenate([g[0] for g in groups.values()] or [np.zeros(0, "i8")]).astype("i8")
         value = np.concatenate(rows or [np.zeros(0)])
         order = np.lexsort((at, terms))
-        self.at, self.value = at[order], value[order]
-        self.starts = np.searchsorted(terms[order], np.arange(len(idf) + 1))
+        terms, block = terms[order], at[order] // BLOCK
+        self.at, self.value = at[order].astype("i4"), value[order]
         self.blocks = -(-len(rows) // BLOCK)
-        self.block_max = np.zeros((len(idf), max(1, self.blocks)))
-        np.maximum.at(self.block_max, (terms, at // BLOCK), value)
+        # runs: the postings of one term in one block
+        new = np.ones(len(terms), bool)
+        new[1:] = (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])
+        self.run_at = np.flatnonzero(new)
+        self.run_size = np.diff(np.append(self.run_at, len(terms)))
+        self.run_block = block[self.run_at]
+        self.run_max = np.maximum.reduceat(self.value, self.run_at) if len(terms) else np.zeros(0)
+        self.runs = np.searchsorted(terms[self.run_at], np.arange(len(idf) + 1))
         self.curve = (np.array([0.0]), np.array([self.base]))
 
     def unit(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         w = (1 + np.log(counts)) * self.idf[terms]
         return w / np.sqrt((w * w).sum()) if len(w) else w
 
-    def nearest(self, terms: np.ndarray, counts: np.ndarray, without: int | None = None):
-        """(places, similarities) of the neighbours, nearest first; ``without`` leaves one example of a place out."""
+    def heaviest(self, terms: np.ndarray, counts: np.ndarray) -> int:
+        return int(terms[np.argmax(self.unit(terms, counts))]) if len(terms) else -1
+
+    def nearest(self, terms: np.ndarray, counts: np.ndarray, without: int | None = None, idf: np.ndarray | None = None):
+        """(places, similarities) of the neighbours, nearest first; ``without`` leaves one example of a place out.
+
+        ``idf``: other weights of these terms, for the query and its neighbours (whose lengths stay as they are).
+        """
         number = self.number
         if without is not None:
             number = number.copy()
             number[without] -= 1
         w = self.unit(terms, counts)
-        spans = [slice(self.starts[t], self.starts[t + 1]) for t in terms]
-        at = np.concatenate([self.at[s] for s in spans] or [np.zeros(0, "i8")])
-        part = np.concatenate([self.value[s] * x for s, x in zip(spans, w)] or [np.zeros(0)])
-        block = at // BLOCK
-        bound = w @ self.block_max[terms] + 1e-9
+        if idf is not None:
+            w = (1 + np.log(counts)) * idf
+            w = w / np.sqrt((w * w).sum()) * idf / self.idf[terms]
+        many = self.runs[terms + 1] - self.runs[terms]
+        run, weight = spread(self.runs[terms], many), np.repeat(w, many)
+        block = self.run_block[run]
+        bound = np.bincount(block, self.run_max[run] * weight, self.blocks) + 1e-9
         floor, todo = 1e-9, np.argsort(-bound, kind="stable")
         sims = np.zeros(len(number))
         size = 4
@@ -113,8 +132,10 @@ class TermIndex:
             chosen = np.zeros(len(bound), bool)
             chosen[now] = True
             use = chosen[block]
-            sims += np.bincount(at[use], part[use], len(sims))
-            todo, size = todo[size:], len(todo)
+            some, length = run[use], self.run_size[run[use]]
+            at = spread(self.run_at[some], length)
+            sims += np.bincount(self.at[at], self.value[at] * np.repeat(weight[use], length), len(sims))
+            todo, size = todo[size:], 2 * size
             floor = max(floor, self._kth(sims, number))
         sims = np.round(sims, 9)
         hits = np.flatnonzero((sims >= max(1e-9, round(self._kth(sims, number), 9))) & (number > 0))
@@ -132,7 +153,7 @@ class TermIndex:
         i = int(np.searchsorted(have, self.k))
         return float(sims[order[i]]) if i < len(order) else 0.0
 
-    def vote(self, terms: np.ndarray, counts: np.ndarray, leave_out: int | None = None):
+    def vote(self, terms: np.ndarray, counts: np.ndarray, leave_out: int | None = None, idf: np.ndarray | None = None):
         """(share of toxic votes, neighbours as (id, similarity)); ``leave_out`` is the label of the query itself."""
         key = np.concatenate([terms, counts]).astype("i4").tobytes()
         own = self.place.get(key) if leave_out is not None else None
@@ -140,7 +161,7 @@ class TermIndex:
             hits, sims = np.array([self.place[key]] if key in self.place else [], "i8"), np.ones(1)
             sims = sims[:len(hits)]
         else:
-            hits, sims, _ = self.nearest(terms, counts, own)
+            hits, sims, _ = self.nearest(terms, counts, own, idf)
         votes = self.votes[hits].copy()
         if own is not None:
             votes[hits == own, leave_out] -= self.weight[leave_out]
@@ -149,8 +170,11 @@ class TermIndex:
         share = (votes[1] + prior * self.base) / (votes.sum() + prior)
         return float(share), [(self.ids[i], float(s)) for i, s in zip(hits[:3], sims[:3])]
 
-    def calibrate(self, vectors, labels) -> None:
-        """Monotone curve from leave-one-out shares to the share of toxic rows: pooled adjacent violators, lines between."""
+    def calibrate(self, vectors, labels, weigh=None) -> None:
+        """``weigh``: the terms' weights without one example, from its terms and label.
+
+        Monotone curve from leave-one-out shares to the share of toxic rows: pooled adjacent violators, lines between.
+        """
         if not len(labels):
             return
         known: dict[tuple, float] = {}
@@ -158,7 +182,7 @@ class TermIndex:
         for i, ((t, c), label) in enumerate(zip(vectors, labels)):
             key = t.tobytes(), c.tobytes(), label
             if key not in known:
-                known[key] = self.vote(t, c, label)[0]
+                known[key] = self.vote(t, c, label, weigh(t, label) if weigh else None)[0]
             x[i] = known[key]
         y, w = np.array(labels, "f8"), np.array(self.weight)[np.array(labels)]
         order = np.argsort(x, kind="stable")
@@ -191,7 +215,7 @@ def unpack(code: bytes) -> tuple[np.ndarray, np.ndarray]:
 def vector_udf(terms: list[str]):
     """Text to the counts of the vocabulary's terms: two rows of 32-bit numbers, terms ascending."""
     @F.pandas_udf("binary")
-    def vectors(texts: pd.Series) -> pd.Series:
+    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         place = {t: i for i, t in enumerate(terms)}
         stems = sorted({len(t) - 1 for t in terms if t[0] == STEM})
 
@@ -208,7 +232,8 @@ def vector_udf(terms: list[str]):
             keys = sorted(found)
             return np.array([keys, [found[i] for i in keys]], "<i4").tobytes()
 
-        return texts.map(one)
+        for texts in batches:
+            yield texts.map(one)
 
     return vectors
 
@@ -234,7 +259,8 @@ def term_df(size: int):
             for code in batch.column(0).to_pylist():
                 df[unpack(code)[0]] += 1
                 n += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(size), -1)), pa.array(np.append(df, n))], ["term", "df"])
+        seen = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1)), pa.array(np.append(df[seen], n))], ["term", "df"])
 
     return run
 
@@ -249,8 +275,13 @@ def choose_examples(labels: DataFrame, id_col: str, label_col: str, learn, max_e
     return parts[0].unionByName(parts[1]).join(F.broadcast(rows), "toxic")
 
 
+def chi_square(a: np.ndarray, c: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Chi-square of terms that ``a`` of ``n1`` toxic and ``c`` of ``n0`` clean examples have."""
+    return (a * n0 - c * n1) ** 2 / (np.maximum(a + c, 1) * (n0 + n1 - a - c + 0.5)) * (n0 + n1) / max(1, n0 * n1)
+
+
 def fit_and_vectors(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, learn, keep: list[str],
-                    vector: str, max_examples: int, max_terms: int, k: int) -> tuple[DataFrame, TermIndex]:
+                    vector: str, max_examples: int, k: int) -> tuple[DataFrame, TermIndex]:
     """The columns ``keep`` of ``docs`` with their vectors (staged), and the fitted index."""
     chosen = F.broadcast(choose_examples(labels, id_col, label_col, learn, max_examples))
     examples = stage(docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -258,23 +289,28 @@ def fit_and_vectors(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     size = {r["toxic"]: (r["n"], r["rows"]) for r in examples.groupBy("toxic").agg(
         F.count(F.lit(1)).alias("n"), F.max("rows").alias("rows")).collect()}
     n1, n0 = (size.get(c, (0, 0))[0] for c in (1, 0))
-    stats = examples.select("text", "toxic").mapInArrow(term_stats, "term string, a long, c long").groupBy("term").agg(
-        F.sum("a").alias("a"), F.sum("c").alias("c")).where(F.col("a") + F.col("c") >= MIN_EXAMPLES_OF_TERM)
-    a, c = F.col("a").cast("double"), F.col("c").cast("double")
-    apart = (a * n0 - c * n1) ** 2 / ((a + c) * (n0 + n1 - a - c + 0.5))
-    terms = []
+    terms, a, c, chi2 = [], np.zeros(0), np.zeros(0), np.zeros(0)
     if n0 and n1:
-        stats = stats.select("term", (apart * (n0 + n1) / (n0 * n1)).alias("chi2")).where(F.col("chi2") >= MIN_CHI2)
-        terms = [r["term"] for r in stats.orderBy(F.desc("chi2"), "term").limit(max_terms).collect()]
+        stats = examples.select("text", "toxic").mapInArrow(term_stats, "term string, a long, c long").groupBy("term").agg(
+            F.sum("a").alias("a"), F.sum("c").alias("c")).toArrow().sort_by("term")
+        terms = stats["term"].to_pylist()
+        a, c = (stats[x].to_numpy().astype("f8") for x in "ac")
+        chi2 = chi_square(a, c, n1, n0)
     coded = stage(docs.select(*keep, vector_udf(terms)(F.col(text_col)).alias(vector)), "vectors")
-    df = {r["term"]: r["df"] for r in coded.select(vector).mapInArrow(term_df(len(terms)), "term long, df long")
-          .groupBy("term").agg(F.sum("df").alias("df")).collect()}
-    idf = np.array([np.log((1 + df.get(-1, 0)) / (1 + df.get(t, 0))) + 1 for t in range(len(terms))])
+    counted = coded.select(vector).mapInArrow(term_df(len(terms)), "term long, df long").groupBy("term").agg(
+        F.sum("df").alias("df")).toArrow()
+    df = np.zeros(len(terms) + 1)  # the last: all documents
+    df[counted["term"].to_numpy()] = counted["df"].to_numpy()
+    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
+
+    def without(t, label):
+        return idf[t] * (1 + chi_square(a[t] - label, c[t] - (1 - label), n1 - label, n0 - (1 - label)))
+
     rows = examples.select("id", "toxic", vector_udf(terms)(F.col("text")).alias("v")).orderBy("id", "v").collect()
     vectors, labelled = [unpack(r["v"]) for r in rows], [r["toxic"] for r in rows]
     weight = tuple(size[c][1] / size[c][0] if c in size else 0.0 for c in (0, 1))
-    index = TermIndex(vectors, labelled, [r["id"] for r in rows], weight, idf, k)
-    index.calibrate(vectors, labelled)
+    index = TermIndex(vectors, labelled, [r["id"] for r in rows], weight, idf * (1 + chi2), k)
+    index.calibrate(vectors, labelled, without)
     return coded, index
 
 
@@ -296,24 +332,24 @@ def everything(_):
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     label_col: str = "toxic", learn=everything, max_examples: int = MAX_EXAMPLES,
-                    max_terms: int = MAX_TERMS, k: int = NEIGHBOURS) -> DataFrame:
+                    k: int = NEIGHBOURS) -> DataFrame:
     """(doc_id, score, evidence) for every row; ``learn`` tells which labelled ids may be examples.
 
     ``evidence`` lists the nearest examples as ``id:similarity``.
     """
     coded, index = fit_and_vectors(docs, labels, id_col, text_col, label_col, learn, [id_col], fresh("_vector", [id_col]),
-                                   max_examples, max_terms, k)
+                                   max_examples, k)
     return coded.select(F.col(id_col).cast("long").alias("doc_id"), score_udf(index)(coded.columns[-1]).alias("r")).select(
         "doc_id", "r.score", "r.evidence")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                label_col: str = "toxic", learn=everything, threshold: float = THRESHOLD,
-               max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS, k: int = NEIGHBOURS) -> DataFrame:
+               max_examples: int = MAX_EXAMPLES, k: int = NEIGHBOURS) -> DataFrame:
     """``docs`` (all columns) without the rows that score ``threshold`` or more."""
     vector = fresh("_vector", docs.columns)
     coded, index = fit_and_vectors(docs, labels, id_col, text_col, label_col, learn, docs.columns, vector,
-                                   max_examples, max_terms, k)
+                                   max_examples, k)
     return coded.where(score_udf(index)(vector)["score"] < threshold).select(*docs.columns)
 
 

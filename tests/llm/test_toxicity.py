@@ -94,3 +94,26 @@ def test_held_out_accuracy(spark):
     wrong, toxic = sum(p != t for p, t in test), [p for p, t in test if t]
     assert len(test) > 500 and wrong <= 0.03 * len(test), (wrong, len(test))
     assert sum(toxic) >= 0.85 * len(toxic)
+
+
+def test_rare_toxic_words_count(spark):
+    """Toxic words of two examples each: no single term tells the classes apart by much."""
+    rnd = random.Random(3)
+    words = ["sun", "tree", "river", "stone", "cloud", "road"]
+    text = lambda *more: " ".join(rnd.choices(words, k=8) + list(more))
+    rows = [(i, text()) for i in range(200)]
+    rows += [(200 + i, text(f"vile{'abcdefghij'[i // 2]}", f"{'klmnopqrst'[i // 2]}foul")) for i in range(20)]
+    rows += [(300 + i, text(f"vile{'abcdefghij'[i]}", f"{'klmnopqrst'[i]}foul")) for i in range(10)] + [(400 + i, text()) for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 200)) for i, _ in rows if i < 300], "doc_id long, toxic int")
+    score = {r.doc_id: r.score for r in toxicity_scores(docs, labels, k=3).collect()}
+    assert min(score[300 + i] for i in range(10)) >= 0.3 > max(score[400 + i] for i in range(10))
+
+
+def test_held_out_accuracy_on_a_small_table(spark):
+    small = SF.replace("sf0.1", "sf0.01")
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{small}/labels.parquet").collect()}
+    test = [(r.predicted, truth[r.doc_id]) for r in query(spark, small).collect() if r.held_out and r.doc_id in truth]
+    wrong, found = sum(p != t for p, t in test), sum(p for p, t in test if t)
+    print("sf0.01:", len(test), "held out,", wrong, "wrong,", found, "of", sum(t for _, t in test), "toxic rows found")
+    assert len(test) > 50 and wrong <= 0.06 * len(test)
