@@ -55,12 +55,36 @@ def session_bucket(session_id, buckets: int = SESSION_BUCKETS):
 def append_events(df: DataFrame, path: str, buckets: int = SESSION_BUCKETS) -> None:
     """Append valid events, partitioned by session bucket and event date:
     reads by session prune to one bucket (statically or by dynamic partition
-    pruning), reads by time prune by date."""
+    pruning), reads by time prune by date.  The bucket count is recorded beside
+    the table before any row is written with it (``stored_buckets``)."""
+    marker = _bucket_marker(path)
+    known = stored_buckets(df.sparkSession, path)
+    # a table that has files but no record was written before counts were kept: it stays without one
+    if buckets not in known and (known or not _exists(df.sparkSession, path)):
+        df.sparkSession.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("append").parquet(marker)
     (df.withColumn("session_bucket", session_bucket(F.col("session_id"), buckets))
        .withColumn("event_date", F.substring("timestamp", 1, 10))
        .write.mode("append").partitionBy("session_bucket", "event_date").parquet(path))
 
 
+def _bucket_marker(path: str) -> str:
+    """A hidden folder of the table: readers of the table skip names that begin with an underscore."""
+    return f"{path.rstrip('/')}/_bucket_counts"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def stored_buckets(spark: SparkSession, path: str) -> list[int]:
+    """Every bucket count that ``append_events`` used for the table; empty if that is not known."""
+    if not _exists(spark, _bucket_marker(path)):
+        return []
+    rows = spark.read.schema("buckets int").parquet(_bucket_marker(path)).distinct().collect()
+    return sorted(r["buckets"] for r in rows)
+
+
 def events_for_session(events: DataFrame, session_id: str, limit: int = 100,
                        offset: int = 0) -> DataFrame:
     """P1 + L1: one session's events by timestamp (then id), paged."""

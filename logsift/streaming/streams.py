@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from logsift import schemas
 from logsift.functions import text as T
-from logsift.operators.sessions import rejection_reasons, session_bucket
+from logsift.operators.sessions import rejection_reasons, session_bucket, stored_buckets
 from logsift.operators.summarize import compress_sessions
 from logsift.session import shared_dir
 from logsift.sources import adapters as A
@@ -83,19 +83,22 @@ def stream_critical_alerts(summaries: DataFrame, horizon: str = "1 hour") -> Dat
 def stream_compress(events: DataFrame, events_table: str, out_path: str, checkpoint: str,
                     available_now: bool = True):
     """T4: per micro-batch, re-summarise the sessions it touched from the
-    stored event table (written by ``append_events``).  Only the touched
-    session buckets are read: their numbers (at most ``SESSION_BUCKETS``, a
-    bound set by the table layout) become a partition filter, then a
-    semi-join keeps the touched sessions."""
+    stored event table (written by ``append_events``, with any number of
+    buckets).  A semi-join on the session id alone keeps the touched sessions,
+    so results never depend on bucket numbers; where the table says how many
+    buckets it was written with, only the touched ones are read (at most as
+    many as the layout has)."""
     spark = events.sparkSession
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        touched = (df.select("session_id").distinct()
-                     .withColumn("session_bucket", session_bucket(F.col("session_id"))))
-        buckets = [r[0] for r in touched.select("session_bucket").distinct().collect()]
-        stored = (spark.read.parquet(events_table)
-                  .where(F.col("session_bucket").isin(buckets))
-                  .join(touched, ["session_bucket", "session_id"], "left_semi")
+        touched = df.select("session_id").distinct()
+        stored = spark.read.parquet(events_table)
+        counts = stored_buckets(spark, events_table)
+        if counts:
+            numbers = [session_bucket(F.col("session_id"), n) for n in counts]
+            buckets = {b for r in touched.select(*numbers).distinct().collect() for b in r}
+            stored = stored.where(F.col("session_bucket").isin(sorted(buckets)))
+        stored = (stored.join(touched, "session_id", "left_semi")
                   .drop("session_bucket", "event_date"))
         _write_batch(compress_sessions(A.event_lines(stored)), out_path, batch_id)
     w = events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)

@@ -4,6 +4,7 @@ import json
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF, fixture_lines
@@ -176,3 +177,26 @@ def test_touched_session_read_prunes_buckets(spark):
     assert q.count() == 10
     scan = [ln for ln in q._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in ln][0]
     assert f"session_bucket#" in scan and f"= {buckets[0]})" in scan.split("PartitionFilters:")[1].split("]")[0]
+
+
+@pytest.mark.parametrize("counts", [(128,), (64, 7), (None,)])
+def test_stream_compress_finds_sessions_in_any_buckets(spark, counts):
+    """Tables of other bucket counts, of two counts, and of an older writer that recorded none."""
+    from logsift.operators.sessions import append_events, session_bucket, stored_buckets
+    d = tempfile.mkdtemp()
+    table, inbox = os.path.join(d, "events"), os.path.join(d, "inbox")
+    rows = [(i, f"s{i}", "2025-01-15T14:00:00.000Z", "stderr", "ERROR: boom", "agent") for i in range(20)]
+    df = spark.createDataFrame(rows, schemas.LOG_EVENT)
+    for k, n in enumerate(counts):
+        part = df.where(F.col("id") % len(counts) == k)
+        if n:
+            append_events(part, table, n)
+        else:
+            (part.withColumn("session_bucket", session_bucket(F.col("session_id"), 128)).withColumn("event_date", F.lit("2025-01-15"))
+             .write.partitionBy("session_bucket", "event_date").parquet(table))
+    assert stored_buckets(spark, table) == sorted(n for n in counts if n)
+    df.where("id < 11").write.json(inbox)
+    q = ST.stream_compress(ST.stream_events(spark, inbox), table, os.path.join(d, "out"), os.path.join(d, "ck"))
+    q.awaitTermination()
+    got = spark.read.parquet(os.path.join(d, "out"))
+    assert sorted(r.session_id for r in got.collect()) == sorted(f"s{i}" for i in range(11))
