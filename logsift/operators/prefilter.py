@@ -36,6 +36,7 @@ from logsift.operators.ordered import (DEFAULT_CHUNK_BITS, UNBOUNDED, chunk_of,
                                        chunk_window, prefix_over_chunks, reuse)
 
 BLANK, DEBUG, CONTENT = 0, 1, 2
+NO_ORD = -2**62  # lines without an ord come first in their session
 
 
 @dataclass
@@ -63,7 +64,7 @@ def line_kinds(lines: DataFrame, session: str = "session_id", ord_col: str = "or
     ``(session_id, chunk)``: the text rules then run in the reducers that
     also do the ordered work, and only the raw line crosses the shuffle."""
     base = lines.select(F.col(session).alias("session_id"),
-                        F.col(ord_col).cast("long").alias("ord"),
+                        F.coalesce(F.col(ord_col).cast("long"), F.lit(NO_ORD)).alias("ord"),
                         F.col(line).alias("_line"))
     if cluster_bits is not None:
         base = (base.withColumn("chunk", chunk_of(F.col("ord"), cluster_bits))
