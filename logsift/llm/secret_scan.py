@@ -8,7 +8,11 @@ signs the base class lacks) whose cheapest explanation still takes at least
 ``min_cost`` powers of ten of guesses.  A dynamic programme finds that
 explanation: the minimum-cost segmentation of the value into words, dates,
 repeats, keyboard walks and brute-force spans, each priced by how many guesses
-an attacker who tries that kind of span needs.  A value that a base match
+an attacker who tries that kind of span needs.  Words are those of a list of
+passwords and the commonest words of the documents (counted outside credential
+contexts, so that a secret is no word because it is repeated); other runs of letters cost one
+of 10^5 words, and more by length the less their letters follow each other as in
+English, so a random password that can be read like a word is still missed.  A value that a base match
 already covers whole is not added again.
 
 Spans count code points, end exclusive.  Cases: null or empty text has no
@@ -24,8 +28,11 @@ import hashlib
 import math
 import re
 from bisect import bisect_right
+from collections import Counter
+from collections.abc import Iterator
 from itertools import accumulate
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,9 +67,25 @@ LEET = str.maketrans("430175$@!", "aeoltssai")
 DATE = re.compile(r"(?:19|20)\d\d|\d{1,2}([-/.]?)\d{1,2}\1(?:19|20)?\d\d|(?:19|20)\d\d([-/.]?)\d{1,2}\2\d{1,2}", re.A)
 REPEAT = re.compile(r"(.{1,12}?)\1+", re.S)
 LETTERS = re.compile(r"[A-Za-z]{3,}", re.A)
-
+#: Words of the texts as word list: whole runs of letters, at most MAX_COMMON on the driver and in each task.
+WORD = re.compile(r"(?<![A-Za-z])[A-Za-z]{3,24}(?![A-Za-z])", re.A)
+MAX_COMMON, MIN_DOCS, FLUSH_WORDS = 20_000, 2, 200_000
+
+#: log10 of the guesses of a letter (columns a to z) after another (rows: a word's start, then
+#: a to z) in English text, in steps of ``LETTER_STEP``.
+LETTER_COSTS = """
+34344455476444437333554868 94348649496243948332557758 37563998349279359446299949 39492993494389288472499979
+46841769279589489646467959 47335457699443755224956469 38993399297499279364399949 37792743399463569346389989
+27881999299767299564698969 54354549897442359533849696 38881888888888358848288888 49661959299593949739495999
+38742689299389379844478939 24892999399746329849489979 38333527497676479832559969 65446658696432549244344888
+28962996498387339253499959 88886888888388888888088888 37552659295645369434566949 49482684396577447932397959
+38672793299588479334596949 44454659499333649332999999 29991999299979499999999999 29973992299594299449996997
+39272995399969729952997459 57574999399553229433974966 28881588388888588888888858
+""".split()
+LETTER_STEP = 0.35
 #: log10 of guesses of a span beside what it is made of.
-UNKNOWN_WORD = 5.0
+UNKNOWN_WORD = 5.0    # a word like those of a language, found in a list of 10^5
+USUAL_LETTER = 1.25   # mean cost of a letter up to which a run reads like a word (95 % of English words)
 DATE_COST = math.log10(365 * 120)
 SPAN_COST = 0.5  # an attacker must also guess where spans begin
 
@@ -70,8 +93,11 @@ SPAN_COST = 0.5  # an attacker must also guess where spans begin
 class GuessCost:
     """log10 of the guesses needed for a value, by minimum-cost segmentation."""
 
-    def __init__(self, words: list[str] | None = None):
+    def __init__(self, words: list[str] | None = None, common: list[str] | None = None):
+        """``words``: passwords, most frequent first; ``common``: words of texts, most frequent first."""
         self.rank = {w: math.log10(i + 2) for i, w in reversed(list(enumerate(words or WORDS)))}
+        for i, w in enumerate(common or ()):
+            self.rank[w] = min(math.log10(i + 2), self.rank.get(w, math.inf))
         self.longest = max(map(len, self.rank))
         self.next_key = {(a, b) for row in KEY_ROWS for a, b in zip(row, row[1:])}
         self.next_key |= {(b, a) for a, b in self.next_key}
@@ -93,7 +119,7 @@ class GuessCost:
         for m in LETTERS.finditer(value):
             w = m[0]
             if w.islower() or w.isupper() or w.istitle():
-                yield m.start(), m.end(), UNKNOWN_WORD + self.case_cost(w), "word"
+                yield m.start(), m.end(), self.unknown_cost(w.lower()) + self.case_cost(w), "word"
         for i in range(n):
             if m := DATE.match(value, i):
                 yield i, m.end(), DATE_COST, "date"
@@ -109,6 +135,14 @@ class GuessCost:
                 yield i, j, math.log10(47 * 4 * (j - i)), "walk"
             i = max(j - 1, i + 1)
 
+    @staticmethod
+    def unknown_cost(word: str) -> float:
+        """A run of letters in no list: one of 10^5 words if its letters follow each other as in a language, and
+        as much more as they do not; never more than letter by letter."""
+        at = [0, *(ord(c) - 96 for c in word)]
+        letters = LETTER_STEP * sum(int(LETTER_COSTS[a][b - 1]) for a, b in zip(at, at[1:]))
+        return min(UNKNOWN_WORD + max(0.0, letters - USUAL_LETTER * len(word)), len(word) * math.log10(26))
+
     @staticmethod
     def case_cost(word: str) -> float:
         upper = sum(c.isupper() for c in word)
@@ -183,11 +217,34 @@ SCANNED = ("doc_id long, n_assign long, n_access long, n_hex long, base_sha256 s
            "n_guess long, max_cost double")
 
 
-def scan_batches(words: list[str] | None, min_cost: float):
+def word_counts(batches):
+    """Task function: texts to (word, documents), of words outside credential contexts; partial counts."""
+    def out():
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+
+    counts: Counter = Counter()
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            counts.update({w.lower() for w in WORD.findall(CONTEXT.sub(" ", text))})
+            if len(counts) > FLUSH_WORDS:
+                yield out()
+                counts.clear()
+    yield out()
+
+
+def common_words(docs: DataFrame, text_col: str = "text") -> list[str]:
+    """The words that most documents have (at least ``MIN_DOCS``), at most ``MAX_COMMON``, ties by the word."""
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = texts.mapInArrow(word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(
+        F.col("n") >= MIN_DOCS).orderBy(F.desc("n"), "word").limit(MAX_COMMON)
+    return [r["word"] for r in rows.collect()]
+
+
+def scan_batches(words: list[str] | None, min_cost: float, common: list[str] | None = None):
     """Task function: (doc_id, text) to counts and spans."""
 
     def run(batches):
-        price = GuessCost(words)
+        price = GuessCost(words, common)
         for batch in batches:
             cols: list[list] = [[] for _ in range(7)]
             for text in batch.column(1).to_pylist():
@@ -207,7 +264,8 @@ def scan_batches(words: list[str] | None, min_cost: float):
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: list[str] | None = None,
                  min_cost: float = MIN_COST) -> DataFrame:
     """One row per document: counts by kind, the hash of the base spans and all spans as text."""
-    return id_text(docs, id_col, text_col).mapInArrow(scan_batches(words, min_cost), SCANNED)
+    return id_text(docs, id_col, text_col).mapInArrow(
+        scan_batches(words, min_cost, common_words(docs, text_col)), SCANNED)
 
 
 def mask(text: str, spans, sign: str = "[SECRET]") -> str:
@@ -223,10 +281,13 @@ def mask(text: str, spans, sign: str = "[SECRET]") -> str:
 def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | None = None,
                    words: list[str] | None = None, min_cost: float = MIN_COST) -> DataFrame:
     """``docs`` (all rows and columns) with secrets masked; ``length_col``, if named, is counted anew."""
+    common = common_words(docs, text_col)
+
     @F.pandas_udf(T.StringType())
-    def masked(texts):
-        price = GuessCost(words)
-        return texts.map(lambda t: t if t is None else mask(t, scan(t, price, min_cost)[1]))
+    def masked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        price = GuessCost(words, common)
+        for texts in batches:
+            yield texts.map(lambda t: t if t is None else mask(t, scan(t, price, min_cost)[1]))
 
     new = masked(F.col(text_col))
     cols = [new.alias(c) if c == text_col else F.col(c) for c in docs.columns]

@@ -75,3 +75,16 @@ def test_redaction_keeps_rows_and_clean_text(spark):
     assert out[3].text is None and not base_spans(out[1].text)
     assert redact_secrets(docs).columns == docs.columns
     assert scan("", GuessCost()) == ([], [], None)
+
+
+def test_random_letters_are_secrets_and_common_words_are_not(spark):
+    price = GuessCost().cost
+    hard = ["qzxvkjwpymbtrhl", "QZXVKJWPYMBTRHL", "xkqvjzwtbhgd", "wqhzkfjxp"]
+    assert min(map(price, hard)) >= 9 > max(map(price, ["representation", "straightforward", "Understanding"]))
+    rows = [(i, f"open some page of this site, number {i}") for i in range(5)]
+    rows += [(10, "login: some-page"), (11, "pwd: qzxvkjwpymbtrhl"), (12, "pwd: qzxvkjwpymbtrhl")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r.n_guess for r in secret_spans(docs).collect()}
+    assert (found[10], found[11], found[12]) == (0, 1, 1)
+    out = {r.doc_id: r.text for r in redact_secrets(docs).collect()}
+    assert out[10] == rows[5][1] and out[11] == "pwd: [SECRET]"
