@@ -33,6 +33,7 @@ result; other columns are never read, save that ``drop_toxic`` keeps them.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -66,6 +67,7 @@ class TermIndex:
                  weight: tuple[float, float], idf: np.ndarray, k: int = NEIGHBOURS):
         """``vectors``: (terms, counts) of each example; ``weight``: labelled rows an example of class 0 or 1 stands for."""
         self.idf, self.k = idf, k
+        self.parts = vectors, labels, ids
         groups: dict[bytes, list] = {}
         for (terms, counts), label, doc in zip(vectors, labels, ids):
             key = np.concatenate([terms, counts]).astype("i4").tobytes()
@@ -98,6 +100,12 @@ class TermIndex:
         self.runs = np.searchsorted(terms[self.run_at], np.arange(len(idf) + 1))
         self.curve = (np.array([0.0]), np.array([self.base]))
 
+    def __reduce__(self):
+        """Tasks get the examples and build the lists anew: a tenth of the bytes in every executor."""
+        vectors, labels, ids = self.parts
+        flat = [np.concatenate([v[i] for v in vectors] or [np.zeros(0)]).astype("<i4").tobytes() for i in (0, 1)]
+        return unpacked, (zlib.compress(b"".join(flat), 1), [len(v[0]) for v in vectors], labels, ids, self.weight, self.idf, self.k, self.curve)
+
     def unit(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         w = (1 + np.log(counts)) * self.idf[terms]
         return w / np.sqrt((w * w).sum()) if len(w) else w
@@ -207,6 +215,14 @@ class TermIndex:
         return float(min(1.0, max(0.0, 0.98 * np.interp(share, *self.curve) + 0.02 * share))), near
 
 
+def unpacked(packed: bytes, sizes: list[int], labels, ids, weight, idf, k, curve) -> TermIndex:
+    """The index of ``TermIndex.__reduce__``."""
+    flat, ends = np.frombuffer(zlib.decompress(packed), "<i4").reshape(2, -1).astype("i8"), np.cumsum(sizes)
+    index = TermIndex([(flat[0, e - n:e], flat[1, e - n:e]) for n, e in zip(sizes, ends)], labels, ids, weight, idf, k)
+    index.curve = curve
+    return index
+
+
 def unpack(code: bytes) -> tuple[np.ndarray, np.ndarray]:
     pairs = np.frombuffer(code, "<i4").reshape(2, -1)
     return pairs[0].astype("i8"), pairs[1].astype("i8")

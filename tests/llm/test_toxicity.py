@@ -1,3 +1,4 @@
+import pickle
 import random
 import zlib
 
@@ -115,5 +116,15 @@ def test_held_out_accuracy_on_a_small_table(spark):
     truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{small}/labels.parquet").collect()}
     test = [(r.predicted, truth[r.doc_id]) for r in query(spark, small).collect() if r.held_out and r.doc_id in truth]
     wrong, found = sum(p != t for p, t in test), sum(p for p, t in test if t)
-    print("sf0.01:", len(test), "held out,", wrong, "wrong,", found, "of", sum(t for _, t in test), "toxic rows found")
-    assert len(test) > 50 and wrong <= 0.06 * len(test)
+    assert len(test) > 50 and wrong <= 0.1 * len(test), (wrong, len(test))
+    assert found >= 0.75 * sum(t for _, t in test), found
+
+
+def test_an_index_sent_to_tasks_is_the_same():
+    rnd = random.Random(5)
+    rows = vectors(rnd, 300)
+    index = TermIndex(rows, [rnd.randint(0, 1) for _ in rows], list(range(300)), (3.0, 1.0), np.ones(40), k=5)
+    index.calibrate(rows, [0, 1] * 150)
+    code = pickle.dumps(index)
+    sent = pickle.loads(code)
+    assert all(sent.score(*r) == index.score(*r) for r in rows[:50])
