@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from logsift.llm import exact_dedup, order_minhash, packing, secret_scan, sentencepiece_scan, simhash, substring_dedup, suffix_dedup, toxicity, url_reputation
+from logsift.llm import exact_dedup, order_minhash, packing, secret_scan, sentencepiece_scan, simhash, substring_dedup, suffix_dedup, toxicity, url_reputation, vector_codes
 from logsift.llm.common import configure
 
 MODULES = {
@@ -16,6 +16,7 @@ MODULES = {
     "op8_sentencepiece": sentencepiece_scan,
     "op9_toxicity": toxicity,
     "op10_packing": packing,
+    "op11_vector_codes": vector_codes,
 }
 
 
