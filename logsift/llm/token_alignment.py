@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -134,6 +135,7 @@ class PairEncoder:
 
     def __init__(self, path_a: str, path_b: str, entries: int = CACHE_WORDS):
         self.a, self.b, self.entries = ByteLevel(path_a), Pieces(path_b), entries
+        self.lengths = self.a.widths.tolist()
         self.words: dict[str, tuple[bytes, bytes] | None] = {}
         self.cut = re.compile(r"(?<=\S) ").split
         self.spaces = re.compile(r"(?:^|\s) ").search
@@ -141,38 +143,29 @@ class PairEncoder:
     def _both(self, word: str, a: list[int], b: list[int]) -> tuple[bytes, bytes] | None:
         whole = (" " + word).encode()
         same = BLANK_PIECE not in word and b"".join(map(self.b.bytes.__getitem__, b)) == whole \
-            and int(self.a.widths[a].sum()) == len(whole)
-        return (np.array(a, "<u4").tobytes(), np.array(b, "<u4").tobytes()) if same else None
+            and sum(map(self.lengths.__getitem__, a)) == len(whole)
+        return (array("I", a).tobytes(), array("I", b).tobytes()) if same else None
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
         if len(self.words) > self.entries:
             self.words.clear()
         split = [(self.cut(t) if self.spaces(t) else t.split(" ")) if t else None for t in texts]
         new = list({w for ws in split if ws for w in ws}.difference(self.words))
-        known = dict(zip(new, map(self._both, new, self.a.encode(new), self.b.encode(new))))
-        self.words.update((w, c) for w, c in known.items() if len(w) <= CACHED_LENGTH)
-        look = _Both(self.words, known)
+        self.words.update(zip(new, map(self._both, new, self.a.encode(new), self.b.encode(new))))
+        look = self.words.__getitem__
         out: list[tuple[np.ndarray, np.ndarray] | None] = []
         for ws in split:
-            codes = None if ws is None else [look[w] for w in ws]
+            codes = None if ws is None else list(map(look, ws))
             if codes is None or None in codes:
                 out.append(None)
             else:
                 out.append(tuple(np.frombuffer(b"".join(side), "<u4") for side in zip(*codes)))
+        for word in new:  # long words are not kept
+            if len(word) > CACHED_LENGTH:
+                del self.words[word]
         return out
 
 
-class _Both(dict):
-    """The cache, and this call's words that are too long for it."""
-
-    def __init__(self, cache: dict, rest: dict):
-        super().__init__(rest)
-        self.cache = cache
-
-    def __missing__(self, word: str):
-        return self.cache[word]
-
-
 class Aligner:
     """Aligned documents, many at a time."""
 
