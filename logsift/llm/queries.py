@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from logsift.llm import exact_dedup, order_minhash, packing, secret_scan, sentencepiece_scan, simhash, substring_dedup, suffix_dedup, token_alignment, toxicity, url_reputation, vector_codes
+from logsift.llm import exact_dedup, jaccard_join, order_minhash, packing, secret_scan, sentencepiece_scan, simhash, substring_dedup, suffix_dedup, token_alignment, toxicity, url_reputation, vector_codes
 from logsift.llm.common import configure
 
 MODULES = {
@@ -17,6 +17,7 @@ MODULES = {
     "op9_toxicity": toxicity,
     "op10_packing": packing,
     "op11_vector_codes": vector_codes,
+    "op12_jaccard_join": jaccard_join,
     "op13_token_alignment": token_alignment,
 }
 
