@@ -21,8 +21,8 @@ each other as long as known links connect them: (1) every node is compared with
 the smallest node (by hash) it shares most signatures with, and components of
 the links found are formed; (2) where a signature still spans several
 components, nodes of different components are compared in blocks of bounded
-size, first the nearest pair of every two components, then, after another
-round of components, all that are left.  In step 2 a pair is dropped when its
+size; first each block gives a spanning forest of the pairs that may be links, then, after
+another round of components, all pairs that still lie between two.  In step 2 a pair is dropped when its
 parity sketches (one bit flipped a shingle) differ in more bits than linked sets
 may in shingles, which loses nothing.  Pairs left are compared by their shingle
 hashes.  Every pair under a shared signature is so compared, pruned by a bound or
@@ -198,17 +198,19 @@ def hash_batches(k: int):
     return run
 
 
-def near_pairs(num: int, den: int, nearest_only: bool):
+def near_pairs(num: int, den: int, forest: bool):
     """Task function: (unit, cross, block, key, root, n, sketch) rows sorted by unit to pairs (u, v) whose sketches may belong to linked sets.
 
-    Only pairs of different roots, and of different blocks in a cross unit.  ``nearest_only``: of every
-    two roots in a unit, the pair whose sketches differ least.
+    Only pairs of different roots, and of different blocks in a cross unit.  ``forest``: only those that
+    join two of the unit's roots which no earlier pair joined, so there are fewer of them than roots.
     """
 
     def compare(table: pa.Table):
         unit, cross, block, n = (table.column(c).to_numpy() for c in ("unit", "cross", "block", "n"))
         root, key, sketches = table.column("root"), table.column("key").to_pylist(), table.column("sketch").to_pylist()
         root = np.unique(np.array(root.to_pylist(), "S16"), return_inverse=True)[1]
+        tree = np.unique(np.column_stack([unit, root]), axis=0, return_inverse=True)[1]
+        links = Forest(int(tree.max()) + 1)
         first = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
         sizes = np.diff(np.append(first, len(unit)))
         width = np.array([len(s) // 8 for s in sketches])
@@ -235,13 +237,12 @@ def near_pairs(num: int, den: int, nearest_only: bool):
                 i, j = i[fit], j[fit]
                 apart = np.bitwise_count(words[place[i]] ^ words[place[j]]).sum(axis=1, dtype="i8")
                 fit = apart <= (n[i] + n[j]) * (den - num) // (den + num)
-                i, j, apart = i[fit], j[fit], apart[fit]
-                if nearest_only and len(i):
-                    a, b = np.minimum(root[i], root[j]), np.maximum(root[i], root[j])
-                    order = np.lexsort((apart, b, a, unit[i]))
-                    i, j, a, b = i[order], j[order], a[order], b[order]
-                    lead = np.append(True, (unit[i[1:]] != unit[i[:-1]]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-                    i, j = i[lead], j[lead]
+                i, j = i[fit], j[fit]
+                if forest:
+                    order = np.argsort(apart[fit], kind="stable")
+                    i, j = i[order], j[order]
+                    joined = links.joins(tree[i].tolist(), tree[j].tolist())
+                    i, j = i[joined], j[joined]
                 pairs = {(min(key[x], key[y]), max(key[x], key[y])) for x, y in zip(i.tolist(), j.tolist())}
                 if pairs:
                     u, v = zip(*pairs)
@@ -267,6 +268,28 @@ def near_pairs(num: int, den: int, nearest_only: bool):
     return run
 
 
+class Forest:
+    """Union-find over numbers."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def root(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = i = self.up[self.up[i]]
+        return i
+
+    def joins(self, a: list[int], b: list[int]) -> np.ndarray:
+        """Places of the pairs that join two trees, in turn."""
+        out = []
+        for n, (i, j) in enumerate(zip(a, b)):
+            i, j = self.root(i), self.root(j)
+            if i != j:
+                self.up[max(i, j)] = min(i, j)
+                out.append(n)
+        return np.array(out, "i8")
+
+
 class Join:
     """The tables of one join over ``rows`` (doc_id, text)."""
 
@@ -310,11 +333,11 @@ class Join:
             (F.col("block") != F.col("other")).alias("cross"), "block", "key", "root")
         return rows.join(self.nodes.select("key", "n", "sketch"), "key")
 
-    def cross_pairs(self, roots: DataFrame, nearest_only: bool) -> DataFrame:
+    def cross_pairs(self, roots: DataFrame, forest: bool) -> DataFrame:
         """(u, v) of different components that a signature holds together and a sketch lets pass."""
         units = self.spanning_units(roots).select("unit", "cross", "block", "key", "root", "n", "sketch")
         return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(
-            near_pairs(self.num, self.den, nearest_only), "u binary, v binary").distinct()
+            near_pairs(self.num, self.den, forest), "u binary, v binary").distinct()
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (u, v) that are linked, by their shingle hashes."""
@@ -342,8 +365,8 @@ class Join:
         """(key, root) of every node, all links followed."""
         links = self.verified(self.star_pairs())
         roots = self.roots(links)
-        for nearest_only in (True, False):
-            more = self.verified(self.cross_pairs(roots, nearest_only))
+        for forest in (True, False):
+            more = self.verified(self.cross_pairs(roots, forest))
             links = links.unionByName(more)
             roots = self.roots(links)
         return roots
