@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from logsift.functions import text as T
 from logsift.operators.ordered import (DEFAULT_CHUNK_BITS, UNBOUNDED, chunk_of,
-                                       chunk_window, dense_positions, prefix_over_chunks, reuse)
+                                       chunk_window, dense_positions, prefix_over_chunks, staged)
 
 CRITICAL, TRACEBACK, WARNING, ANOMALY, NONE = "critical", "tb", "warning", "anomaly", "none"
 
@@ -72,7 +72,7 @@ def classify_lines(lines: DataFrame, pos: str = "line_no", line: str = "line",
     w = chunk_window("session_id", "_chunk", pos)
     d = (d.withColumn("_lo", F.max(open_pos).over(w.rowsBetween(UNBOUNDED, 0)))
           .withColumn("_lc", F.max(close_pos).over(w.rowsBetween(UNBOUNDED, -1))))
-    d = reuse(d)
+    d = staged(d, "flags")
     summ = d.groupBy("session_id", "_chunk").agg(F.max(open_pos).alias("_co"),
                                                 F.max(close_pos).alias("_cc"))
     carry = prefix_over_chunks(summ, "session_id", "_chunk",

@@ -5,6 +5,10 @@ session, for every session present in ``L`` (sessions whose lines were
 all noise get the ``0 ...`` sentence).  All per-session results are
 partially aggregated (count_if, max_by) or bounded top-n lists, so a
 giant session costs a few small rows after the map side.
+
+The byte cap and the list lengths are arguments, the reference's values by
+default; what they leave out is counted (``cut``, ``unlisted_errors``,
+``unlisted_anomalies``).  None lifts a cap.
 """
 
 from __future__ import annotations
@@ -14,8 +18,8 @@ from pyspark.sql import functions as F
 
 from logsift.functions import text as T
 from logsift.operators.classify import ANOMALY, CRITICAL, WARNING, classify_lines
-from logsift.operators.ordered import DEFAULT_CHUNK_BITS, UNBOUNDED, first_n, reuse
-from logsift.operators.prefilter import pre_filter
+from logsift.operators.ordered import DEFAULT_CHUNK_BITS, UNBOUNDED, chunk_of, dense_positions, first_n, staged
+from logsift.operators.prefilter import capped_lines
 
 ERROR_STRUCT = "array<struct<line:int,msg:string,severity:string>>"
 
@@ -24,35 +28,47 @@ def _is_err() -> Column:
     return F.col("cls").isin(CRITICAL, WARNING)
 
 
-def error_list(classified: DataFrame, n: int = T.MAX_ERRORS) -> DataFrame:
-    """First ``n`` errors per session, one row each (session_id, rank,
-    line, msg, severity) in line order."""
+def _listed(rows: DataFrame, n: int | None, chunk_bits: int) -> DataFrame:
+    """The first ``n`` rows of each session by line with their rank; all of them with None."""
+    if n is None:
+        return dense_positions(rows, "session_id", ["line"], chunk_of(F.col("line"), chunk_bits), out="rank")
+    return first_n(rows, "session_id", ["line"], n, F.col("_chunk"))
+
+
+def error_list(classified: DataFrame, n: int | None = T.MAX_ERRORS, chunk_bits: int = DEFAULT_CHUNK_BITS) -> DataFrame:
+    """First ``n`` errors per session (None: every one), one row each
+    (session_id, rank, line, msg, severity) in line order."""
     errs = classified.where(_is_err()).select(
         "session_id", F.col("line_no").cast("int").alias("line"),
         F.col("err_msg").alias("msg"), F.col("cls").alias("severity"), "_chunk")
-    return first_n(errs, "session_id", ["line"], n, F.col("_chunk")).drop("_chunk")
+    return _listed(errs, n, chunk_bits).drop("_chunk")
 
 
-def anomaly_list(classified: DataFrame, n: int = T.MAX_ANOMALIES) -> DataFrame:
-    """A7 + F13: first ``n`` anomalies per session as ``Line i: msg``."""
+def anomaly_list(classified: DataFrame, n: int | None = T.MAX_ANOMALIES, chunk_bits: int = DEFAULT_CHUNK_BITS) -> DataFrame:
+    """A7 + F13: first ``n`` anomalies per session (None: every one) as ``Line i: msg``."""
     an = classified.where(F.col("cls") == ANOMALY).select(
         "session_id", F.col("line_no").cast("int").alias("line"),
         T.anomaly_text(F.col("line_no"), F.col("msg")).alias("text"), "_chunk")
-    return first_n(an, "session_id", ["line"], n, F.col("_chunk")).drop("_chunk")
+    return _listed(an, n, chunk_bits).drop("_chunk")
 
 
-def session_counts(classified: DataFrame) -> DataFrame:
-    """A5 + W7 inputs: counts and last-of values, all partially aggregated."""
+def _counts(carried: tuple[str, ...] = ()) -> list[Column]:
+    """A5 + W7: counts and last-of values, all partially aggregated; rows
+    without text count nothing.  ``carried`` columns are the same on all rows of a session."""
     line = F.col("line_no")
-    return classified.groupBy("session_id").agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(_is_err()).alias("n_errors"),
-        F.count_if(F.col("cls") == ANOMALY).alias("n_anomalies"),
-        F.bool_or("in_tb").alias("has_tb"),
-        F.max_by("err_msg", F.when(_is_err(), line)).alias("last_error"),
-        F.max_by("msg", F.when(F.col("cls") == CRITICAL, line)).alias("last_critical"),
-        F.max_by("msg", F.when(F.col("in_tb"), line)).alias("last_tb"),
-        F.count_if(F.col("cls") == CRITICAL).alias("n_critical"))
+    return [F.count("msg").alias("total"),
+            F.count_if(_is_err()).alias("n_errors"),
+            F.count_if(F.col("cls") == ANOMALY).alias("n_anomalies"),
+            F.bool_or("in_tb").alias("has_tb"),
+            F.max_by("err_msg", F.when(_is_err(), line)).alias("last_error"),
+            F.max_by("msg", F.when(F.col("cls") == CRITICAL, line)).alias("last_critical"),
+            F.max_by("msg", F.when(F.col("in_tb"), line)).alias("last_tb"),
+            F.count_if(F.col("cls") == CRITICAL).alias("n_critical"),
+            *(F.max(c).alias(c) for c in carried)]
+
+
+def session_counts(classified: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    return classified.groupBy("session_id").agg(*_counts(carried))
 
 
 def root_cause_hint() -> Column:
@@ -71,31 +87,37 @@ def severity_of(errors: Column) -> Column:
              .otherwise(F.lit("info")))
 
 
-def _finish(counts_and_lists: DataFrame) -> DataFrame:
-    return counts_and_lists.select(
+def _finish(counts_and_lists: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    d = counts_and_lists.withColumns({
+        "errors": F.coalesce(F.col("errors"), F.array().cast(ERROR_STRUCT)),
+        "_an": F.coalesce(F.transform(F.col("_an"), lambda a: a["text"]), F.array().cast("array<string>"))})
+    return d.select(
         "session_id",
         T.summary_sentence(F.col("total"), F.col("n_errors"), F.col("n_anomalies"),
                            F.col("last_error"), F.col("has_tb")).alias("summary"),
-        F.coalesce(F.col("errors"), F.array().cast(ERROR_STRUCT)).alias("errors"),
-        F.coalesce(F.transform(F.col("_an"), lambda a: a["text"]),
-                   F.array().cast("array<string>")).alias("anomalies"),
+        "errors", F.col("_an").alias("anomalies"),
         root_cause_hint().alias("root_cause_hint"),
-        "total", "n_errors", "n_anomalies",
+        "total", "n_errors", "n_anomalies", "n_critical",
         F.when(F.col("n_critical") > 0, F.lit("critical"))
          .when(F.col("n_errors") > 0, F.lit("warning"))
          .otherwise(F.lit("info")).alias("severity_all"),
+        (F.col("n_errors") - F.size("errors")).alias("unlisted_errors"),
+        (F.col("n_anomalies") - F.size("_an")).alias("unlisted_anomalies"), *carried,
     ).withColumn("severity", severity_of(F.col("errors")))
 
 
 def rule_based_summary(lines: DataFrame, pos: str = "line_no", line: str = "line",
-                       chunk_bits: int = DEFAULT_CHUNK_BITS, bounded: bool = False) -> DataFrame:
+                       chunk_bits: int = DEFAULT_CHUNK_BITS, bounded: bool = False,
+                       max_errors: int | None = T.MAX_ERRORS, max_anomalies: int | None = T.MAX_ANOMALIES,
+                       carried: tuple[str, ...] = ()) -> DataFrame:
     """W8 over lines with dense positions: one row per session that has
     lines: session_id, summary, errors, anomalies, root_cause_hint,
     severity (over the listed errors), severity_all (over all errors).
 
-    ``bounded=True`` (each session's lines are bounded, as after the byte
-    cap): one per-session window gives classes and list ranks, and one
-    aggregate gives every output; the lists are bounded by their caps."""
+    ``bounded=True`` (no session has more lines than a task can take): one
+    per-session window gives classes and list ranks, and one aggregate gives
+    every output.  Otherwise the chunked scan does.  A list without a length
+    holds all of a session in one row: for long sessions take ``error_list``."""
     c = classify_lines(lines, pos=pos, line=line, chunk_bits=chunk_bits, bounded=bounded)
     if pos != "line_no":
         c = c.withColumnRenamed(pos, "line_no")
@@ -104,62 +126,63 @@ def rule_based_summary(lines: DataFrame, pos: str = "line_no", line: str = "line
         is_an = F.col("cls") == ANOMALY
         c = c.withColumns({"_er": F.sum(_is_err().cast("int")).over(w),
                            "_ar": F.sum(is_an.cast("int")).over(w)})
-        err = F.when(_is_err() & (F.col("_er") <= T.MAX_ERRORS), F.struct(
+        err = F.when(_is_err() & (F.lit(max_errors is None) | (F.col("_er") <= F.lit(max_errors or 0))), F.struct(
             F.col("line_no").cast("int").alias("line"), F.col("err_msg").alias("msg"),
             F.col("cls").alias("severity")))
-        an = F.when(is_an & (F.col("_ar") <= T.MAX_ANOMALIES), F.struct(
+        an = F.when(is_an & (F.lit(max_anomalies is None) | (F.col("_ar") <= F.lit(max_anomalies or 0))), F.struct(
             F.col("line_no").cast("int").alias("line"),
             T.anomaly_text(F.col("line_no"), F.col("msg")).alias("text")))
-        line_no = F.col("line_no")
         agg = c.groupBy("session_id").agg(
-            F.count(F.lit(1)).alias("total"),
-            F.count_if(_is_err()).alias("n_errors"),
-            F.count_if(is_an).alias("n_anomalies"),
-            F.bool_or("in_tb").alias("has_tb"),
-            F.max_by("err_msg", F.when(_is_err(), line_no)).alias("last_error"),
-            F.max_by("msg", F.when(F.col("cls") == CRITICAL, line_no)).alias("last_critical"),
-            F.max_by("msg", F.when(F.col("in_tb"), line_no)).alias("last_tb"),
-            F.count_if(F.col("cls") == CRITICAL).alias("n_critical"),
-            F.array_sort(F.collect_list(err)).alias("errors"),
-            F.array_sort(F.collect_list(an)).alias("_an"))
-        return _finish(agg)
-    c = reuse(c)
-    counts = session_counts(c)
-    errs = (error_list(c).groupBy("session_id")
+            *_counts(carried), F.array_sort(F.collect_list(err)).alias("errors"), F.array_sort(F.collect_list(an)).alias("_an"))
+        return _finish(agg, carried)
+    c = staged(c, "classified")
+    counts = session_counts(c, carried)
+    errs = (error_list(c, max_errors, chunk_bits).groupBy("session_id")
             .agg(F.array_sort(F.collect_list(F.struct("line", "msg", "severity"))).alias("errors")))
-    anoms = (anomaly_list(c).groupBy("session_id")
+    anoms = (anomaly_list(c, max_anomalies, chunk_bits).groupBy("session_id")
              .agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("_an")))
-    return _finish(counts.join(errs, "session_id", "left").join(anoms, "session_id", "left"))
+    return _finish(counts.join(errs, "session_id", "left").join(anoms, "session_id", "left"), carried)
 
 
-def empty_summary_sentence() -> Column:
-    return T.summary_sentence(F.lit(0), F.lit(0), F.lit(0), F.lit(None).cast("string"), F.lit(False))
+#: A session of up to so many lines after the byte cap is one window group; an
+#: uncapped call goes by the number of its lines.
+BOUNDED_BYTES = 16 << 20
 
 
 def compress_sessions(lines: DataFrame, max_bytes: int | None = T.DEFAULT_MAX_BYTES,
-                      chunk_bits: int = DEFAULT_CHUNK_BITS, **cols) -> DataFrame:
+                      chunk_bits: int = DEFAULT_CHUNK_BITS, max_errors: int | None = T.MAX_ERRORS,
+                      max_anomalies: int | None = T.MAX_ANOMALIES, **cols) -> DataFrame:
     """pre_filter -> rule_based_summary, one row for every session.
 
     Output: session_id, summary, errors, anomalies, root_cause_hint,
-    severity, severity_all, total, n_errors, n_anomalies, kept,
-    removed_debug, removed_duplicate, total_removed, used_llm."""
-    fr = pre_filter(lines, max_bytes=max_bytes, chunk_bits=chunk_bits, **cols)
-    rs = rule_based_summary(fr.kept, chunk_bits=chunk_bits, bounded=max_bytes is not None)
-    # every session has a removal row; ``kept`` is the summary's line total
-    s = fr.removal.join(rs, "session_id", "left").withColumn("kept", F.coalesce(F.col("total"), F.lit(0)))
+    severity, severity_all, total, n_errors, n_anomalies, n_critical, kept,
+    removed_debug, removed_duplicate, total_removed, cut (lines over the byte
+    cap), unlisted_errors, unlisted_anomalies, used_llm.
+
+    A byte cap above ``BOUNDED_BYTES``, or none, takes the chunked
+    classification if any session is long; results do not depend on it."""
+    kept = capped_lines(lines, max_bytes, chunk_bits, **cols)
+    bounded = max_bytes is not None and max_bytes <= BOUNDED_BYTES
+    if not bounded:
+        kept = staged(kept, "kept-lines")
+        bounded = kept.where(F.col("line_no") > (1 << chunk_bits)).isEmpty()
+    s = rule_based_summary(kept, chunk_bits=chunk_bits, bounded=bounded, max_errors=max_errors, max_anomalies=max_anomalies,
+                           carried=("removed_debug", "removed_duplicate", "n_runs"))
     return s.select(
-        "session_id",
-        F.coalesce(F.col("summary"), empty_summary_sentence()).alias("summary"),
-        F.coalesce(F.col("errors"), F.array().cast(ERROR_STRUCT)).alias("errors"),
-        F.coalesce(F.col("anomalies"), F.array().cast("array<string>")).alias("anomalies"),
-        F.coalesce(F.col("root_cause_hint"), F.lit("")).alias("root_cause_hint"),
-        F.coalesce(F.col("severity"), F.lit("info")).alias("severity"),
-        F.coalesce(F.col("severity_all"), F.lit("info")).alias("severity_all"),
-        F.coalesce(F.col("total"), F.lit(0)).alias("total"),
-        F.coalesce(F.col("n_errors"), F.lit(0)).alias("n_errors"),
-        F.coalesce(F.col("n_anomalies"), F.lit(0)).alias("n_anomalies"),
-        "kept", "removed_debug", "removed_duplicate", "total_removed",
-        F.lit(False).alias("used_llm"))
+        "session_id", "summary", "errors", "anomalies", "root_cause_hint", "severity", "severity_all", "total", "n_errors", "n_anomalies",
+        "n_critical", F.col("total").alias("kept"), "removed_debug", "removed_duplicate",
+        (F.col("removed_debug") + F.col("removed_duplicate")).alias("total_removed"),
+        (F.col("n_runs") - F.col("total")).alias("cut"), "unlisted_errors", "unlisted_anomalies", F.lit(False).alias("used_llm"))
+
+
+def classified_lines(lines: DataFrame, max_bytes: int | None = T.DEFAULT_MAX_BYTES, chunk_bits: int = DEFAULT_CHUNK_BITS,
+                     **cols) -> DataFrame:
+    """W5 + W6 over the kept lines of whole sessions, with ``_chunk`` for ``error_list`` and ``anomaly_list``."""
+    kept = capped_lines(lines, max_bytes, chunk_bits, **cols).where(F.col("line").isNotNull()).select("session_id", "line_no", "line")
+    if max_bytes is not None and max_bytes <= BOUNDED_BYTES:
+        return classify_lines(kept, bounded=True)
+    kept = staged(kept, "kept-lines")
+    return classify_lines(kept, chunk_bits=chunk_bits, bounded=kept.where(F.col("line_no") > (1 << chunk_bits)).isEmpty())
 
 
 # --- J4 / F14 / A8: model responses as data --------------------------------

@@ -270,6 +270,15 @@ SELECT * FROM rollup ORDER BY started_at DESC, session_id LIMIT {Q.SESSION_LIST_
     s["session_anomalies"] = with_(*EV_PIPE) + "SELECT session_id, rank, text FROM anoms"
     s["root_cause"] = with_(*EV_PIPE) + "SELECT session_id, root_cause_hint FROM summ"
     s["session_summary"] = with_(*EV_PIPE) + SUMMARY_SELECT
+    s["session_summary_full"] = with_(LOG_EVENTS, EV_LINES, prefilter("ev_lines", None), classify("kept"), summarize(),
+        "crit AS (SELECT session_id, count(*) FILTER (WHERE cls = 'critical') AS n_critical FROM cls2 GROUP BY session_id)") + """
+SELECT session_id, summary, root_cause_hint, severity_all AS severity, kept, removed_debug, removed_duplicate, n_errors, n_anomalies,
+       coalesce(n_critical, 0) AS n_critical, n_errors AS listed_errors, CAST(0 AS BIGINT) AS cut
+FROM summ LEFT JOIN crit USING (session_id)"""
+    s["session_errors_full"] = with_(LOG_EVENTS, EV_LINES, prefilter("ev_lines", None), classify("kept")) + """
+SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY line_no) AS rank, CAST(line_no AS INTEGER) AS line,
+       err_msg AS msg, cls AS severity
+FROM cls2 WHERE cls IN ('critical', 'warning')"""
     s["session_severity"] = with_(*EV_PIPE) + "SELECT session_id, severity, severity_all FROM summ"
     s["recent_summaries"] = with_(*EV_PIPE, ROLLUP) + f"""
 SELECT s.session_id, r.last_event_at AS timestamp, s.severity, s.summary,

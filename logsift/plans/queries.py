@@ -16,9 +16,8 @@ from logsift.operators import alerts as AL
 from logsift.operators import audit as AU
 from logsift.operators import sessions as SE
 from logsift.operators import timeline as TL
-from logsift.operators.classify import classify_lines
 from logsift.operators.prefilter import collapse_runs, drop_noise, pre_filter
-from logsift.operators.summarize import (compress_sessions, compression_records, errors_json,
+from logsift.operators.summarize import (classified_lines, compress_sessions, compression_records, error_list, errors_json,
                                          list_summaries, resolve_summary, token_cost)
 from logsift.sources import adapters as A
 from logsift.sources import logs as LG
@@ -85,7 +84,7 @@ def q_parse_log_lines(spark, d):
 
 def q_session_metadata(spark, d):
     ev = log_events(spark, d)
-    lines = event_lines(spark, d).unionByName(A.meta_lines(ev))
+    lines = event_lines(spark, d).drop("at").unionByName(A.meta_lines(ev))
     m = LG.session_metadata(lines)
     return m.select("session_id", F.array_join("command", " ").alias("command"), "pid", "started_at",
                     "finished_at", "exit_code",
@@ -126,7 +125,7 @@ def q_event_count(spark, d):
 
 def q_drop_noise(spark, d):
     ev = log_events(spark, d)
-    lines = A.event_lines(ev).unionByName(A.meta_lines(ev))
+    lines = A.event_lines(ev).drop("at").unionByName(A.meta_lines(ev))
     return drop_noise(lines)
 
 
@@ -142,11 +141,11 @@ def q_byte_cap(spark, d):
 
 
 def q_filter_stats(spark, d):
-    return pre_filter(event_lines(spark, d), max_bytes=FILTER_STATS_MAX_BYTES).stats
+    return pre_filter(event_lines(spark, d), max_bytes=FILTER_STATS_MAX_BYTES).stats.drop("cut")
 
 
 def _classified(spark, d):
-    return classify_lines(pre_filter(event_lines(spark, d)).kept, bounded=True)
+    return classified_lines(event_lines(spark, d))
 
 
 def q_classify_lines(spark, d):
@@ -178,6 +177,18 @@ def q_session_summary(spark, d):
     return summaries(spark, d).select(*SUMMARY_COLS)
 
 
+def q_session_summary_full(spark, d):
+    """No byte cap and whole lists: totals of long sessions are complete."""
+    s = compress_sessions(event_lines(spark, d), max_bytes=None, max_errors=None, max_anomalies=None)
+    return s.select(*SUMMARY_COLS, "n_critical", F.size("errors").cast("long").alias("listed_errors"), "cut")
+
+
+def q_session_errors_full(spark, d):
+    """Every error of every session, one row each."""
+    e = error_list(classified_lines(event_lines(spark, d), max_bytes=None), n=None)
+    return e.select("session_id", F.col("rank").cast("long").alias("rank"), "line", "msg", "severity")
+
+
 def q_session_severity(spark, d):
     return summaries(spark, d).select("session_id", "severity", "severity_all")
 

@@ -67,9 +67,9 @@ def format_line(timestamp: Column, stream: Column, content: Column) -> Column:
 
 
 def event_lines(log_ev: DataFrame) -> DataFrame:
-    """log_events -> L(session_id, ord, line); ``ord`` = event id (arrival order),
-    or the event's time in microseconds where it came without an id (after all ids)."""
-    return log_ev.select("session_id", F.coalesce("id", F.unix_micros(T.parse_iso(F.col("timestamp")))).alias("ord"),
+    """log_events -> L(session_id, at, ord, line) in (time, id) order: ``at`` is the
+    event's time in microseconds (events whose time is no time come first), ``ord`` its id."""
+    return log_ev.select("session_id", F.unix_micros(T.parse_iso(F.col("timestamp"))).alias("at"), F.col("id").alias("ord"),
                          format_line(F.col("timestamp"), F.col("stream"), F.col("content")).alias("line"))
 
 
