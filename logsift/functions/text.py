@@ -37,6 +37,8 @@ MAX_ANOMALIES = 10
 DEFAULT_MAX_BYTES = 50_000
 ALERT_MSG_CHARS = 200
 NO_MESSAGE = "(no message)"
+ALERTS_HEADER = "*Yeni kritik hatalar:*"
+NO_ALERTS = "✅ Son 1 saatte kritik hata yok"
 DEFAULT_ALERT_SEVERITY = "warning"
 ALLOWED_COMMANDS = ("python", "python3", "pip", "pip3", "pytest", "git", "cat", "ls", "grep")
 DANGEROUS_PATTERNS = (

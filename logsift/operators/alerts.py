@@ -116,8 +116,23 @@ def unseen_alerts(feed: DataFrame, delivered: DataFrame, now: Column, horizon_mi
     ts = T.parse_iso(F.col("timestamp"))
     c = recent(critical_only(feed), ts, now, horizon_minutes, keep_null=True)
     c = c.withColumn("alert_key", alert_key(F.col("session_id"), F.col("timestamp")))
-    fresh = c.join(delivered.select("alert_key"), "alert_key", "left_anti").dropDuplicates(["alert_key"])
+    fresh = c.join(delivered.select("alert_key"), "alert_key", "left_anti")
     msg_cols = [F.col(x) for x in ("msg", "message", "detail") if x in feed.columns]
     msg = T.first_non_empty(*msg_cols, default=T.NO_MESSAGE)
-    return fresh.select("alert_key", "session_id", "timestamp",
-                        T.alert_line(F.col("timestamp"), msg).alias("text"))
+    line = T.alert_line(F.col("timestamp"), msg).alias("text")
+    # of several rows with one key, the first by text
+    return fresh.groupBy("alert_key").agg(F.min(F.struct("session_id", "timestamp", line)).alias("a")).select("alert_key", "a.*")
+
+
+def alert_message(alerts: DataFrame, text: str = "text", order: str = "alert_key", limit: int = 50) -> DataFrame:
+    """one row holding the message of a batch of alerts: a header and one
+    line an alert, or the sentence for none.  A message lists ``limit`` alerts and
+    tells how many more there are (None: all in one row)."""
+    total = F.count(F.lit(1)).alias("n")
+    top = (alerts if limit is None else alerts.orderBy(order, text).limit(limit)).select(F.struct(order, text).alias("_t"))
+    lines = top.agg(F.array_join(F.transform(F.array_sort(F.collect_list("_t")), lambda t: t[text]), "\n").alias("lines"),
+                    F.count(F.lit(1)).alias("listed"))
+    more = F.when(F.col("n") > F.col("listed"), F.format_string("_...and %d more_", F.col("n") - F.col("listed")))
+    some = F.concat_ws("\n", F.lit(T.ALERTS_HEADER), F.col("lines"), more)
+    return lines.select("lines", "listed", alerts.agg(total).scalar().alias("n")).select(
+        "n", F.when(F.col("n") > 0, some).otherwise(F.lit(T.NO_ALERTS)).alias("message"))

@@ -219,16 +219,21 @@ def byte_cap(runs: DataFrame, max_bytes: int | None) -> DataFrame:
     return r.withColumn("fits", (F.col("run_no") > 0) & (F.col("cum_bytes") <= max_bytes))
 
 
-def capped_lines(lines: DataFrame, max_bytes: int | None = T.DEFAULT_MAX_BYTES, chunk_bits: int = DEFAULT_CHUNK_BITS,
-                 **cols) -> DataFrame:
-    """W3 in one frame: the kept lines (``line`` set), and at least one row for
-    every session, each with the session's counts."""
-    r = byte_cap(counted_runs(lines, chunk_bits, max_bytes, **cols), max_bytes).where(F.col("fits") | (F.col("run_no") <= 1))
+def cap_runs(runs: DataFrame, max_bytes: int | None) -> DataFrame:
+    """``counted_runs`` rows to the kept lines (``line`` set), and at least one
+    row for every session, each with the session's counts."""
+    r = byte_cap(runs, max_bytes).where(F.coalesce("fits", F.lit(False)) | (F.col("run_no") <= 1))
     return r.select("session_id", F.col("run_no").alias("line_no"), "ord", "n",
                     F.when(F.col("fits"), F.concat(F.col("st"), T.annotation_text(F.col("n")))).alias("line"),
                     "bytes", "cum_bytes", "removed_debug", (F.col("n_content") - F.col("n_runs")).alias("removed_duplicate"), "n_runs")
 
 
+def capped_lines(lines: DataFrame, max_bytes: int | None = T.DEFAULT_MAX_BYTES, chunk_bits: int = DEFAULT_CHUNK_BITS,
+                 **cols) -> DataFrame:
+    """W3 in one frame, see ``cap_runs``."""
+    return cap_runs(counted_runs(lines, chunk_bits, max_bytes, **cols), max_bytes)
+
+
 def pre_filter(lines: DataFrame, max_bytes: int | None = T.DEFAULT_MAX_BYTES,
                chunk_bits: int = DEFAULT_CHUNK_BITS, **cols) -> FilterResult:
     """P2 -> P3 -> W1 -> W2 plus the A4 counts.  ``max_bytes=None`` keeps every line."""

@@ -166,6 +166,12 @@ def compress_sessions(lines: DataFrame, max_bytes: int | None = T.DEFAULT_MAX_BY
     if not bounded:
         kept = staged(kept, "kept-lines")
         bounded = kept.where(F.col("line_no") > (1 << chunk_bits)).isEmpty()
+    return summary_rows(kept, chunk_bits, bounded, max_errors, max_anomalies)
+
+
+def summary_rows(kept: DataFrame, chunk_bits: int = DEFAULT_CHUNK_BITS, bounded: bool = True, max_errors: int | None = T.MAX_ERRORS,
+                 max_anomalies: int | None = T.MAX_ANOMALIES) -> DataFrame:
+    """The summaries of ``cap_runs`` rows."""
     s = rule_based_summary(kept, chunk_bits=chunk_bits, bounded=bounded, max_errors=max_errors, max_anomalies=max_anomalies,
                            carried=("removed_debug", "removed_duplicate", "n_runs"))
     return s.select(

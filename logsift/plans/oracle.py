@@ -376,6 +376,31 @@ SELECT DISTINCT alert_key, session_id, timestamp,
        '• ' || timestamp || ' - ' || coalesce(nullif(msg, ''), '{T.NO_MESSAGE}') AS text
 FROM crit WHERE (ts >= {NOW} - INTERVAL {Q.HORIZON_MINUTES} MINUTE OR ts IS NULL)
   AND alert_key NOT IN (SELECT alert_key FROM delivered)"""
+    s["alert_message"] = f"""
+SELECT count(*) AS n, CASE WHEN count(*) > 0 THEN '{T.ALERTS_HEADER}' || chr(10)
+         || string_agg(text, chr(10) ORDER BY alert_key, text) FILTER (WHERE place <= 50)
+         || CASE WHEN count(*) > 50 THEN chr(10) || '_...and ' || (count(*) - 50) || ' more_' ELSE '' END
+       ELSE '{T.NO_ALERTS}' END AS message
+FROM (SELECT *, row_number() OVER (ORDER BY alert_key, text) AS place FROM (""" + s["unseen_alerts"] + "))"
+    s["stream_summaries"] = with_(*EV_PIPE, ROLLUP) + SUMMARY_SELECT.replace(
+        "SELECT session_id", "SELECT r.last_event_at AS timestamp, summ.session_id") + " JOIN rollup r USING (session_id)"
+    parts, stretches = [], [None, *Q.STREAM_CUTS, None]
+    ctes = [LOG_EVENTS, EV_LINES]
+    for n, (low, high) in enumerate(zip(stretches, stretches[1:])):
+        p = f"a{n}_"
+        upto = f"timestamp < '{high}'" if high else "TRUE"
+        ctes += [f"{p}ev AS (SELECT * FROM log_events WHERE {upto})",
+                 f"{p}lines AS (SELECT ev_lines.* FROM ev_lines JOIN {p}ev ON ev_lines.ord = {p}ev.id)",
+                 prefilter(f"{p}lines", T.DEFAULT_MAX_BYTES, p), classify(f"{p}kept", p), summarize(p),
+                 f"{p}last AS (SELECT session_id, max(timestamp) AS timestamp FROM {p}ev GROUP BY 1)"]
+        new = f"l.timestamp >= '{low}'" if low else "TRUE"
+        parts.append(f"""
+SELECT session_id || '|' || l.timestamp AS alert_key, session_id, l.timestamp,
+       '• ' || l.timestamp || ' - ' || coalesce(nullif(s.root_cause_hint, ''), '{T.NO_MESSAGE}') AS text
+FROM {p}summ s JOIN {p}last l USING (session_id)
+WHERE s.severity = 'critical' AND {new} AND CAST(l.timestamp AS TIMESTAMP) >=
+      (SELECT max(CAST(timestamp AS TIMESTAMP)) FROM {p}ev) - INTERVAL {Q.STREAM_HORIZON_MINUTES} MINUTE""")
+    s["stream_alerts"] = with_(*ctes) + " UNION ".join(parts)
     s["command_audit"] = with_(COMMANDS) + "SELECT page_id, command, exe, verdict FROM commands"
     s["command_audit_summary"] = with_(COMMANDS) + "SELECT exe, verdict, count(*) AS n FROM commands GROUP BY exe, verdict"
     s["path_audit"] = """

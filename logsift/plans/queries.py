@@ -31,6 +31,8 @@ HORIZON_MINUTES = 60
 DELIVERED_BEFORE_MINUTES = 30
 INPUT_RATE, OUTPUT_RATE = 3.0, 15.0  # USD per 1M tokens
 SUMMARY_LIST_LIMIT = 50
+STREAM_CUTS = ["2024-01-11", "2024-01-21"]  # the streamed events come in three stretches of time
+STREAM_HORIZON_MINUTES = 1440
 
 
 def _t(spark, d, name):
@@ -335,6 +337,21 @@ def q_stream_parity(spark, d):
     return stream_rollup_parity(spark, d)
 
 
+def q_stream_summaries(spark, d):
+    from logsift.streaming.streams import stream_summaries_of
+    return stream_summaries_of(spark, d, STREAM_CUTS).select("timestamp", *SUMMARY_COLS)
+
+
+def q_stream_alerts(spark, d):
+    from logsift.streaming.streams import stream_alerts_of
+    return stream_alerts_of(spark, d, STREAM_CUTS, STREAM_HORIZON_MINUTES)
+
+
+def q_alert_message(spark, d):
+    """the unseen alerts as one message."""
+    return AL.alert_message(q_unseen_alerts(spark, d))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)
 }
