@@ -237,6 +237,16 @@ def strip_code_fence(text: Column) -> Column:
     return F.when(t.startswith("```"), unfenced).otherwise(t)
 
 
+def strict_json(text: Column) -> Column:
+    """The text as one JSON value (VARIANT); NULL if it is none.  The parser
+    stops after the first value, so the text is read inside a list and inside
+    an object too: whatever follows the value breaks one of them."""
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    held = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    alone = (F.size(F.try_variant_get(listed, "$", "array<variant>")) == 1) & held.isNotNull()
+    return F.when(alone, F.try_variant_get(listed, "$[0]", "variant"))
+
+
 # --- F15-F20: alert and result text ---------------------------------------
 def first_non_empty(*cols: Column, default: str | None = None) -> Column:
     parts = [F.nullif(c, F.lit("")) for c in cols]

@@ -1,19 +1,14 @@
 """Command and write-path policy audit over tables.
 
 The reference checks one command per call; here a table of commands is
-audited at once.  Only shell tokenising runs in Python (an Arrow-batched
-``pandas_udf`` around ``shlex.split``); the verdict, the executable
-check, the pattern check and path normalisation are JVM expressions.
+audited at once.  Shell tokenising, the verdict, the executable check, the
+pattern check and path normalisation are JVM expressions.
 """
 
 from __future__ import annotations
 
-import shlex
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from logsift.functions import text as T
 
@@ -21,17 +16,76 @@ SYNTAX, EMPTY, NOT_ALLOWED, DANGEROUS, ALLOWED = "syntax", "empty", "not_allowed
 STATUSES = ("rejected", "timeout", "completed", "error")
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def shell_split(commands: pd.Series) -> pd.Series:
-    """POSIX shell tokenising; NULL when quoting is unbalanced."""
-    def one(cmd):
-        if cmd is None:
-            return None
-        try:
-            return shlex.split(cmd)
-        except ValueError:
-            return None
-    return commands.map(one)
+# A word is a row of parts: quoted text, an escaped character, or plain characters.
+_SINGLE, _DOUBLE = r"'[^']*+'", r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_PLAIN = r"[^ \t\r\n'\"\\]"
+_PART = rf"(?s){_SINGLE}|{_DOUBLE}|\\.|{_PLAIN}++"
+_WORD = rf"(?s)(?:{_SINGLE}|{_DOUBLE}|\\.|{_PLAIN}++)++"
+#: The patterns recurse once for every escape and quote of a word; commands with more are read character by character.
+_MAX_MARKS = 500
+
+
+def _split_by_patterns(command: Column) -> Column:
+    def bare(part: Column) -> Column:
+        inner = F.substring(part, F.lit(2), F.length(part) - 2)
+        return (F.when(part.startswith("'"), inner)
+                 .when(part.startswith('"'), F.regexp_replace(inner, r'\\(["\\])', "$1"))
+                 .when(part.startswith("\\"), F.substring(part, F.lit(2), F.length(part)))
+                 .otherwise(part))
+    words = F.regexp_extract_all(command, F.lit(_WORD), F.lit(0))
+    argv = F.transform(words, lambda w: F.array_join(F.transform(F.regexp_extract_all(w, F.lit(_PART), F.lit(0)), bare), ""))
+    left = F.regexp_replace(command, F.lit(_PART), F.lit(""))
+    return F.when(~left.rlike(r"['\"\\]"), argv)
+
+
+def _read_characters(command: Column) -> Column:
+    """The end state (mode, open, word, words) of a machine over the characters:
+    outside, in single or double quotes, and after an escape in either."""
+    out, single, double, escaped, escaped_in = (F.lit(n) for n in range(5))
+    start = F.struct(out.alias("mode"), F.lit(False).alias("open"), F.lit("").alias("word"), F.array().cast("array<string>").alias("words"))
+
+    def step(a: Column, c: Column) -> Column:
+        mode, blank = a["mode"], c.isin(" ", "\t", "\r", "\n")
+        add = (F.when(mode == single, F.when(c == "'", "").otherwise(c))
+                .when(mode == double, F.when(c.isin('"', "\\"), "").otherwise(c))
+                .when(mode == escaped_in, F.when(c.isin('"', "\\"), c).otherwise(F.concat(F.lit("\\"), c)))
+                .when(mode == escaped, c)
+                .otherwise(F.when(blank | c.isin("'", '"', "\\"), "").otherwise(c)))
+        then = (F.when(mode == single, F.when(c == "'", out).otherwise(single))
+                 .when(mode == double, F.when(c == '"', out).when(c == "\\", escaped_in).otherwise(double))
+                 .when(mode == escaped_in, double).when(mode == escaped, out)
+                 .otherwise(F.when(c == "'", single).when(c == '"', double).when(c == "\\", escaped).otherwise(out)))
+        ends = (mode == out) & blank
+        return F.struct(then.alias("mode"), (~ends & (a["open"] | ~blank | (mode != out))).alias("open"),
+                        F.when(ends, "").otherwise(F.concat(a["word"], add)).alias("word"),
+                        F.when(ends & a["open"], F.concat(a["words"], F.array(a["word"]))).otherwise(a["words"]).alias("words"))
+    return F.aggregate(F.filter(F.split(command, ""), lambda c: c != ""), start, step)
+
+
+def _split_by_characters(command: Column) -> Column:
+    end = _read_characters(command)
+    return F.when(end["mode"] == 0, F.when(end["open"], F.concat(end["words"], F.array(end["word"]))).otherwise(end["words"]))
+
+
+def shell_split(command: Column) -> Column:
+    """POSIX shell words of a command; NULL when quotes or an escape stay open."""
+    marks = F.length(command) - F.length(F.translate(command, "\\'\"", ""))
+    return F.when(marks <= _MAX_MARKS, _split_by_patterns(command)).otherwise(_split_by_characters(command))
+
+
+def syntax_message(command: Column) -> Column:
+    """What is wrong with a command that ``shell_split`` can't read."""
+    return F.when(_read_characters(command)["mode"] >= 3, F.lit("No escaped character")).otherwise(F.lit("No closing quotation"))
+
+
+def quoted(text: Column) -> Column:
+    """The text as a Python literal: in single quotes, or in double ones if it has single quotes only."""
+    safe = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    for char, name in (("\n", "n"), ("\r", "r"), ("\t", "t")):
+        safe = F.replace(safe, F.lit(char), F.lit("\\" + name))
+    double = text.contains("'") & ~text.contains('"')
+    return F.when(double, F.concat(F.lit('"'), safe, F.lit('"'))).otherwise(
+        F.concat(F.lit("'"), F.replace(safe, F.lit("'"), F.lit("\\'")), F.lit("'")))
 
 
 def executable_name(argv0: Column) -> Column:
@@ -52,12 +106,13 @@ def audit_commands(df: DataFrame, col: str = "command") -> DataFrame:
                 .when(~F.col("exe").isin(*T.ALLOWED_COMMANDS), F.lit(NOT_ALLOWED))
                 .when(joined.rlike(T.java(T.DANGEROUS_RE, True)), F.lit(DANGEROUS))
                 .otherwise(F.lit(ALLOWED)))
-    reason = (F.when(F.col("verdict") == SYNTAX, F.lit("Invalid command syntax"))
+    allowed = "[" + ", ".join(f"'{c}'" for c in sorted(T.ALLOWED_COMMANDS)) + "]"
+    reason = (F.when(F.col("verdict") == SYNTAX, F.concat(F.lit("Invalid command syntax: "), syntax_message(F.col(col))))
                .when(F.col("verdict") == EMPTY, F.lit("Empty command"))
-               .when(F.col("verdict") == NOT_ALLOWED,
-                     F.format_string("Command not allowed: '%s'", F.try_element_at(F.col("argv"), F.lit(1))))
+               .when(F.col("verdict") == NOT_ALLOWED, F.concat(
+                   F.lit("Command not allowed: "), quoted(F.try_element_at(F.col("argv"), F.lit(1))), F.lit(f". Allowed: {allowed}")))
                .when(F.col("verdict") == DANGEROUS,
-                     F.format_string("Dangerous pattern detected in command: '%s'", T.truncate(joined, 200))))
+                     F.concat(F.lit("Dangerous pattern detected in command: "), quoted(T.truncate(joined, 200)))))
     return d.withColumn("verdict", verdict).withColumn("reason", reason)
 
 

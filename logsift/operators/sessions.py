@@ -8,7 +8,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from logsift import schemas
 from logsift.functions import text as T
-from logsift.operators.ordered import DEFAULT_CHUNK_BITS, chunk_of, first_n
+from logsift.operators.ordered import DEFAULT_CHUNK_BITS, chunk_of, first_n, staged
 
 MAX_PAGE = 10_000
 MAX_SESSIONS = 200
@@ -52,19 +52,47 @@ def session_bucket(session_id, buckets: int = SESSION_BUCKETS):
     return F.pmod(F.xxhash64(session_id), F.lit(buckets)).cast("int")
 
 
-def append_events(df: DataFrame, path: str, buckets: int = SESSION_BUCKETS) -> None:
+def append_events(df: DataFrame, path: str, buckets: int = SESSION_BUCKETS, salt: int = 1) -> None:
     """Append valid events, partitioned by session bucket and event date:
     reads by session prune to one bucket (statically or by dynamic partition
-    pruning), reads by time prune by date.  The bucket count is recorded beside
-    the table before any row is written with it (``stored_buckets``)."""
+    pruning), reads by time prune by date.  The rows of one bucket and date
+    are brought together first, in ``salt`` parts (more where one bucket's day is
+    too much for a task), so a call writes at most buckets x dates x salt
+    files.  The bucket count is recorded beside the table before any row is
+    written with it (``stored_buckets``)."""
     marker = _bucket_marker(path)
     known = stored_buckets(df.sparkSession, path)
     # a table that has files but no record was written before counts were kept: it stays without one
-    if buckets not in known and (known or not _exists(df.sparkSession, path)):
+    if buckets not in known and (known or not path_exists(df.sparkSession, path)):
         df.sparkSession.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("append").parquet(marker)
-    (df.withColumn("session_bucket", session_bucket(F.col("session_id"), buckets))
-       .withColumn("event_date", F.substring("timestamp", 1, 10))
-       .write.mode("append").partitionBy("session_bucket", "event_date").parquet(path))
+    rows = (df.withColumn("session_bucket", session_bucket(F.col("session_id"), buckets))
+              .withColumn("event_date", F.substring("timestamp", 1, 10)))
+    part = F.pmod(F.xxhash64(*df.columns), F.lit(salt))
+    rows.repartition("session_bucket", "event_date", part).write.mode("append").partitionBy("session_bucket", "event_date").parquet(path)
+
+
+def crowded_partitions(spark: SparkSession, path: str, max_files: int = 1) -> DataFrame:
+    """(session_bucket, event_date, files) of the stored partitions with more files than that."""
+    files = spark.read.parquet(path).select("session_bucket", "event_date", F.col("_metadata.file_path").alias("f"))
+    return (files.groupBy("session_bucket", "event_date").agg(F.count_distinct("f").alias("files"))
+                 .where(F.col("files") > max_files))
+
+
+def compact_events(spark: SparkSession, path: str, max_files: int = 1, salt: int = 1) -> int:
+    """Rewrite the partitions with more than ``max_files`` files as ``salt``
+    files each; returns how many there were.  Their rows are staged in the shared folder before
+    the partitions are overwritten, so a job that dies can be run again; do not append meanwhile."""
+    crowded = crowded_partitions(spark, path, max(max_files, salt))
+    keys = staged(crowded.select("session_bucket", "event_date"), "crowded-partitions")
+    n = keys.count()
+    if n:
+        same = lambda a, b: a["session_bucket"].eqNullSafe(b["session_bucket"]) & a["event_date"].eqNullSafe(b["event_date"])
+        stored = spark.read.parquet(path)
+        rows = staged(stored.join(keys, same(stored, keys), "left_semi"), "compacted-events")
+        part = F.pmod(F.xxhash64(*[c for c in rows.columns if c not in ("session_bucket", "event_date")]), F.lit(salt))
+        (rows.repartition("session_bucket", "event_date", part).write.mode("overwrite")
+             .option("partitionOverwriteMode", "dynamic").partitionBy("session_bucket", "event_date").parquet(path))
+    return n
 
 
 def _bucket_marker(path: str) -> str:
@@ -72,14 +100,14 @@ def _bucket_marker(path: str) -> str:
     return f"{path.rstrip('/')}/_bucket_counts"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 def stored_buckets(spark: SparkSession, path: str) -> list[int]:
     """Every bucket count that ``append_events`` used for the table; empty if that is not known."""
-    if not _exists(spark, _bucket_marker(path)):
+    if not path_exists(spark, _bucket_marker(path)):
         return []
     rows = spark.read.schema("buckets int").parquet(_bucket_marker(path)).distinct().collect()
     return sorted(r["buckets"] for r in rows)
@@ -108,14 +136,19 @@ def event_pages(events: DataFrame, limit: int = 100, offset: int = 0,
                .withColumn("page_pos", (F.col("pos") - offset).cast("int")).drop("pos"))
 
 
-def session_rollup(events: DataFrame) -> DataFrame:
-    """A1: first/last event time and event count per session.  Aggregated
-    on the parsed time (hash aggregate), formatted back to ISO-ms."""
+def session_bounds() -> list:
+    """The stored texts of a session's first and last time.  Texts that are no time bound nothing."""
     ts = T.parse_iso(F.col("timestamp"))
+    key = F.when(ts.isNotNull(), F.struct(ts, "timestamp"))
+    return [F.min(key).alias("_s"), F.max(key).alias("_e")]
+
+
+def session_rollup(events: DataFrame) -> DataFrame:
+    """A1: first/last event time, as stored, and event count per session; times are compared parsed."""
     return (events.groupBy("session_id")
-            .agg(F.min(ts).alias("_s"), F.max(ts).alias("_e"), F.count(F.lit(1)).alias("event_count"))
-            .select("session_id", T.iso_ms(F.col("_s")).alias("started_at"),
-                    T.iso_ms(F.col("_e")).alias("last_event_at"), "event_count"))
+            .agg(*session_bounds(), F.count(F.lit(1)).alias("event_count"))
+            .select("session_id", F.col("_s.timestamp").alias("started_at"),
+                    F.col("_e.timestamp").alias("last_event_at"), "event_count"))
 
 
 def list_sessions(events: DataFrame, limit: int = 50) -> DataFrame:

@@ -192,41 +192,88 @@ def classified_lines(lines: DataFrame, max_bytes: int | None = T.DEFAULT_MAX_BYT
 
 
 # --- J4 / F14 / A8: model responses as data --------------------------------
-MODEL_SCHEMA = "summary string, root_cause_hint string"
+MODEL_SCHEMA = ("summary string, root_cause_hint string, errors array<struct<line:int,msg:string,severity:string>>, "
+                "anomalies array<string>")
 
 
-def parse_model_response(text: Column) -> Column:
-    """strip a code fence and decode the JSON object; malformed -> NULL."""
-    return F.from_json(T.strip_code_fence(text), MODEL_SCHEMA, {"mode": "PERMISSIVE"})
+def model_object(text: Column) -> Column:
+    """strip a code fence and read the text as one JSON object; NULL for
+    anything else, text behind the object included."""
+    v = T.strict_json(T.strip_code_fence(text))
+    return F.when(F.schema_of_variant(v).startswith("OBJECT<") & (F.schema_of_variant(v) != "OBJECT<>"), v)
 
 
-def model_object_keys(text: Column) -> Column:
-    """Number of keys of the decoded object (NULL when not a JSON object)."""
-    return F.size(F.json_object_keys(T.strip_code_fence(text)))
+def _text_of(v: Column, path: str) -> Column:
+    """A field as text; NULL when missing or null."""
+    return F.try_variant_get(v, path, "string")
 
 
-def resolve_summary(rule: DataFrame, responses: DataFrame, text_col: str = "response") -> DataFrame:
-    """Take the model's answer when it decodes to a non-empty JSON
-    object, else the rule-based summary; ``used_llm`` tells which."""
-    r = responses.select("session_id",
-                         parse_model_response(F.col(text_col)).alias("_m"),
-                         model_object_keys(F.col(text_col)).alias("_k"))
-    j = rule.drop("used_llm").join(r, "session_id", "left")
-    use = F.coalesce(F.col("_k") > 0, F.lit(False))
-    return j.select(
-        "session_id",
-        use.alias("used_llm"),
-        F.when(use, F.col("_m.summary")).otherwise(F.col("summary")).alias("summary"),
-        F.when(use, F.col("_m.root_cause_hint")).otherwise(F.col("root_cause_hint")).alias("root_cause_hint"))
+def _items(v: Column, path: str) -> Column:
+    """The items of a list field; NULL when it is missing or no list."""
+    return F.try_variant_get(v, path, "array<variant>")
+
+
+def parse_model_response(text: Column) -> Column:
+    """the answer as a struct (summary, root_cause_hint, errors, anomalies);
+    NULL unless it is a non-empty JSON object.  A field that is missing, or of
+    another type, is NULL; items of ``errors`` that are no objects are left out."""
+    v = model_object(text)
+    is_object = lambda e: F.schema_of_variant(e).startswith("OBJECT<")
+    errors = F.transform(F.filter(_items(v, "$.errors"), lambda e: F.coalesce(is_object(e), F.lit(False))), lambda e: F.struct(
+        F.try_variant_get(e, "$.line", "int").alias("line"), _text_of(e, "$.msg").alias("msg"), _text_of(e, "$.severity").alias("severity")))
+    anomalies = F.transform(_items(v, "$.anomalies"), lambda a: F.coalesce(F.try_variant_get(a, "$", "string"), F.to_json(a)))
+    return F.when(v.isNotNull(), F.struct(
+        _text_of(v, "$.summary").alias("summary"), _text_of(v, "$.root_cause_hint").alias("root_cause_hint"),
+        errors.alias("errors"), anomalies.alias("anomalies")))
+
+
+USAGE_COLUMNS = ("input_tokens", "output_tokens", "model", "cost_usd")
+
+
+def resolve_summary(rule: DataFrame, responses: DataFrame, text_col: str = "response", order: str | None = None) -> DataFrame:
+    """The model's answer when it is a non-empty JSON object, else the
+    rule-based summary, as one row a session: summary, root_cause_hint, errors,
+    anomalies, severity (over the errors), used_llm, the filter counts, and the
+    tokens, model and cost when ``responses`` has them (``token_cost``).
+
+    A field that the answer lacks is NULL (lists: empty), as the answer is taken
+    whole.  Of several answers of a session the first usable one counts, by
+    ``order`` (default: an ``attempt`` column if there is one, then the text)."""
+    order = order or ("attempt" if "attempt" in responses.columns else text_col)
+    used = [c for c in USAGE_COLUMNS if c in responses.columns]
+    usable = responses.withColumn("_m", parse_model_response(F.col(text_col))).where(F.col("_m").isNotNull())
+    first = usable.groupBy(F.col("session_id").alias("_sid")).agg(
+        F.min_by(F.struct("_m", *used), F.struct(order, text_col)).alias("a"))
+    j = rule.drop("used_llm").join(first, rule["session_id"].eqNullSafe(F.col("_sid")), "left")
+    use = F.col("a").isNotNull()
+    m = lambda c: F.col(f"a._m.{c}")
+    either = lambda c, model: F.when(use, model).otherwise(F.col(c)).alias(c)
+    counts = [c for c in ("kept", "removed_debug", "removed_duplicate", "total_removed") if c in rule.columns]
+    cols = ["session_id", use.alias("used_llm"), either("summary", m("summary")), either("root_cause_hint", m("root_cause_hint"))]
+    if "errors" in rule.columns:
+        errors, anomalies = F.coalesce(m("errors"), F.array().cast(ERROR_STRUCT)), F.coalesce(m("anomalies"), F.array().cast("array<string>"))
+        cols += [either("errors", errors), either("anomalies", anomalies), either("severity", severity_of(errors))]
+    return j.select(*cols, *counts, *(F.col(f"a.{c}").alias(c) for c in used))
 
 
 def token_cost(usage: DataFrame, input_rate: float = 0.0, output_rate: float = 0.0) -> DataFrame:
-    """Cost per record = tokens / 1e6 * rate, input plus output."""
+    """Cost per record = tokens / 1e6 * rate, input plus output; tokens that were not reported count 0."""
+    zero = F.lit(0).cast("long")
+    usage = usage.withColumns({c: F.coalesce(F.col(c), zero) for c in ("input_tokens", "output_tokens")})
     cost = (F.col("input_tokens") / F.lit(1e6) * F.lit(float(input_rate))
             + F.col("output_tokens") / F.lit(1e6) * F.lit(float(output_rate)))
     return usage.withColumn("cost_usd", cost)
 
 
+def session_costs(usage: DataFrame, input_rate: float = 0.0, output_rate: float = 0.0) -> DataFrame:
+    """A8 per session and model: records, tokens and cost.  The tokens are
+    summed before they are priced, so the cost does not depend on the order of rows."""
+    total = usage.groupBy("session_id", "model").agg(
+        F.count(F.lit(1)).alias("n_records"), F.coalesce(F.sum("input_tokens"), F.lit(0).cast("long")).alias("input_tokens"),
+        F.coalesce(F.sum("output_tokens"), F.lit(0).cast("long")).alias("output_tokens"))
+    return token_cost(total, input_rate, output_rate)
+
+
 # --- S8 / P7 / L3: stored summaries -----------------------------------------
 def compression_records(summaries: DataFrame, stamped_at) -> DataFrame:
     """S8 rows: (session_id, timestamp, severity, summary, errors); ``errors``

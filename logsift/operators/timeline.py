@@ -8,13 +8,15 @@ step *before* the join, so no step's array is rebuilt per agent.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logsift.functions import text as T
-from logsift.operators.ordered import DEFAULT_CHUNK_BITS, chunk_of, dense_positions, first_n
+from logsift.operators.ordered import DEFAULT_CHUNK_BITS, chunk_of, dense_positions, first_n, staged
+from logsift.operators.sessions import path_exists
 from logsift.operators.summarize import compress_sessions
 
+STEP_COLUMNS = ("agent_id", "step_number", "action_type", "action_detail", "result_summary", "timestamp")
 ACTION_TYPES = ("file_write", "bash", "api_call", "decision")
 DIGEST_STEPS = 10
 DIGEST_RESULT_CHARS = 100
@@ -34,15 +36,49 @@ def validate_steps(steps: DataFrame) -> tuple[DataFrame, DataFrame]:
 def snapshots_from_steps(steps_with_files: DataFrame) -> DataFrame:
     """One snapshot row per listed file of a step (hash and diff are
     input columns ``git_hashes`` / ``diff_summaries`` aligned with
-    ``file_paths`` when present)."""
-    cols = [F.col("id").alias("step_id")]
-    z = F.posexplode_outer("file_paths").alias("_i", "file_path")
-    out = steps_with_files.select(*cols, "timestamp", "git_hashes", "diff_summaries", z)
+    ``file_paths`` when present; a list that is short or missing gives NULLs)."""
+    missing = F.lit(None).cast("array<string>")
+    at = lambda c: F.get(F.col(c) if c in steps_with_files.columns else missing, F.col("_i"))
+    out = steps_with_files.select("*", F.posexplode_outer("file_paths").alias("_i", "file_path"))
     return out.where(F.col("file_path").isNotNull()).select(
-        "step_id", "file_path",
-        F.element_at("git_hashes", F.col("_i") + 1).alias("git_hash"),
-        F.element_at("diff_summaries", F.col("_i") + 1).alias("diff_summary"),
-        "timestamp")
+        F.col("id").alias("step_id"), "file_path", at("git_hashes").alias("git_hash"), at("diff_summaries").alias("diff_summary"), "timestamp")
+
+
+def _numbered(rows: DataFrame, table: str, batch_id: int) -> DataFrame:
+    """``rows`` (staged) with an id behind all ids of the batches before: dense,
+    by the counts of the partitions before and the place in the partition."""
+    spark = rows.sparkSession
+    rows = staged(rows.drop("id").withColumn("_m", F.monotonically_increasing_id()), "numbered")
+    last = 0
+    if path_exists(spark, table):
+        last = spark.read.parquet(table).where(F.col("append_id") < batch_id).agg(F.max("id")).first()[0] or 0
+    part = F.shiftright("_m", 33)
+    counts = rows.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))  # one row a partition
+    first = counts.select("_p", F.coalesce(before, F.lit(0)).alias("_before"))
+    return rows.withColumn("_p", part).join(F.broadcast(first), "_p").withColumn(
+        "id", F.col("_before") + (F.col("_m") - F.shiftleft(F.col("_p"), 33)) + last + 1).drop("_p", "_m", "_before")
+
+
+def append_steps(steps: DataFrame, steps_path: str, snapshots_path: str, rejected_path: str, batch_id: int) -> None:
+    """S9 + S6: validated steps (with ``file_paths`` and, optionally, hashes
+    and diffs) as one batch of the step table, their files as snapshots, the
+    others with their reasons.  Ids are assigned densely in arrival order; a
+    batch that is written again overwrites itself with the same ids."""
+    valid, rejected = validate_steps(steps)
+    target = lambda path: f"{path}/append_id={batch_id}"
+    extra = [c for c in ("file_paths", "git_hashes", "diff_summaries") if c in steps.columns]
+    numbered = staged(_numbered(valid, steps_path, batch_id), "steps")
+    numbered.select("id", *(c for c in STEP_COLUMNS if c in steps.columns)).write.mode("overwrite").parquet(target(steps_path))
+    rejected.write.mode("overwrite").parquet(target(rejected_path))
+    if "file_paths" in extra:
+        append_snapshots(snapshots_from_steps(numbered), snapshots_path, batch_id)
+
+
+def append_snapshots(snapshots: DataFrame, path: str, batch_id: int) -> None:
+    """One batch of the snapshot table, with ids as ``append_steps`` gives them."""
+    _numbered(snapshots, path, batch_id).select(
+        "id", "step_id", "file_path", "git_hash", "diff_summary", "timestamp").write.mode("overwrite").parquet(f"{path}/append_id={batch_id}")
 
 
 def steps_for_agent(steps: DataFrame, agent_id: str) -> DataFrame:
@@ -74,14 +110,20 @@ def file_history(snapshots: DataFrame, steps: DataFrame | None = None,
 
 def timeline_rows(steps: DataFrame, snapshots: DataFrame) -> DataFrame:
     """J1 flat: every step with each of its snapshots (steps without
-    snapshots once, snapshot columns NULL).  A hot step is split by AQE's
-    skew-join handling rather than collected."""
-    snap = snapshots.select(F.col("step_id"), F.col("id").alias("snapshot_id"), "file_path",
+    snapshots once, snapshot columns NULL).
+
+    A left outer join cannot split the snapshots of a hot step.  So the steps
+    with snapshots are an inner join, where AQE splits either side, and the
+    others follow from an anti join against the distinct step ids, which are
+    combined on the map side."""
+    snap = snapshots.select(F.col("step_id").alias("_of"), F.col("id").alias("snapshot_id"), "file_path",
                             "git_hash", "diff_summary", F.col("timestamp").alias("snapshot_timestamp"))
-    return (steps.join(snap, steps["id"] == snap["step_id"], "left")
-                 .select("agent_id", "step_number", F.col("id").alias("step_id"), "action_type",
-                         "action_detail", "result_summary", F.col("timestamp").alias("step_timestamp"),
-                         "snapshot_id", "file_path", "git_hash", "diff_summary", "snapshot_timestamp"))
+    step = steps.select("agent_id", "step_number", F.col("id").alias("step_id"), "action_type",
+                        "action_detail", "result_summary", F.col("timestamp").alias("step_timestamp"))
+    found = step.join(snap, step["step_id"] == snap["_of"]).drop("_of")
+    have = snapshots.select(F.col("step_id").alias("_of")).distinct()
+    bare = step.join(have, step["step_id"] == have["_of"], "left_anti")
+    return found.unionByName(bare, allowMissingColumns=True)
 
 
 def agent_timeline(steps: DataFrame, snapshots: DataFrame) -> DataFrame:
@@ -90,8 +132,7 @@ def agent_timeline(steps: DataFrame, snapshots: DataFrame) -> DataFrame:
 
     This is the display form: each document is one row, so it suits
     histories of display size.  For whole tables use ``timeline_rows``
-    (flat, no per-key collection; a hot step is split by AQE's skew-join
-    handling) and ``timeline_digest`` (bounded per agent)."""
+    (flat, no per-key collection) and ``timeline_digest`` (bounded per agent)."""
     snap_struct = F.struct(F.col("timestamp"), F.col("id"), F.col("file_path"),
                            F.col("git_hash"), F.col("diff_summary"))
     per_step = (snapshots.groupBy("step_id")
@@ -155,9 +196,9 @@ def timeline_digest(steps: DataFrame, snapshots: DataFrame, n: int = DIGEST_STEP
 
 def step_lines(steps: DataFrame) -> DataFrame:
     """W10 input: each step as ``Step n: type - result``; the agent is the
-    session and the step number the order."""
+    session, and steps go by number, those of one number by id."""
     return steps.select(F.col("agent_id").alias("session_id"),
-                        F.col("step_number").cast("long").alias("ord"),
+                        F.col("step_number").cast("long").alias("at"), F.col("id").alias("ord"),
                         T.step_text(F.col("step_number"), F.col("action_type"),
                                     F.col("result_summary")).alias("line"))
 

@@ -211,8 +211,9 @@ COMMANDS = """commands AS (
 RESULTS = """res0 AS (
   SELECT *, CASE WHEN verdict <> 'allowed' THEN 'rejected' WHEN page_id % 5 = 0 THEN 'timeout'
                  WHEN page_id % 5 = 1 THEN 'error' ELSE 'completed' END AS status,
-         CASE verdict WHEN 'syntax' THEN 'Invalid command syntax' WHEN 'empty' THEN 'Empty command'
-                      WHEN 'not_allowed' THEN 'Command not allowed: ''' || split_part(command, ' ', 1) || ''''
+         CASE verdict WHEN 'syntax' THEN 'Invalid command syntax: No closing quotation' WHEN 'empty' THEN 'Empty command'
+                      WHEN 'not_allowed' THEN 'Command not allowed: ''' || split_part(command, ' ', 1) || '''. Allowed: [''cat'', ''git'', ''grep'', ''ls'', '
+                           || '''pip'', ''pip3'', ''pytest'', ''python'', ''python3'']'
                       WHEN 'dangerous' THEN 'Dangerous pattern detected in command: '''
                            || left(replace(command, '''', ''), 200) || '''' END AS reason
   FROM commands),
@@ -382,6 +383,28 @@ SELECT count(*) AS n, CASE WHEN count(*) > 0 THEN '{T.ALERTS_HEADER}' || chr(10)
          || CASE WHEN count(*) > 50 THEN chr(10) || '_...and ' || (count(*) - 50) || ' more_' ELSE '' END
        ELSE '{T.NO_ALERTS}' END AS message
 FROM (SELECT *, row_number() OVER (ORDER BY alert_key, text) AS place FROM (""" + s["unseen_alerts"] + "))"
+    s["read_events"] = with_(LOG_EVENTS) + "SELECT id, session_id, timestamp, stream, content, source FROM log_events"
+    s["steps_for_agent"] = with_(STEPS) + f"SELECT id, step_number, action_type, result_summary, timestamp FROM steps WHERE agent_id = '{Q.AGENT}'"
+    s["snapshots_for_step"] = with_(SNAPS) + f"SELECT id, file_path, git_hash, diff_summary, timestamp FROM snaps WHERE step_id = {Q.STEP}"
+    s["result_by_id"] = with_(COMMANDS, RESULTS) + f"""
+SELECT ingest_seq, command, exit_code, status, stderr FROM results WHERE sandbox_id = '{Q.SANDBOX}'"""
+    s["validate_steps"] = with_(STEPS) + """
+SELECT id, CASE WHEN id % 10 IN (0, 1) OR action_type = 'bash' THEN 'rejected' ELSE 'valid' END AS status,
+       concat_ws('; ', CASE WHEN id % 10 = 0 THEN 'step_number missing' END, CASE WHEN id % 10 = 1 THEN 'timestamp missing' END,
+                       CASE WHEN action_type = 'bash' THEN 'action_type not allowed' END) AS reasons
+FROM steps"""
+    s["session_costs"] = f"""
+SELECT 'd' || (doc_id % 500) AS session_id, source AS model, count(*) AS n_records, CAST(sum(n_chars // 4) AS BIGINT) AS input_tokens,
+       CAST(sum(n_chars // 40) AS BIGINT) AS output_tokens,
+       round(sum(n_chars // 4) / 1e6 * {Q.INPUT_RATE} + sum(n_chars // 40) / 1e6 * {Q.OUTPUT_RATE}, 9) AS cost_usd
+FROM documents GROUP BY ALL"""
+    s["stored_events"] = with_(LOG_EVENTS) + """
+SELECT session_id, count(*) AS n, min(id) AS first_id, max(id) AS last_id, count(DISTINCT substr(timestamp, 1, 10)) AS days
+FROM log_events GROUP BY session_id"""
+    s["stored_timeline"] = with_(STEPS) + """
+SELECT agent_id, count(*) AS steps, count(DISTINCT id) AS ids, CAST(sum(files) AS BIGINT) AS files
+FROM (SELECT *, CASE WHEN action_type = 'api_call' THEN 2 WHEN action_type = 'decision' THEN 1 ELSE 0 END AS files FROM steps)
+GROUP BY agent_id"""
     s["stream_summaries"] = with_(*EV_PIPE, ROLLUP) + SUMMARY_SELECT.replace(
         "SELECT session_id", "SELECT r.last_event_at AS timestamp, summ.session_id") + " JOIN rollup r USING (session_id)"
     parts, stretches = [], [None, *Q.STREAM_CUTS, None]

@@ -6,6 +6,7 @@ columns with the same names as its SQL twin in ``logsift.plans.oracle``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +19,8 @@ from logsift.operators import sessions as SE
 from logsift.operators import timeline as TL
 from logsift.operators.prefilter import collapse_runs, drop_noise, pre_filter
 from logsift.operators.summarize import (classified_lines, compress_sessions, compression_records, error_list, errors_json,
-                                         list_summaries, resolve_summary, token_cost)
+                                         list_summaries, resolve_summary, session_costs, token_cost)
+from logsift.session import shared_dir
 from logsift.sources import adapters as A
 from logsift.sources import logs as LG
 
@@ -31,6 +33,7 @@ HORIZON_MINUTES = 60
 DELIVERED_BEFORE_MINUTES = 30
 INPUT_RATE, OUTPUT_RATE = 3.0, 15.0  # USD per 1M tokens
 SUMMARY_LIST_LIMIT = 50
+AGENT, STEP, SANDBOX = "c3", 5005, "sb7"  # the keys of the registered point lookups
 STREAM_CUTS = ["2024-01-11", "2024-01-21"]  # the streamed events come in three stretches of time
 STREAM_HORIZON_MINUTES = 1440
 
@@ -204,7 +207,7 @@ def q_recent_summaries(spark, d):
 def q_resolve_summary(spark, d):
     docs = _t(spark, d, "documents")
     rule = compress_sessions(A.document_lines(docs))
-    return resolve_summary(rule, A.model_responses(docs))
+    return resolve_summary(rule, A.model_responses(docs)).select("session_id", "used_llm", "summary", "root_cause_hint")
 
 
 def q_token_cost(spark, d):
@@ -332,6 +335,69 @@ def q_result_report(spark, d):
                                      F.col("duration_ms"), F.col("stdout"), F.col("stderr")).alias("digest"))
 
 
+def q_read_events(spark, d):
+    """The events written as posted JSON records and read back."""
+    path = shared_dir(spark, "posted", uuid.uuid4().hex)
+    log_events(spark, d).write.json(path)
+    return SE.read_events(spark, path).drop("_corrupt_record")
+
+
+def q_steps_for_agent(spark, d):
+    return TL.steps_for_agent(steps(spark, d), AGENT).select("id", "step_number", "action_type", "result_summary", "timestamp")
+
+
+def q_snapshots_for_step(spark, d):
+    return TL.snapshots_for_step(snapshots(spark, d), STEP).select("id", "file_path", "git_hash", "diff_summary", "timestamp")
+
+
+def q_result_by_id(spark, d):
+    return AU.result_by_id(command_results(spark, d), SANDBOX).select("ingest_seq", "command", "exit_code", "status", "stderr")
+
+
+def q_validate_steps(spark, d):
+    """Steps with some constraint violations, by rule."""
+    i = F.col("id") % 10
+    s = steps(spark, d).withColumns({
+        "step_number": F.when(i != 0, F.col("step_number")), "timestamp": F.when(i != 1, F.col("timestamp")),
+        "action_type": F.when(F.col("action_type") == "bash", F.lit("shell")).otherwise(F.col("action_type"))})
+    valid, rejected = TL.validate_steps(s)
+    return valid.select("id", F.lit("valid").alias("status"), F.lit("").alias("reasons")).unionByName(
+        rejected.select("id", F.lit("rejected").alias("status"), F.array_join("reasons", "; ").alias("reasons")))
+
+
+def q_session_costs(spark, d):
+    """A8 by session: every document is a call of one of 500 sessions."""
+    u = A.usage_records(_t(spark, d, "documents"))
+    u = u.withColumn("session_id", F.concat(F.lit("d"), (F.substring("session_id", 2, 20).cast("long") % 500).cast("string")))
+    return session_costs(u, INPUT_RATE, OUTPUT_RATE).withColumn("cost_usd", F.round("cost_usd", 9))
+
+
+def q_stored_events(spark, d):
+    """Two appends with one compaction after them, as the stored table has them."""
+    path = shared_dir(spark, "stored", uuid.uuid4().hex)
+    ev = log_events(spark, d)
+    for half in (0, 1):
+        SE.append_events(ev.where(F.col("id") % 2 == half), path, buckets=4)
+    SE.compact_events(spark, path)
+    return spark.read.parquet(path).groupBy("session_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"),
+        F.count_distinct("event_date").alias("days"))
+
+
+def q_stored_timeline(spark, d):
+    """Steps with their files appended as two batches, and read back with their snapshots."""
+    base = shared_dir(spark, "timeline", uuid.uuid4().hex)
+    s = steps(spark, d)
+    kind = F.col("action_type")
+    files = F.when(kind == "api_call", F.array(F.lit("a.py"), F.lit("b.py"))).when(kind == "decision", F.array(F.lit("c.py")))
+    s = s.withColumns({"file_paths": files, "git_hashes": F.array(F.lit("h"))})
+    for half in (0, 1):
+        TL.append_steps(s.where(F.col("id") % 2 == half), f"{base}/steps", f"{base}/snapshots", f"{base}/rejected", half)
+    stored, snaps = spark.read.parquet(f"{base}/steps"), spark.read.parquet(f"{base}/snapshots")
+    return TL.timeline_rows(stored, snaps).groupBy("agent_id").agg(
+        F.count_distinct("step_id").alias("steps"), F.count_distinct("step_id").alias("ids"), F.count("snapshot_id").alias("files"))
+
+
 def q_stream_parity(spark, d):
     from logsift.streaming.streams import stream_rollup_parity
     return stream_rollup_parity(spark, d)

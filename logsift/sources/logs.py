@@ -3,17 +3,14 @@
 A session log is a UTF-8 text file ``session_<id>.log`` holding lines
 ``[ts] [stream] msg`` and ``[META:START|PID|END] {json}`` records.
 
-Line order at scale: a file is read as splits; every line gets
-``ord = 2 * split_start + (position within its split)``.  A split of
-``b`` bytes yields at most ``b + 1`` lines, so ords of one split stay
-below the next split's range and the order is total per file without
-numbering the whole file in one task.  The position within a split is a
-window over the split (bounded by ``maxPartitionBytes``).
+Line order at scale: a file is read as splits, a split by one task from its
+first line to its last.  So a line's place is (``at``, ``ord``): the offset where
+its split begins, and the line's number in the task.  Nothing is counted ahead and no row moves.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsift import schemas
@@ -24,17 +21,15 @@ LINE_RE = r"(?sd)^\[([^\]]*)\] \[(stdout|stderr)\] (.*)$"
 
 
 def read_session_logs(spark: SparkSession, path: str) -> DataFrame:
-    """(session_id, ord, line) for every line of every session log
-    under ``path`` (invalid UTF-8 bytes become U+FFFD, D22).  Only line
-    feeds end a line, as the writer has it; other files are left alone."""
+    """(session_id, at, ord, line) for every line of every session log
+    under ``path`` (invalid UTF-8 bytes become U+FFFD, D22), in (at, ord) order.
+    Only line feeds end a line, as the writer has it; other files are left alone."""
     raw = (spark.read.option("pathGlobFilter", "session_*.log").text(path, lineSep="\n")
-           .select(F.col("value"), F.col("_metadata.file_path").alias("file"),
-                   F.col("_metadata.file_block_start").alias("block"),
+           .select(F.col("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
                    F.monotonically_increasing_id().alias("_mid")))
-    w = Window.partitionBy("file", "block").orderBy("_mid")
     return raw.select(
         F.regexp_extract("file", SESSION_FILE_RE, 1).alias("session_id"),
-        (F.col("block") * 2 + F.row_number().over(w) - 1).alias("ord"),
+        "at", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)).alias("ord"),
         F.make_valid_utf8(F.col("value")).alias("line"))
 
 
@@ -43,7 +38,7 @@ def parse_log_lines(lines: DataFrame) -> DataFrame:
     their text as content with NULL timestamp and stream."""
     ok = F.col("line").rlike(LINE_RE)
     return lines.select(
-        "session_id", "ord",
+        "session_id", *(["at"] if "at" in lines.columns else []), "ord",
         F.when(ok, F.regexp_extract("line", LINE_RE, 1)).alias("timestamp"),
         F.when(ok, F.regexp_extract("line", LINE_RE, 2)).alias("stream"),
         F.when(ok, F.regexp_extract("line", LINE_RE, 3)).otherwise(F.col("line")).alias("content"),
@@ -57,8 +52,9 @@ def session_metadata(lines: DataFrame) -> DataFrame:
     st = T.ustrip(F.col("line"))
     kind = F.regexp_extract(st, r"^\[META:(START|PID|END)\]", 1)
     body = F.regexp_replace(st, r"^\[META:[A-Z]+\]\s*", "")
+    place = F.struct(*(c for c in ("at", "ord") if c in lines.columns))
     m = (lines.where(st.startswith("[META:"))
-         .select("session_id", "ord", kind.alias("kind"),
+         .select("session_id", place.alias("ord"), kind.alias("kind"),
                  F.from_json(body, schemas.META_START).alias("s"),
                  F.from_json(body, schemas.META_END).alias("e")))
     start_ord = F.when(F.col("kind").isin("START", "PID"), F.col("ord"))

@@ -25,7 +25,7 @@ from logsift.functions import text as T
 from logsift.operators import alerts as AL
 from logsift.operators.pieces import PIECE, piece_runs, session_pieces
 from logsift.operators.prefilter import cap_runs
-from logsift.operators.sessions import rejection_reasons, session_bucket, stored_buckets
+from logsift.operators.sessions import rejection_reasons, session_bucket, session_rollup, stored_buckets
 from logsift.operators.summarize import compress_sessions, summary_rows
 from logsift.session import shared_dir
 from logsift.sources import adapters as A
@@ -51,7 +51,7 @@ def json_records(lines: DataFrame, schema: StructType = schemas.LOG_EVENT) -> Da
     wide = StructType(schema.fields + [StructField("_corrupt_record", StringType())])
     value = F.col("value")
     parsed = F.from_json(value, wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    found = F.try_parse_json(value)
+    found = T.strict_json(value)
     texts = [f.name for f in schema.fields if isinstance(f.dataType, StringType)]
     odd = [~F.coalesce(F.schema_of_variant(F.try_variant_get(found, f"$.{c}", "variant")), F.lit("VOID")).isin("STRING", "VOID") for c in texts]
     bad = found.isNull()
@@ -107,11 +107,11 @@ def stream_ingest(events: DataFrame, valid_path: str, rejected_path: str, checkp
             write_batch(numbered_batch(valid, used + 1), valid_path, batch_id)
             write_batch(checked.where(F.size("reasons") > 0), rejected_path, batch_id)
         finally:
-            checked.unpersist()
+            checked.unpersist(blocking=True)
     return _started(events.writeStream.foreachBatch(batch), checkpoint, available_now, "1 minute")
 
 
-ROLLUP = "session_id string, _s timestamp, _e timestamp, event_count long"
+ROLLUP = "session_id string, started_at string, last_event_at string, event_count long"
 
 
 def stream_session_rollup(valid: DataFrame, out_path: str, checkpoint: str, available_now: bool = True, compact_every: int = 16):
@@ -119,18 +119,14 @@ def stream_session_rollup(valid: DataFrame, out_path: str, checkpoint: str, avai
     sessions it changed (under its batch id), so a trigger costs the changed
     sessions, not the whole table; snapshots keep the readers' cost constant
     (``KeyedLog``).  Read with ``read_session_rollup``."""
-    ts = T.parse_iso(F.col("timestamp"))
-    agg = valid.groupBy("session_id").agg(F.min(ts).alias("_s"), F.max(ts).alias("_e"),
-                                          F.count(F.lit(1)).alias("event_count"))
+    agg = session_rollup(valid)
     log = KeyedLog(valid.sparkSession, out_path, ROLLUP, "session_id", compact_every)
     return _started(agg.writeStream.outputMode("update").foreachBatch(log.append), checkpoint, available_now, "1 minute")
 
 
 def read_session_rollup(spark: SparkSession, out_path: str) -> DataFrame:
     """The current roll-up: the latest written row of every session."""
-    latest = KeyedLog(spark, out_path, ROLLUP, "session_id").read()
-    return latest.select("session_id", T.iso_ms(F.col("_s")).alias("started_at"),
-                         T.iso_ms(F.col("_e")).alias("last_event_at"), "event_count")
+    return KeyedLog(spark, out_path, ROLLUP, "session_id").read().drop("_batch")
 
 
 # --- T3 ----------------------------------------------------------------------
@@ -176,7 +172,7 @@ def deliver_alerts(summaries: DataFrame, out_path: str, checkpoint: str, horizon
             written = spark.read.schema("alert_key string, ts timestamp").parquet(f"{base}/batch_id={batch_id}")
             ledger.append(written, batch_id)
         finally:
-            feed.unpersist()
+            feed.unpersist(blocking=True)
     return _started(summaries.writeStream.foreachBatch(batch), checkpoint, available_now, "1 minute")
 
 
@@ -234,7 +230,7 @@ def stream_summaries(spark: SparkSession, pieces_path: str, out_path: str, check
                 whole = whole.unionByName(compress_sessions(A.event_lines(stored_sessions(spark, events_table, lost)), max_bytes))
             log.append(whole.join(times, "session_id").select(*StructType.fromDDL(SUMMARY).names), batch_id)
         finally:
-            state.unpersist()
+            state.unpersist(blocking=True)
     return _started(merged.writeStream.outputMode("update").foreachBatch(batch), checkpoint, available_now, "1 minute")
 
 

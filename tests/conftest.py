@@ -19,6 +19,15 @@ def spark():
     s.stop()
 
 
+@pytest.fixture
+def nothing_stays_cached(spark):
+    """What a test leaves persisted fails it."""
+    kept = lambda: {str(k) for k in spark.sparkContext._jsc.getPersistentRDDs().keySet()}
+    before = kept()
+    yield
+    assert kept() <= before
+
+
 def lines_df(spark, sessions: dict[str, list[str]], stride: int = 1, offset: int = 0):
     """(session_id, ord, line) with ords ``offset + i * stride`` (sparse when stride > 1)."""
     rows = [(sid, offset + i * stride, line) for sid, ls in sessions.items() for i, line in enumerate(ls)]

@@ -75,3 +75,43 @@ def test_alerts_overview(spark):
                                 "session_id string, line int, severity string, msg string")
     r = AL.alerts_overview(one, ["session_id", "line"]).collect()[0]
     assert (r.n_critical, r.n_other, r.top_critical) == (1, 1, " `abc...` : DB down")
+
+
+def test_shell_words_match_the_standard_library(spark, monkeypatch):
+    """Quotes, escapes, blanks and what stays open; by patterns and by characters."""
+    import random
+    import shlex
+    rnd = random.Random(4)
+    cases = ["", "  ", "a b", "''", "a''b", "'a b'\"c d\" e", "\\", "a\\", "'a\\'", '"a\\"', '"a\\\\" b', "a\\ b", '"\\x\\""', "a\tb\rc\nd",
+             "é ü\u3000x", "a#b #c", "'", '"', "\"a'b\" 'c\"d'", "x" * 20_000, "'y z' " * 3000, '"' + "\\\\" * 4000 + '"', "\\a" * 2000]
+    cases += ["".join(rnd.choices("ab '\"\\\t\n$é", k=rnd.randint(1, 14))) for _ in range(600)]
+    df = spark.createDataFrame([(n, c) for n, c in enumerate(cases)], "n int, command string")
+
+    def want(c):
+        try:
+            return shlex.split(c), None
+        except ValueError as e:
+            return None, f"Invalid command syntax: {e}"
+
+    for marks in (500, -1):
+        monkeypatch.setattr(AU, "_MAX_MARKS", marks)
+        long = F.length("command") < (10**9 if marks > 0 else 1000)  # by characters takes the square of the length
+        a = AU.audit_commands(df.where(long))
+        assert "EvalPython" not in a._jdf.queryExecution().executedPlan().toString()
+        for r in a.collect():
+            argv, reason = want(r.command)
+            assert r.argv == argv, (r.command[:50], r.argv, argv)
+            assert argv is not None or (r.verdict, r.reason) == ("syntax", reason), r.command[:50]
+
+
+def test_reasons_are_the_policy_s_own(spark):
+    texts = ["rm -rf x", '"a\'b" c', "'a\"b' c", "'it\\n' x", "git log 'rm -rf /'", "''"]
+    df = spark.createDataFrame([(t,) for t in texts], "command string")
+    allowed = "['cat', 'git', 'grep', 'ls', 'pip', 'pip3', 'pytest', 'python', 'python3']"
+    import shlex
+    for r in AU.audit_commands(df).collect():
+        argv = shlex.split(r.command)
+        if argv[0] == "git":
+            assert r.reason == f"Dangerous pattern detected in command: {' '.join(argv)[:200]!r}"
+        else:
+            assert r.reason == f"Command not allowed: {argv[0]!r}. Allowed: {allowed}"

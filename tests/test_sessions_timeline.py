@@ -130,3 +130,81 @@ def test_read_events_keeps_corrupt_records(spark):
     assert [r.id for r in valid.collect()] == [1]
     reasons = sorted(tuple(r.reasons) for r in rejected.collect())
     assert ("source missing",) in reasons and any("malformed record" in r for r in reasons)
+
+
+def test_rollup_keeps_the_stored_text_of_times(spark):
+    rows = [(1, "a", "2025-01-15T14:00:00.123456Z"), (2, "a", "2025-01-15T16:30:00+02:00"), (3, "a", "2025-01-15T14:45:00Z"), (4, "a", "not a time"),
+            (5, "b", "no time")]
+    ev = spark.createDataFrame([(i, s, t, None, "x", "agent") for i, s, t in rows], schemas.LOG_EVENT)
+    got = {r.session_id: (r.started_at, r.last_event_at, r.event_count) for r in SE.session_rollup(ev).collect()}
+    assert got == {"a": ("2025-01-15T14:00:00.123456Z", "2025-01-15T14:45:00Z", 4), "b": (None, None, 1)}
+
+
+def test_appends_write_few_files_and_compaction_leaves_fewer(spark, tmp_path):
+    path = str(tmp_path / "events")
+    rows = [(i, f"s{i % 40}", f"2025-01-1{i % 2}T14:00:00.000Z", None, "x", "agent") for i in range(400)]
+    ev = spark.createDataFrame(rows, schemas.LOG_EVENT).repartition(16)
+    files = lambda: {f: str(f.parent) for f in (tmp_path / "events").rglob("session_bucket=*/*/*.parquet")}
+    SE.append_events(ev, path, buckets=4)
+    assert len(files()) == 4 * 2
+    SE.append_events(ev, path, buckets=4, salt=3)
+    assert 4 * 2 < len(files()) <= 4 * 2 * (1 + 3)
+    assert SE.compact_events(spark, path) == 8 and len(files()) == 8
+    assert SE.compact_events(spark, path) == 0
+    got = sorted((r.id, r.session_id, r.timestamp) for r in spark.read.parquet(path).collect())
+    assert got == sorted((i, s, t) for i, s, t, *_ in rows * 2)
+    assert SE.stored_buckets(spark, path) == [4]
+
+
+def test_steps_and_their_files_are_appended_with_dense_ids(spark, tmp_path):
+    base = str(tmp_path)
+    schema = ("agent_id string, step_number int, action_type string, action_detail string, result_summary string, timestamp string, "
+              "file_paths array<string>, git_hashes array<string>")
+    t = "2025-01-15T14:00:00.000Z"
+    first = [("a", n, "bash", "d", "r", t, [f"f{n}", None, "g"] if n % 2 else None, ["h"]) for n in range(20)]
+    bad = [("a", None, "bash", "d", "r", t, ["x"], None), ("b", 1, "nap", "d", "r", t, None, None)]
+    args = (f"{base}/steps", f"{base}/snaps", f"{base}/rejected")
+    df = spark.createDataFrame(first + bad, schema).repartition(3)
+    TL.append_steps(df, *args, 0)
+    TL.append_steps(df, *args, 0)  # written again: the same batch
+    TL.append_steps(spark.createDataFrame([("b", 1, None, None, None, t, ["z"], [])], schema), *args, 1)
+    steps, snaps = spark.read.parquet(args[0]).collect(), spark.read.parquet(args[1]).collect()
+    assert sorted(r.id for r in steps) == list(range(1, 22)) and [r.agent_id for r in steps if r.id == 21] == ["b"]
+    assert sorted(r.id for r in snaps) == list(range(1, 22))
+    by = {r.id: r for r in steps}
+    files = sorted((by[r.step_id].step_number, r.file_path, r.git_hash) for r in snaps if by[r.step_id].agent_id == "a")
+    assert files == sorted(x for n in range(1, 20, 2) for x in ((n, f"f{n}", "h"), (n, "g", None)))
+    assert [(r.file_path, r.git_hash) for r in snaps if by[r.step_id].agent_id == "b"] == [("z", None)]
+    assert sorted(r.reasons[0] for r in spark.read.parquet(args[2]).collect()) == ["action_type not allowed", "step_number missing"]
+
+
+def test_steps_of_one_number_go_by_id(spark):
+    steps = spark.createDataFrame([(2, "a", 1, "bash", None, "ValueError: x", None), (1, "a", 1, "bash", None, "Traceback (most recent call last)", None),
+                                   (3, "a", 0, "bash", None, "start", None)], schemas.AGENT_STEP)
+    lines = {(r["at"], r["ord"]): r.line for r in TL.step_lines(steps).collect()}
+    assert [lines[k] for k in sorted(lines)][0] == "Step 0: bash - start" and len(lines) == 3
+    for n in (1, 3):
+        assert TL.summarise_timeline(steps.repartition(n)).first().summary.startswith("3 log")
+
+
+def test_a_hot_step_is_split(spark):
+    """Nine tenths of the snapshots are of one step; the join is an inner one that AQE splits."""
+    steps = spark.range(200).select(F.col("id"), F.lit("a").alias("agent_id"), F.col("id").cast("int").alias("step_number"), F.lit("bash").alias("action_type"),
+                                    F.lit("d").alias("action_detail"), F.lit("r").alias("result_summary"), F.lit("t").alias("timestamp"))
+    snaps = spark.range(60_000).select(F.col("id"), F.when(F.col("id") % 10 > 0, 7).otherwise(F.col("id") % 150).cast("long").alias("step_id"),
+                                       F.concat(F.lit("f"), F.sha2(F.col("id").cast("string"), 256)).alias("file_path"), F.lit("h").alias("git_hash"),
+                                       F.lit("d").alias("diff_summary"), F.lit("t").alias("timestamp"))
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "50k",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        rows = TL.timeline_rows(steps, snaps.repartition(8))
+        assert rows.count() == 60_000 + 200 - len({7} | set(range(0, 150, 10)))
+        full = rows.agg(F.count(F.lit(1)), F.count("snapshot_id"))
+        assert tuple(full.collect()[0]) == (60_000 + 200 - len({7} | set(range(0, 150, 10))), 60_000)
+        assert "skew=true" in full._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)

@@ -35,6 +35,29 @@ def test_read_session_logs_keeps_order_and_meta(spark):
     assert s.severity == "critical" and s.kept == 8
 
 
+def test_log_lines_of_many_splits_keep_their_order_without_a_shuffle(spark):
+    d = tempfile.mkdtemp(prefix="logsift-splits-")
+    texts = {f"s{n}": [f"line {i} of s{n} " + "x" * (i % 50) for i in range(3000 + 500 * n)] for n in range(3)}
+    for s, lines in texts.items():
+        with open(os.path.join(d, f"session_{s}.log"), "w") as f:
+            f.write("\n".join(lines) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        df = LG.read_session_logs(spark, d)
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+        rows = df.collect()
+        assert len({r["at"] for r in rows}) > 5
+        for s, lines in texts.items():
+            assert [r.line for r in sorted((r for r in rows if r.session_id == s), key=lambda r: (r["at"], r["ord"]))] == lines
+        total = {r.session_id: r.total for r in compress_sessions(df, max_bytes=None).collect()}
+        assert total == {s: len(lines) for s, lines in texts.items()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_stream_ingest_and_alert_dedup(spark):
     d = tempfile.mkdtemp(prefix="logsift-stream-")
     src, out = os.path.join(d, "in"), os.path.join(d, "out")

@@ -66,7 +66,7 @@ def test_pieces_merge_to_the_whole(spark):
             assert merge(merge(a, b, cap), c, cap) == merge(a, merge(b, c, cap), cap)
 
 
-def test_incremental_summaries_equal_the_batch_form(spark):
+def test_incremental_summaries_equal_the_batch_form(spark, nothing_stays_cached):
     """Sessions over several micro-batches, late batches, replays and one overlap; only that one reads stored events."""
     d = tempfile.mkdtemp(prefix="logsift-t4-")
     rnd = random.Random(3)
@@ -98,7 +98,6 @@ def test_incremental_summaries_equal_the_batch_form(spark):
                 want["summary"], want["severity"], want["root_cause_hint"], want["kept"], want["removed_debug"], want["removed_duplicate"]), s
             assert [(e.line, e.msg, e.severity) for e in g.errors] == want["errors"] and g.anomalies == want["anomalies"]
             assert g.timestamp == max(t for _, t, _ in seen[s])
-    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
     # a batch of pieces that is written again changes nothing
     again = spark.read.parquet(f"{d}/pieces/batch_id=1")
     again.write.mode("append").parquet(f"{d}/pieces/batch_id=1")
@@ -113,7 +112,7 @@ def _put(folder, name, records):
         f.write("\n".join(r if isinstance(r, str) else json.dumps(r) for r in records))
 
 
-def test_alerts_are_delivered_once_with_or_without_a_time(spark):
+def test_alerts_are_delivered_once_with_or_without_a_time(spark, nothing_stays_cached):
     d = tempfile.mkdtemp(prefix="logsift-t3-")
     schema = "session_id string, timestamp string, severity string, msg string"
     alert = lambda s, t, **k: {"session_id": s, "timestamp": t, "severity": "critical", "msg": f"{s} down", **k}
@@ -135,7 +134,6 @@ def test_alerts_are_delivered_once_with_or_without_a_time(spark):
     ledger = KeyedLog(spark, f"{d}/out/_delivered", ST.DELIVERED, "alert_key")
     keys = {r.alert_key for r in ledger.read().collect()}
     assert {"none", "odd|2025-99-01"} <= keys and f"b|{_stamp(1800)}" not in keys  # out of the horizon
-    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
 
 
 def test_alert_message(spark):
@@ -147,10 +145,10 @@ def test_alert_message(spark):
     assert alert_message(rows.limit(0)).first().message.startswith("✅")
 
 
-def test_intake_numbers_records_and_keeps_malformed_text(spark):
+def test_intake_numbers_records_and_keeps_malformed_text(spark, nothing_stays_cached):
     d = tempfile.mkdtemp(prefix="logsift-t1-")
     ok = lambda s, n: {"session_id": s, "timestamp": _stamp(n), "stream": "stdout", "content": f"line {n}", "source": "agent"}
-    _put(f"{d}/in", "0.json", [ok("a", n) for n in range(7)] + ["{not json", "", '{"session_id": "a"', "[1]", "7", "{}",
+    _put(f"{d}/in", "0.json", [ok("a", n) for n in range(7)] + ["{not json", "", '{"session_id": "a"', json.dumps(ok("a", 1)) + " behind", "[1]", "7", "{}",
                                                               json.dumps({**ok("a", 1), "content": 5}), json.dumps({**ok("a", 2), "content": None})])
     for name in ("1.json", "2.json"):
         _put(f"{d}/in", name, [ok("b", n) for n in range(20)])
@@ -161,7 +159,7 @@ def test_intake_numbers_records_and_keeps_malformed_text(spark):
     rank = sorted((r.id, r.session_id, r.content) for r in valid)
     assert [c for _, s, c in rank if s == "a"] == [f"line {n}" for n in range(7)]  # in order of arrival
     rejected = {r._corrupt_record: r.reasons for r in spark.read.parquet(f"{d}/rejected").collect()}
-    assert set(rejected) == {"{not json", '{"session_id": "a"', "[1]", "7", json.dumps({**ok("a", 1), "content": 5}), None}
+    assert set(rejected) == {"{not json", json.dumps(ok("a", 1)) + " behind", '{"session_id": "a"', "[1]", "7", json.dumps({**ok("a", 1), "content": 5}), None}
     assert all("malformed record" in v for k, v in rejected.items() if k)
     # a batch that is replayed gives the same numbers
     before = sorted((r.id, r.content) for r in spark.read.parquet(f"{d}/valid/batch_id=1").collect())
@@ -170,8 +168,7 @@ def test_intake_numbers_records_and_keeps_malformed_text(spark):
     assert sorted((r.id, r.content) for r in ST.numbered_batch(replay.persist(), used + 1).collect()) == [
         (i, c) for i, c in sorted((used + 1 + n, f"line {n}") for n in range(20))]
     assert [i for i, _ in before] == list(range(used + 1, used + 21))
-    replay.unpersist()
-    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
+    replay.unpersist(blocking=True)
 
 
 def test_given_ids_are_kept(spark):
