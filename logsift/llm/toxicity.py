@@ -32,6 +32,7 @@ result; other columns are never read, save that ``drop_toxic`` keeps them.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections import Counter
@@ -60,6 +61,11 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(lengths.sum()) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
 
 
+def vector_key(terms: np.ndarray, counts: np.ndarray) -> bytes:
+    """What tells a vector from others: a 128-bit digest, so that the vectors are not held twice."""
+    return hashlib.blake2b(np.concatenate([terms, counts]).astype("<i4", copy=False).tobytes(), digest_size=16).digest()
+
+
 class TermIndex:
     """Exact nearest examples by TF-IDF cosine, from block-max inverted lists."""
 
@@ -70,8 +76,7 @@ class TermIndex:
         self.parts = vectors, labels, ids
         groups: dict[bytes, list] = {}
         for (terms, counts), label, doc in zip(vectors, labels, ids):
-            key = np.concatenate([terms, counts]).astype("i4").tobytes()
-            g = groups.setdefault(key, [terms, counts, [0, 0], doc])
+            g = groups.setdefault(vector_key(terms, counts), [terms, counts, [0, 0], doc])
             g[2][label] += 1
         # examples that share their heaviest term lie together, so that the maxima of blocks are close
         groups = dict(sorted(groups.items(), key=lambda g: (self.heaviest(g[1][0], g[1][1]), g[1][3])))
@@ -83,13 +88,15 @@ class TermIndex:
         total = self.votes.sum()
         self.base = float(self.votes[:, 1].sum() / total) if total else 0.0
         rows = [self.unit(g[0], g[1]) for g in groups.values()]
-        at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        terms = np.concatenate([g[0] for g in groups.values()] or [np.zeros(0, "i8")]).astype("i8")
-        value = np.concatenate(rows or [np.zeros(0)])
-        order = np.lexsort((at, terms))
-        terms, block = terms[order], at[order] // BLOCK
-        self.at, self.value = at[order], value[order]
+        at = np.repeat(np.arange(len(rows), dtype="i4"), [len(r) for r in rows])
+        terms = np.concatenate([g[0] for g in groups.values()] or [np.zeros(0, "i4")]).astype("i4", copy=False)
         self.blocks = -(-len(rows) // BLOCK)
+        value = np.concatenate(rows or [np.zeros(0)])
+        del rows, groups
+        order = np.argsort(terms, kind="stable").astype("i4")  # rows are in order already
+        terms, self.at, self.value = terms[order], at[order], value[order]
+        del at, value, order
+        block = self.at // BLOCK
         # runs: the postings of one term in one block
         new = np.ones(len(terms), bool)
         new[1:] = (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])
@@ -103,8 +110,9 @@ class TermIndex:
     def __reduce__(self):
         """Tasks get the examples and build the lists anew: a tenth of the bytes in every executor."""
         vectors, labels, ids = self.parts
-        flat = [np.concatenate([v[i] for v in vectors] or [np.zeros(0)]).astype("<i4").tobytes() for i in (0, 1)]
-        return unpacked, (zlib.compress(b"".join(flat), 1), [len(v[0]) for v in vectors], labels, ids, self.weight, self.idf, self.k, self.curve)
+        packer = zlib.compressobj(1)
+        packed = [packer.compress(v[i].astype("<i4", copy=False).tobytes()) for i in (0, 1) for v in vectors]
+        return unpacked, (b"".join([*packed, packer.flush()]), [len(v[0]) for v in vectors], labels, ids, self.weight, self.idf, self.k, self.curve)
 
     def unit(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         w = (1 + np.log(counts)) * self.idf[terms]
@@ -163,7 +171,7 @@ class TermIndex:
 
     def vote(self, terms: np.ndarray, counts: np.ndarray, leave_out: int | None = None, idf: np.ndarray | None = None):
         """(share of toxic votes, neighbours as (id, similarity)); ``leave_out`` is the label of the query itself."""
-        key = np.concatenate([terms, counts]).astype("i4").tobytes()
+        key = vector_key(terms, counts)
         own = self.place.get(key) if leave_out is not None else None
         if not len(terms):
             hits, sims = np.array([self.place[key]] if key in self.place else [], "i8"), np.ones(1)
@@ -188,7 +196,7 @@ class TermIndex:
         known: dict[tuple, float] = {}
         x = np.zeros(len(labels))
         for i, ((t, c), label) in enumerate(zip(vectors, labels)):
-            key = t.tobytes(), c.tobytes(), label
+            key = vector_key(t, c), label
             if key not in known:
                 known[key] = self.vote(t, c, label, weigh(t, label) if weigh else None)[0]
             x[i] = known[key]
@@ -217,7 +225,7 @@ class TermIndex:
 
 def unpacked(packed: bytes, sizes: list[int], labels, ids, weight, idf, k, curve) -> TermIndex:
     """The index of ``TermIndex.__reduce__``."""
-    flat, ends = np.frombuffer(zlib.decompress(packed), "<i4").reshape(2, -1).astype("i8"), np.cumsum(sizes)
+    flat, ends = np.frombuffer(zlib.decompress(packed), "<i4").reshape(2, -1), np.cumsum(sizes)
     index = TermIndex([(flat[0, e - n:e], flat[1, e - n:e]) for n, e in zip(sizes, ends)], labels, ids, weight, idf, k)
     index.curve = curve
     return index
@@ -225,7 +233,7 @@ def unpacked(packed: bytes, sizes: list[int], labels, ids, weight, idf, k, curve
 
 def unpack(code: bytes) -> tuple[np.ndarray, np.ndarray]:
     pairs = np.frombuffer(code, "<i4").reshape(2, -1)
-    return pairs[0].astype("i8"), pairs[1].astype("i8")
+    return pairs[0], pairs[1]
 
 
 def vector_udf(terms: list[str]):
@@ -311,6 +319,7 @@ def fit_and_vectors(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
             F.sum("a").alias("a"), F.sum("c").alias("c")).toArrow().sort_by("term")
         terms = stats["term"].to_pylist()
         a, c = (stats[x].to_numpy().astype("f8") for x in "ac")
+        del stats
         chi2 = chi_square(a, c, n1, n0)
     coded = stage(docs.select(*keep, vector_udf(terms)(F.col(text_col)).alias(vector)), "vectors")
     counted = coded.select(vector).mapInArrow(term_df(len(terms)), "term long, df long").groupBy("term").agg(
