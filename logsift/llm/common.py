@@ -29,7 +29,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     path = shared_dir(df.sparkSession, "llm", f"{name}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def discard(*staged: DataFrame) -> None:
+    """Remove staged tables that nothing needs any more: all that was made of them is staged itself."""
+    for df in staged:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh(name: str, taken: list[str]) -> str:

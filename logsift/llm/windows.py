@@ -7,10 +7,14 @@ at the same place, so they meet in one shard.  Consecutive windows with one
 minimizer travel together as a segment.  A segment whose minimizer occurs
 nowhere else holds no repeated window and is dropped at once; that is lossless.
 
-The rest are cut out of the texts, equal segments are aggregated (map side
-first) to one with a number of copies, and each shard, a run of whole
+The rest are told apart by a 128-bit digest of their units, without moving
+these: digests are aggregated (map side first) to one with a number of copies.
+Where a minimizer has one digest only, all windows of a copied segment repeat
+and those of a single one do not, so nothing is searched.  Of the others, one
+segment a digest is cut out of its text, and each shard, a run of whole
 minimizer groups of about ``CHUNK`` bytes, is searched by the operator's own
-index.  What it reports is joined back to all places of a segment.
+index.  What it reports is joined back to all places of a segment.  Equal digests
+stand for equal segments, and rows are told apart by id and a 32-bit hash of the text.
 
 A minimizer with more than ``HOT`` different segments (a passage in very many
 contexts) is not one shard: its windows are numbered by a hash of the whole
@@ -28,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsift.llm.common import id_text, stage
+from logsift.llm.common import discard, id_text, stage
 
 CHUNK = 2 << 20
 HOT = 20_000
@@ -138,33 +142,47 @@ def scan(units, width: int):
     return run
 
 
-SEGMENTS = "mh long, sid binary, kd long, kt int, start long, piece binary"
+SEGMENTS = "mh long, sid binary, kd long, kt int, start long, n long"
+PIECES = "mh long, sid binary, piece binary, copies long"
 
 
-def cut_segments(units, width: int):
-    """Task function: (kd, kt, text, places) to the candidate segments."""
+def digest_segments(units, width: int):
+    """Task function: (kd, kt, text, places) to the candidate segments' digests."""
 
     def run(batches):
-        unit, sent = units(), set()
+        unit = units()
         for b in batches:
             rows = []
-            if len(sent) > 500_000:
-                sent.clear()
             for kd, kt, text, places in zip(*(c.to_pylist() for c in b.columns)):
                 parts = unit.split(text)
                 for p in places:
                     piece = unit.cut(parts, p["start"], p["start"] + p["n"] + width - 1)
-                    sid = hashlib.blake2b(piece, digest_size=16).digest()
-                    rows.append((p["mh"], sid, kd, kt, p["start"], None if sid in sent else piece))
-                    sent.add(sid)  # its bytes have gone out once
-            kinds = ["int64", "binary", "int64", "int32", "int64", "binary"]
+                    rows.append((p["mh"], hashlib.blake2b(piece, digest_size=16).digest(), kd, kt, p["start"], p["n"]))
+            kinds = ["int64", "binary", "int64", "int32", "int64", "int64"]
             yield batch([c.split()[0] for c in SEGMENTS.split(", ")], kinds, list(zip(*rows)) or [()] * 6)
 
     return run
 
 
+def cut_segments(units, width: int):
+    """Task function: (text, places) to the segments with their units."""
+
+    def run(batches):
+        unit = units()
+        for b in batches:
+            rows = []
+            for text, places in zip(*(c.to_pylist() for c in b.columns)):
+                parts = unit.split(text)
+                rows += [(p["mh"], p["sid"], unit.cut(parts, p["start"], p["start"] + p["n"] + width - 1), p["copies"]) for p in places]
+            yield batch([c.split()[0] for c in PIECES.split(", ")], ["int64", "binary", "binary", "int64"], list(zip(*rows)) or [()] * 4)
+
+    return run
+
+
 def whole_shards(find, width: int):
-    """Task function: (mh, sid, piece, copies) sorted by mh to (mh, sid, first, n) of repeated windows.
+    """Task function: (mh, sid, piece, copies) sorted by mh and sid to (mh, sid, first, n) of repeated windows.
+
+    A segment that comes twice (cut out of two equal rows) counts once.
 
     ``find(pieces, copies, width)`` returns (segment, first window, windows) arrays.
     """
@@ -179,6 +197,8 @@ def whole_shards(find, width: int):
         rows, size = [], 0
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns)):
+                if rows and row[:2] == rows[-1][:2]:
+                    continue
                 if size >= CHUNK and row[0] != rows[-1][0]:
                     yield search(rows)
                     rows, size = [], 0
@@ -229,13 +249,17 @@ def cut_windows(units, width: int):
 
 
 def _search(segments: DataFrame, find, width: int) -> DataFrame:
-    """(mh, sid, first, n) of repeated windows, from distinct (mh, sid, piece, copies)."""
-    return segments.select("mh", "sid", "piece", "copies").repartition("mh").sortWithinPartitions("mh").mapInArrow(
+    """(mh, sid, first, n) of repeated windows, from (mh, sid, piece, copies)."""
+    return segments.select("mh", "sid", "piece", "copies").repartition("mh").sortWithinPartitions("mh", "sid").mapInArrow(
         whole_shards(find, width), "mh long, sid binary, first long, n long")
 
 
-def _distinct(segments: DataFrame, copies) -> DataFrame:
-    return segments.groupBy("mh", "sid").agg(F.first("piece", ignorenulls=True).alias("piece"), copies.alias("copies"))
+def _pieces(keyed: DataFrame, digests: DataFrame, units, width: int) -> DataFrame:
+    """``PIECES`` of digests (mh, sid, copies, at), cut out of the text at ``at``."""
+    places = digests.groupBy(F.col("at.kd").alias("kd"), F.col("at.kt").alias("kt")).agg(
+        F.collect_list(F.struct("mh", "sid", "copies", "at.start", "at.n")).alias("places"))
+    return keyed.select("kd", "kt", "text").join(places, ["kd", "kt"]).select("text", "places").mapInArrow(
+        cut_segments(units, width), PIECES)
 
 
 def repeated_windows(docs: DataFrame, units, find, width: int, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
@@ -253,13 +277,19 @@ def repeated_windows(docs: DataFrame, units, find, width: int, hot: int = HOT) -
     candidates = places.join(often, "mh").groupBy("kd", "kt").agg(
         F.collect_set(F.struct("mh", "start", "n")).alias("places"))
     segments = stage(keyed.select("kd", "kt", "text").join(candidates, ["kd", "kt"]).select(
-        "kd", "kt", "text", "places").mapInArrow(cut_segments(units, width), SEGMENTS), "segments")
-    distinct = stage(_distinct(segments, F.count(F.lit(1))), "distinct-segments")
-    crowded = stage(distinct.groupBy("mh").count().where(F.col("count") > hot).select("mh"), "hot-minimizers")
-    if crowded.isEmpty():
-        found = _search(distinct, find, width)
-    else:
-        crowd = distinct.join(crowded, "mh", "left_semi")
+        "kd", "kt", "text", "places").mapInArrow(digest_segments(units, width), SEGMENTS), "segments")
+    discard(places, often)
+    distinct = stage(segments.groupBy("mh", "sid").agg(
+        F.count(F.lit(1)).alias("copies"), F.min(F.struct("kd", "kt", "start", "n")).alias("at")), "distinct-segments")
+    several = stage(distinct.groupBy("mh").count().where("count > 1"), "several-digests")
+    alone = distinct.where("copies > 1").join(several, "mh", "left_anti").select(
+        "mh", "sid", F.lit(0).cast("long").alias("first"), F.col("at.n").alias("n"))
+    crowded = several.where(F.col("count") > hot).select("mh")
+    few = distinct.join(several.where(F.col("count") <= hot).select("mh"), "mh", "left_semi")
+    found = alone.unionByName(_search(_pieces(keyed, few, units, width), find, width))
+    used = [distinct, several]
+    if not crowded.isEmpty():
+        crowd = stage(_pieces(keyed, distinct.join(crowded, "mh", "left_semi"), units, width).dropDuplicates(["mh", "sid"]), "hot-pieces")
         windows = stage(crowd.select("mh", "sid", "piece", "copies").mapInArrow(
             window_hashes(units, width), "mh long, sid binary, first long, wh long, copies long"), "hot-windows")
         twice = windows.groupBy("wh").agg(F.sum("copies").alias("times")).where("times > 1").select("wh")
@@ -267,12 +297,16 @@ def repeated_windows(docs: DataFrame, units, find, width: int, hot: int = HOT) -
         single = stage(crowd.join(keep, ["mh", "sid"]).select("mh", "sid", "piece", "copies", "keep").mapInArrow(
             cut_windows(units, width), "wh long, wsid binary, piece binary, copies long, mh long, sid binary, first long"),
             "hot-segments")
-        ones = _distinct(single.select(F.col("wh").alias("mh"), F.col("wsid").alias("sid"), "piece", "copies"), F.sum("copies"))
+        ones = single.groupBy(F.col("wh").alias("mh"), F.col("wsid").alias("sid")).agg(
+            F.first("piece", ignorenulls=True).alias("piece"), F.sum("copies").alias("copies"))
         hits = _search(ones, find, width).select(F.col("mh").alias("wh"), F.col("sid").alias("wsid"))
-        found = _search(distinct.join(crowded, "mh", "left_anti"), find, width).unionByName(
-            single.join(hits, ["wh", "wsid"]).select("mh", "sid", "first", F.lit(1).cast("long").alias("n")))
-    spans = segments.select("mh", "sid", "kd", "kt", "start").join(stage(found, "repeated"), ["mh", "sid"]).groupBy(
-        "kd", "kt").agg(F.collect_set(F.struct((F.col("start") + F.col("first")).alias("start"), "n")).alias("spans"))
+        found = found.unionByName(single.join(hits, ["wh", "wsid"]).select("mh", "sid", "first", F.lit(1).cast("long").alias("n")))
+        used += [crowd, windows, single]
+    found = stage(found, "repeated")
+    discard(*used)
+    spans = stage(segments.select("mh", "sid", "kd", "kt", "start").join(found, ["mh", "sid"]).groupBy(
+        "kd", "kt").agg(F.collect_set(F.struct((F.col("start") + F.col("first")).alias("start"), "n")).alias("spans")), "spans")
+    discard(segments, found)
     return keyed, spans
 
 
