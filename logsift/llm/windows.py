@@ -37,6 +37,8 @@ from logsift.llm.common import discard, id_text, stage
 CHUNK = 2 << 20
 HOT = 20_000
 BLOCK = 1 << 20
+#: Repeated hashes of windows sent to every task; more are joined by a shuffle.
+BROADCAST_HASHES = 1_000_000
 MIX = 0x9E3779B97F4A7C15
 
 
@@ -210,22 +212,38 @@ def whole_shards(find, width: int):
     return run
 
 
-def window_hashes(units, width: int):
-    """Task function: hot (mh, sid, piece, copies) to (mh, sid, first, wh, copies) of every window."""
+def window_sums(h: np.ndarray, width: int) -> np.ndarray:
+    """Polynomial hashes of ``width`` consecutive numbers, put together from stretches of powers of two."""
+    power = lambda n: np.uint64(pow(MIX | 1, n, 1 << 64))
+    some, have, stretch, size = None, 0, h, 1
+    while True:
+        if width & size:
+            n = len(h) - have - size + 1
+            some = stretch if some is None else some[:n] * power(size) + stretch[have:have + n]
+            have += size
+        if have == width:
+            return some
+        stretch = stretch[:-size] * power(size) + stretch[size:]
+        size *= 2
+
+
+def window_hashes(units, width: int, places: bool):
+    """Task function: hot (mh, sid, piece, copies) to every window's (wh, copies), or its (mh, sid, first, wh)."""
 
     def run(batches):
         unit = units()
         for b in batches:
-            rows = []
+            cols: list[list] = [[], [], [], []]
             for mh, sid, piece, copies in zip(*(c.to_pylist() for c in b.columns)):
-                h = unit.hashes(piece.split() if unit.joint else piece)
-                n = len(h) - width + 1
-                out = np.zeros(n, "u8")
-                for i in range(width):
-                    out = out * np.uint64(MIX | 1) + h[i:i + n]
-                rows += [(mh, sid, i, w, copies) for i, w in enumerate(mix(out).view("i8").tolist())]
-            yield batch(["mh", "sid", "first", "wh", "copies"], ["int64", "binary", "int64", "int64", "int64"],
-                        list(zip(*rows)) or [()] * 5)
+                out = window_sums(unit.hashes(piece.split() if unit.joint else piece), width)
+                n = len(out)
+                for col, x in zip(cols, ([mh] * n, [sid] * n, range(n), mix(out).view("i8").tolist()) if places else
+                                  (mix(out).view("i8").tolist(), [copies] * n)):
+                    col += x
+            if places:
+                yield batch(["mh", "sid", "first", "wh"], ["int64", "binary", "int64", "int64"], cols)
+            else:
+                yield batch(["wh", "copies"], ["int64", "int64"], cols[:2])
 
     return run
 
@@ -290,10 +308,12 @@ def repeated_windows(docs: DataFrame, units, find, width: int, hot: int = HOT) -
     used = [distinct, several]
     if not crowded.isEmpty():
         crowd = stage(_pieces(keyed, distinct.join(crowded, "mh", "left_semi"), units, width).dropDuplicates(["mh", "sid"]), "hot-pieces")
-        windows = stage(crowd.select("mh", "sid", "piece", "copies").mapInArrow(
-            window_hashes(units, width), "mh long, sid binary, first long, wh long, copies long"), "hot-windows")
-        twice = windows.groupBy("wh").agg(F.sum("copies").alias("times")).where("times > 1").select("wh")
-        keep = windows.join(twice, "wh").groupBy("mh", "sid").agg(F.collect_list(F.struct("first", "wh")).alias("keep"))
+        crowd_rows = crowd.select("mh", "sid", "piece", "copies")
+        twice = stage(crowd_rows.mapInArrow(window_hashes(units, width, False), "wh long, copies long").groupBy("wh").agg(
+            F.sum("copies").alias("times")).where("times > 1").select("wh"), "repeated-hashes")
+        windows = crowd_rows.mapInArrow(window_hashes(units, width, True), "mh long, sid binary, first long, wh long")
+        few_hashes = twice.count() <= BROADCAST_HASHES
+        keep = windows.join(F.broadcast(twice) if few_hashes else twice, "wh").groupBy("mh", "sid").agg(F.collect_list(F.struct("first", "wh")).alias("keep"))
         single = stage(crowd.join(keep, ["mh", "sid"]).select("mh", "sid", "piece", "copies", "keep").mapInArrow(
             cut_windows(units, width), "wh long, wsid binary, piece binary, copies long, mh long, sid binary, first long"),
             "hot-segments")
@@ -301,7 +321,7 @@ def repeated_windows(docs: DataFrame, units, find, width: int, hot: int = HOT) -
             F.first("piece", ignorenulls=True).alias("piece"), F.sum("copies").alias("copies"))
         hits = _search(ones, find, width).select(F.col("mh").alias("wh"), F.col("sid").alias("wsid"))
         found = found.unionByName(single.join(hits, ["wh", "wsid"]).select("mh", "sid", "first", F.lit(1).cast("long").alias("n")))
-        used += [crowd, windows, single]
+        used += [crowd, twice, single]
     found = stage(found, "repeated")
     discard(*used)
     spans = stage(segments.select("mh", "sid", "kd", "kt", "start").join(found, ["mh", "sid"]).groupBy(
