@@ -388,6 +388,8 @@ FROM (SELECT *, row_number() OVER (ORDER BY alert_key, text) AS place FROM ("""
     s["snapshots_for_step"] = with_(SNAPS) + f"SELECT id, file_path, git_hash, diff_summary, timestamp FROM snaps WHERE step_id = {Q.STEP}"
     s["result_by_id"] = with_(COMMANDS, RESULTS) + f"""
 SELECT ingest_seq, command, exit_code, status, stderr FROM results WHERE sandbox_id = '{Q.SANDBOX}'"""
+    s["failed_results"] = with_(COMMANDS, RESULTS) + """
+SELECT sandbox_id, ingest_seq, command, status, exit_code FROM results WHERE status IN ('rejected', 'timeout')"""
     s["validate_steps"] = with_(STEPS) + """
 SELECT id, CASE WHEN id % 10 IN (0, 1) OR action_type = 'bash' THEN 'rejected' ELSE 'valid' END AS status,
        concat_ws('; ', CASE WHEN id % 10 = 0 THEN 'step_number missing' END, CASE WHEN id % 10 = 1 THEN 'timestamp missing' END,

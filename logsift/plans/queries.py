@@ -398,6 +398,12 @@ def q_stored_timeline(spark, d):
         F.count_distinct("step_id").alias("steps"), F.count_distinct("step_id").alias("ids"), F.count("snapshot_id").alias("files"))
 
 
+def q_failed_results(spark, d):
+    """P11 with two of the four statuses."""
+    r = AU.with_status(command_results(spark, d), "rejected", "timeout")
+    return r.select("sandbox_id", "ingest_seq", "command", "status", "exit_code")
+
+
 def q_stream_parity(spark, d):
     from logsift.streaming.streams import stream_rollup_parity
     return stream_rollup_parity(spark, d)
