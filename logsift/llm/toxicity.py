@@ -9,10 +9,14 @@ TF-IDF vector of unit length, in which a term weighs one more than its chi-squar
 (how far its presence tells the classes of the examples apart); no term is cut off.
 
 The index over the examples is an inverted list for each term, cut into blocks
-of ``BLOCK`` examples with the largest weight of each block.  A query sums
-those maxima to an upper bound for every block, gathers the postings of the most
-promising blocks, and then only of those whose bound reaches the k-th best
-similarity, so the nearest neighbours are exact.  All neighbours as near as the k-th count
+of ``BLOCK`` examples with the largest weight of each block.  The ``COMMON`` longest
+lists are also held as rows over all examples, so that one product of 32-bit
+matrices gives their part of the similarities for many queries at once.  To that
+part a query adds the maxima of its other terms, an upper bound for every block,
+gathers the postings of the most promising blocks, and then only of those whose
+bound reaches the k-th best similarity.  Examples within the rounding error of
+the k-th are compared anew in 64 bits over all their terms, so the nearest
+neighbours are exact and do not depend on what else is scored.  All neighbours as near as the k-th count
 (equal vectors are indexed once, with their numbers of examples), so ties have
 no order.  Votes are weighted by squared similarity and by how many labelled
 rows an example stands for, and shrunk to the share of toxic rows; a monotone
@@ -37,6 +41,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -47,6 +52,9 @@ from pyspark.sql import functions as F
 from logsift.llm.common import fresh, stage
 
 BLOCK = 64
+FIRST = 8       # blocks gathered before any can be left out
+COMMON = 1024   # longest lists held as rows
+QUERIES = 64    # vectors multiplied at once
 NEIGHBOURS = 25
 MAX_EXAMPLES = 2000
 PRIOR_WEIGHT = 0.5
@@ -54,6 +62,7 @@ THRESHOLD = 0.3
 STEM_LENGTHS = (4, 5, 6, 7)
 STEM = "^"
 WORD = re.compile(r"[^\W\d_]+")
+MEMO, MEMO_CHARS = 200_000, 40  # tokens whose terms a task remembers, and their greatest length
 
 
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -70,9 +79,9 @@ class TermIndex:
     """Exact nearest examples by TF-IDF cosine, from block-max inverted lists."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: list[int], ids: list[int],
-                 weight: tuple[float, float], idf: np.ndarray, k: int = NEIGHBOURS):
+                 weight: tuple[float, float], idf: np.ndarray, k: int = NEIGHBOURS, common: int = COMMON):
         """``vectors``: (terms, counts) of each example; ``weight``: labelled rows an example of class 0 or 1 stands for."""
-        self.idf, self.k = idf, k
+        self.idf, self.k, self.common = idf, k, common
         self.parts = vectors, labels, ids
         groups: dict[bytes, list] = {}
         for (terms, counts), label, doc in zip(vectors, labels, ids):
@@ -92,10 +101,25 @@ class TermIndex:
         terms = np.concatenate([g[0] for g in groups.values()] or [np.zeros(0, "i4")]).astype("i4", copy=False)
         self.blocks = -(-len(rows) // BLOCK)
         value = np.concatenate(rows or [np.zeros(0)])
+        self.row_start = np.cumsum([0, *map(len, rows)])
+        self.row_term, self.row_value = terms, value
+        self.weight_of = np.zeros(len(idf))  # of the query at hand; zero between queries
         del rows, groups
-        order = np.argsort(terms, kind="stable").astype("i4")  # rows are in order already
-        terms, self.at, self.value = terms[order], at[order], value[order]
-        del at, value, order
+        # the longest lists: one row of all examples each
+        size = np.bincount(terms, minlength=len(idf))
+        longest = np.argsort(-size, kind="stable")[:common]
+        longest = longest[size[longest] > 0]
+        self.line = np.full(len(idf), -1, "i4")
+        self.line[longest] = np.arange(len(longest), dtype="i4")
+        self.lines = np.zeros((len(longest), len(self.number)), "f4")
+        is_long = self.line[terms] >= 0
+        self.lines[self.line[terms[is_long]], at[is_long]] = value[is_long]
+        # 32-bit products and sums of non-negative numbers differ from the true ones by this share at most
+        self.error = (len(longest) + 8) * 2.0 ** -23
+        rest = np.flatnonzero(~is_long)
+        rest = rest[np.argsort(terms[rest], kind="stable")].astype("i4")  # rows are in order already
+        terms, self.at, self.value = terms[rest], at[rest], value[rest].astype("f4")
+        del at, value, rest, is_long
         block = self.at // BLOCK
         # runs: the postings of one term in one block
         new = np.ones(len(terms), bool)
@@ -112,7 +136,7 @@ class TermIndex:
         vectors, labels, ids = self.parts
         packer = zlib.compressobj(1)
         packed = [packer.compress(v[i].astype("<i4", copy=False).tobytes()) for i in (0, 1) for v in vectors]
-        return unpacked, (b"".join([*packed, packer.flush()]), [len(v[0]) for v in vectors], labels, ids, self.weight, self.idf, self.k, self.curve)
+        return unpacked, (b"".join([*packed, packer.flush()]), [len(v[0]) for v in vectors], labels, ids, self.weight, self.idf, self.k, self.common, self.curve)
 
     def unit(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         w = (1 + np.log(counts)) * self.idf[terms]
@@ -121,42 +145,70 @@ class TermIndex:
     def heaviest(self, terms: np.ndarray, counts: np.ndarray) -> int:
         return int(terms[np.argmax(self.unit(terms, counts))]) if len(terms) else -1
 
-    def nearest(self, terms: np.ndarray, counts: np.ndarray, without: int | None = None, idf: np.ndarray | None = None):
+    def query_weights(self, terms: np.ndarray, counts: np.ndarray, idf: np.ndarray | None = None) -> np.ndarray:
+        """The vector to multiply the examples with; ``idf``: other weights of these terms, for the query and its
+        neighbours (whose lengths stay as they are)."""
+        if idf is None:
+            return self.unit(terms, counts)
+        w = (1 + np.log(counts)) * idf
+        return w / np.sqrt((w * w).sum()) * idf / self.idf[terms]
+
+    def line_sums(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the longest lists add to the similarities: a row for each query, given as (terms, weights)."""
+        left = np.zeros((len(queries), len(self.lines)), "f4")
+        for i, (terms, w) in enumerate(queries):
+            line = self.line[terms]
+            left[i, line[line >= 0]] = w[line >= 0]
+        return left @ self.lines
+
+    def nearest(self, terms: np.ndarray, counts: np.ndarray, without: int | None = None, idf: np.ndarray | None = None,
+                sums: np.ndarray | None = None):
         """(places, similarities) of the neighbours, nearest first; ``without`` leaves one example of a place out.
 
-        ``idf``: other weights of these terms, for the query and its neighbours (whose lengths stay as they are).
+        ``sums``: this query's row of ``line_sums``, if it is known already.
         """
         number = self.number
         if without is not None:
             number = number.copy()
             number[without] -= 1
-        w = self.unit(terms, counts)
-        if idf is not None:
-            w = (1 + np.log(counts)) * idf
-            w = w / np.sqrt((w * w).sum()) * idf / self.idf[terms]
-        many = self.runs[terms + 1] - self.runs[terms]
-        run, weight = spread(self.runs[terms], many), np.repeat(w, many)
-        block = self.run_block[run]
-        bound = np.bincount(block, self.run_max[run] * weight, self.blocks) + 1e-9
+        w = self.query_weights(terms, counts, idf)
+        sims = (self.line_sums([(terms, w)])[0] if sums is None else sums).astype("f8")
+        short = self.line[terms] < 0
+        first, many = self.runs[terms[short]], self.runs[terms[short] + 1] - self.runs[terms[short]]
+        run, weight = spread(first, many), np.repeat(w[short].astype("f4"), many)
+        block = self.run_block.take(run)
+        bound = np.bincount(block, self.run_max.take(run) * weight, self.blocks)
+        if len(sims):
+            bound = bound + np.maximum.reduceat(sims, np.arange(0, len(sims), BLOCK))
+        bound = bound * (1 + 2 * self.error) + 1e-9
         floor, todo = 1e-9, np.argsort(-bound, kind="stable")
-        sims = np.zeros(len(number))
-        size = 4
+        size = FIRST
         while len(todo):
             now = todo[:size][bound[todo[:size]] >= floor]
             if not len(now):
                 break
             chosen = np.zeros(len(bound), bool)
             chosen[now] = True
-            use = chosen[block]
-            some, length = run[use], self.run_size[run[use]]
-            at = spread(self.run_at[some], length)
-            sims += np.bincount(self.at[at], self.value[at] * np.repeat(weight[use], length), len(sims))
+            use = np.flatnonzero(chosen.take(block))
+            some = run.take(use)
+            length = self.run_size.take(some)
+            at = spread(self.run_at.take(some), length)
+            sims = sims + np.bincount(self.at.take(at), self.value.take(at) * np.repeat(weight.take(use), length), len(sims))
             todo, size = todo[size:], len(todo)
             floor = max(floor, self._kth(sims, number))
-        sims = np.round(sims, 9)
-        hits = np.flatnonzero((sims >= max(1e-9, round(self._kth(sims, number), 9))) & (number > 0))
-        hits = hits[np.lexsort((hits, -sims[hits]))]
-        return hits, sims[hits], number
+        near = np.flatnonzero((sims >= floor * (1 - 2 * self.error) - 2e-9) & (sims >= 5e-10) & (number > 0))
+        exact = np.round(self.exact(terms, w, near), 9)
+        hit = np.flatnonzero(exact >= max(1e-9, round(self._kth(exact, number[near]), 9)))
+        hit = hit[np.lexsort((hit, -exact[hit]))]
+        return near[hit], exact[hit], number
+
+    def exact(self, terms: np.ndarray, w: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Similarities of these examples, over all their terms."""
+        self.weight_of[terms] = w
+        sims = np.array([self.weight_of.take(self.row_term[a:b], mode="clip") @ self.row_value[a:b]
+                         for a, b in zip(self.row_start[places].tolist(), self.row_start[places + 1].tolist())])
+        self.weight_of[terms] = 0
+        return sims
 
     def _kth(self, sims: np.ndarray, number: np.ndarray) -> float:
         """Similarity of the k-th nearest example scored so far."""
@@ -169,7 +221,8 @@ class TermIndex:
         i = int(np.searchsorted(have, self.k))
         return float(sims[order[i]]) if i < len(order) else 0.0
 
-    def vote(self, terms: np.ndarray, counts: np.ndarray, leave_out: int | None = None, idf: np.ndarray | None = None):
+    def vote(self, terms: np.ndarray, counts: np.ndarray, leave_out: int | None = None, idf: np.ndarray | None = None,
+             sums: np.ndarray | None = None):
         """(share of toxic votes, neighbours as (id, similarity)); ``leave_out`` is the label of the query itself."""
         key = vector_key(terms, counts)
         own = self.place.get(key) if leave_out is not None else None
@@ -177,7 +230,7 @@ class TermIndex:
             hits, sims = np.array([self.place[key]] if key in self.place else [], "i8"), np.ones(1)
             sims = sims[:len(hits)]
         else:
-            hits, sims, _ = self.nearest(terms, counts, own, idf)
+            hits, sims, _ = self.nearest(terms, counts, own, idf, sums)
         votes = self.votes[hits].copy()
         if own is not None:
             votes[hits == own, leave_out] -= self.weight[leave_out]
@@ -214,20 +267,27 @@ class TermIndex:
                 pools[-1] = [last[0], pools[-1][1] + last[1], pools[-1][2] + last[2], pools[-1][3]]
         self.curve = (np.array([x for p in pools for x in (p[3], p[0])]), np.repeat([p[2] / p[1] for p in pools], 2))
 
-    def score(self, terms: np.ndarray, counts: np.ndarray):
+    def scores(self, vectors: list[tuple[np.ndarray, np.ndarray]]):
+        """``score`` of every vector, in order."""
+        for i in range(0, len(vectors), QUERIES):
+            some = vectors[i:i + QUERIES]
+            for (t, c), sums in zip(some, self.line_sums([(t, self.unit(t, c)) for t, c in some])):
+                yield self.score(t, c, sums)
+
+    def score(self, terms: np.ndarray, counts: np.ndarray, sums: np.ndarray | None = None):
         """(probability, neighbours)."""
-        share, near = self.vote(terms, counts)
+        share, near = self.vote(terms, counts, sums=sums)
         if not near:
             return self.base, near
         # a small slope keeps the order of shares inside a level part of the curve
         return float(min(1.0, max(0.0, 0.98 * np.interp(share, *self.curve) + 0.02 * share))), near
 
 
-def unpacked(packed: bytes, sizes: list[int], labels, ids, weight, idf, k, curve) -> TermIndex:
+def unpacked(packed: bytes, sizes: list[int], labels, ids, weight, idf, k, common, curve) -> TermIndex:
     """The index of ``TermIndex.__reduce__``."""
     flat, ends = np.frombuffer(zlib.decompress(packed), "<i4").reshape(2, -1), np.cumsum(sizes)
-    index = TermIndex([(flat[0, e - n:e], flat[1, e - n:e]) for n, e in zip(sizes, ends)], labels, ids, weight, idf, k)
-    index.curve = curve
+    index = TermIndex([(flat[0, e - n:e], flat[1, e - n:e]) for n, e in zip(sizes, ends)], labels, ids, weight, idf, k, common)
+    index.curve, index.parts = curve, None  # a task sends it no further
     return index
 
 
@@ -237,24 +297,38 @@ def unpack(code: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def vector_udf(terms: list[str]):
-    """Text to the counts of the vocabulary's terms: two rows of 32-bit numbers, terms ascending."""
+    """Text to the counts of the vocabulary's terms: two rows of 32-bit numbers, terms ascending.
+
+    The vocabulary is that of examples: with a stem it has that stem's shorter ones.
+    """
     @F.pandas_udf("binary")
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         place = {t: i for i, t in enumerate(terms)}
         stems = sorted({len(t) - 1 for t in terms if t[0] == STEM})
+        number, memo = place.get, {}
+
+        def terms_of(token: str) -> list[int]:
+            """Numbers of the terms in what stands between white space, repeats included."""
+            found = []
+            for word in (token,) if token.isalpha() else WORD.findall(token):
+                if (i := number(word)) is not None:
+                    found.append(i)
+                length = len(word)
+                for size in stems:
+                    if size >= length or (i := number(STEM + word[:size])) is None:
+                        break  # an example's word with a longer stem has this one as well
+                    found.append(i)
+            if len(token) <= MEMO_CHARS and len(memo) < MEMO:
+                memo[token] = found
+            return found
 
         def one(text):
-            found: Counter = Counter()
-            for word, n in Counter(WORD.findall((text or "").lower())).items():
-                if word in place:
-                    found[place[word]] += n
-                for size in stems:
-                    if size >= len(word):
-                        break
-                    if (stem := STEM + word[:size]) in place:
-                        found[place[stem]] += n
-            keys = sorted(found)
-            return np.array([keys, [found[i] for i in keys]], "<i4").tobytes()
+            tokens = Counter((text or "").lower().split())
+            found = [terms_of(t) if (known := memo.get(t)) is None else known for t in tokens]
+            flat = np.fromiter(chain.from_iterable(found), "i4")
+            keys, at = np.unique(flat, return_inverse=True)
+            times = np.repeat(np.fromiter(tokens.values(), "i8", len(tokens)), list(map(len, found)))
+            return np.array([keys, np.bincount(at, times, len(keys))], "<i4").tobytes()
 
         for texts in batches:
             yield texts.map(one)
@@ -343,8 +417,8 @@ def score_udf(index: TermIndex):
     @F.pandas_udf("score double, evidence string")
     def scored(codes: pd.Series) -> pd.DataFrame:
         known: dict[bytes, tuple[float, str]] = {}
-        for code in codes.unique():
-            score, near = index.score(*unpack(code))
+        every = codes.unique()
+        for code, (score, near) in zip(every, index.scores([unpack(code) for code in every])):
             known[code] = score, ",".join(f"{i}:{s:.4f}" for i, s in near)
         return pd.DataFrame([known[code] for code in codes], columns=["score", "evidence"])
 

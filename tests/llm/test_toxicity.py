@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 
-from logsift.llm.toxicity import TermIndex, drop_toxic, may_learn, query, toxicity_scores
+from logsift.llm.toxicity import STEM, WORD, TermIndex, drop_toxic, may_learn, query, toxicity_scores, unpack, vector_udf
 
 SF = "/root/testdata/sf0.1"
 
@@ -128,3 +128,32 @@ def test_an_index_sent_to_tasks_is_the_same():
     code = pickle.dumps(index)
     sent = pickle.loads(code)
     assert all(sent.score(*r) == index.score(*r) for r in rows[:50])
+
+
+@pytest.mark.parametrize("common", [0, 7, 40])
+def test_rows_and_lists_give_the_same_neighbours(common):
+    """Whatever part of the lists is held as rows, and whatever is scored beside, the result is that of plain sums."""
+    rnd = random.Random(6)
+    rows = vectors(rnd, 500)
+    idf = np.array([rnd.uniform(1, 50) for _ in range(40)])
+    labels = [rnd.randint(0, 1) for _ in rows]
+    index = TermIndex(rows, labels, list(range(500)), (1.0, 1.0), idf, k=6, common=common)
+    full = TermIndex(rows, labels, list(range(500)), (1.0, 1.0), idf, k=6)
+    queries = vectors(rnd, 150) + rows[:10]
+    assert list(index.scores(queries)) == [full.score(*q) for q in queries]
+    assert list(index.scores([])) == []
+
+
+def test_terms_are_counted_as_by_a_plain_loop(spark):
+    terms = sorted(["sun", "sunny", "^sunn", "^sunni", "élan", "ab", "^stra", "^straß", "straße"])
+    texts = ["Sun, sunny SUNNIER! sun-sun_ab9ab", "", None, "ÉLAN élans straßen Straße", "x" * 100 + " sun", "sunnily " * 50]
+    stems = {len(t) - 1 for t in terms if t[0] == STEM}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", vector_udf(terms)("t").alias("v")).collect()
+    for r in rows:
+        want = {}
+        for w in WORD.findall((r.t or "").lower()):
+            for term in [w] + [STEM + w[:n] for n in stems if n < len(w)]:
+                if term in terms:
+                    want[terms.index(term)] = want.get(terms.index(term), 0) + 1
+        at, counts = unpack(r.v)
+        assert list(at) == sorted(want) and dict(zip(at.tolist(), counts.tolist())) == want, r.t
