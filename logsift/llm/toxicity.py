@@ -148,7 +148,7 @@ class TermIndex:
     def query_weights(self, terms: np.ndarray, counts: np.ndarray, idf: np.ndarray | None = None) -> np.ndarray:
         """The vector to multiply the examples with; ``idf``: other weights of these terms, for the query and its
         neighbours (whose lengths stay as they are)."""
-        if idf is None:
+        if idf is None or not len(terms):
             return self.unit(terms, counts)
         w = (1 + np.log(counts)) * idf
         return w / np.sqrt((w * w).sum()) * idf / self.idf[terms]
@@ -212,7 +212,7 @@ class TermIndex:
 
     def _kth(self, sims: np.ndarray, number: np.ndarray) -> float:
         """Similarity of the k-th nearest example scored so far."""
-        some = np.flatnonzero(sims > 1e-9)
+        some = np.flatnonzero((sims > 1e-9) & (number > 0))  # one left out is no neighbour
         if len(some) > self.k:
             least = np.partition(sims[some], len(some) - self.k)[len(some) - self.k]
             some = some[sims[some] >= least]
@@ -246,13 +246,16 @@ class TermIndex:
         """
         if not len(labels):
             return
-        known: dict[tuple, float] = {}
-        x = np.zeros(len(labels))
+        places: dict[tuple, list[int]] = {}
         for i, ((t, c), label) in enumerate(zip(vectors, labels)):
-            key = vector_key(t, c), label
-            if key not in known:
-                known[key] = self.vote(t, c, label, weigh(t, label) if weigh else None)[0]
-            x[i] = known[key]
+            places.setdefault((vector_key(t, c), label), []).append(i)
+        x, todo = np.zeros(len(labels)), list(places.values())
+        for start in range(0, len(todo), QUERIES):
+            some = [(same, *vectors[same[0]], labels[same[0]]) for same in todo[start:start + QUERIES]]
+            idfs = [weigh(t, label) if weigh else None for _, t, _, label in some]
+            sums = self.line_sums([(t, self.query_weights(t, c, idf)) for (_, t, c, _), idf in zip(some, idfs)])
+            for (same, t, c, label), idf, row in zip(some, idfs, sums):
+                x[same] = self.vote(t, c, label, idf, row)[0]
         y, w = np.array(labels, "f8"), np.array(self.weight)[np.array(labels)]
         order = np.argsort(x, kind="stable")
         pools: list[list[float]] = []  # (largest share, weight, toxic weight, smallest share)
