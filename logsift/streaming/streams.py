@@ -214,7 +214,7 @@ def stream_summaries(spark: SparkSession, pieces_path: str, out_path: str, check
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     pieces = r.parquet(pieces_path).select(*StructType.fromDDL(PIECE).names, "seq")
-    merged = pieces.groupBy("session_id").transformWithStateInPandas(
+    merged = pieces.groupBy("session_id").transformWithState(
         statefulProcessor=merge_processor(max_bytes, segments), outputStructType=OUT, outputMode="Update", timeMode="None")
     log = KeyedLog(spark, out_path, SUMMARY, "session_id", compact_every)
 
