@@ -13,12 +13,12 @@ runs alone.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logsift.functions import text as T
-from logsift.operators.ordered import DEFAULT_CHUNK_BITS
-from logsift.operators.prefilter import CONTENT, DEBUG, FIRST_KEY, counted_runs, line_kinds, ordered_lines
+from logsift.operators.ordered import DEFAULT_CHUNK_BITS, long_sessions
+from logsift.operators.prefilter import CONTENT, FIRST_KEY, line_kinds, long_runs, ordered_lines, short_runs
 
 PIECE = ("session_id string, lo1 long, lo2 long, hi1 long, hi2 long, last_at long, n_debug long, n_content long, "
          "n_runs long, first_key string, last_key string, texts array<string>, counts array<long>, sizes array<long>")
@@ -26,25 +26,43 @@ PIECE = ("session_id string, lo1 long, lo2 long, hi1 long, hi2 long, last_at lon
 
 def session_pieces(lines: DataFrame, max_bytes: int = T.DEFAULT_MAX_BYTES, chunk_bits: int = DEFAULT_CHUNK_BITS) -> DataFrame:
     """One piece (``PIECE``) for every session of ``lines``.  The text of a run
-    longer than the cap is left out (NULL): it can never be kept."""
+    longer than the cap is left out (NULL): it can never be kept.
+
+    Where no session is long, the ends come from the windows that give the runs:
+    one shuffle, and the text rules once a line."""
     base = ordered_lines(lines)
-    order = F.struct("k1", "k2", "_line")
-    key = F.struct("k1", "k2")
-    x = line_kinds(base).withColumn("key", F.when(F.col("kind") == CONTENT, F.sha2(T.dedup_key(F.col("st")).cast("binary"), 256)))
-    content = F.when(F.col("kind") == CONTENT, order)
-    ends = x.groupBy(F.col("session_id").alias("_sid")).agg(
-        F.min(key).alias("lo"), F.max(key).alias("hi"), F.max(F.when(F.col("k1") != FIRST_KEY, F.col("k1"))).alias("last_at"),
-        F.count_if(F.col("kind") == DEBUG).alias("n_debug"), F.min_by("key", content).alias("first_key"),
-        F.max_by("key", content).alias("last_key"))
+    long = long_sessions(base, chunk_bits)
+    if long is None:
+        key = F.sha2(F.col("norm").cast("binary"), 256)
+        ends = {"lo1": F.first("k1"), "lo2": F.first("k2"), "hi1": F.last("k1"), "hi2": F.last("k2"), "last_at": F.max(_time()),
+                "first_key": F.first(key, ignorenulls=True), "last_key": F.last(key, ignorenulls=True)}
+        runs = _runs_by_session(short_runs(base, max_bytes, ends), max_bytes, *(F.max(c).alias(c) for c in ends))
+    else:
+        order, keys = F.struct("k1", "k2", "_line"), F.struct("k1", "k2")
+        x = line_kinds(base).withColumn("key", F.when(F.col("kind") == CONTENT, F.sha2(T.dedup_key(F.col("st")).cast("binary"), 256)))
+        content = F.when(F.col("kind") == CONTENT, order)
+        ends = x.groupBy(F.col("session_id").alias("_sid")).agg(
+            F.min(keys).alias("lo"), F.max(keys).alias("hi"), F.max(_time()).alias("last_at"),
+            F.min_by("key", content).alias("first_key"), F.max_by("key", content).alias("last_key"))
+        runs = _runs_by_session(long_runs(base, long, chunk_bits, max_bytes), max_bytes).join(
+            ends, F.col("session_id").eqNullSafe(F.col("_sid"))).withColumns(
+            {f"{c}{i}": F.col(f"{c}.k{i}") for c in ("lo", "hi") for i in (1, 2)})
+    part = lambda name: F.transform("runs", lambda r: r[name]).alias
+    return runs.select("session_id", "lo1", "lo2", "hi1", "hi2", "last_at", "n_debug", "n_content", "n_runs", "first_key", "last_key",
+                       part("st")("texts"), part("n")("counts"), part("size")("sizes"))
+
+
+def _time() -> Column:
+    return F.when(F.col("k1") != FIRST_KEY, F.col("k1"))
+
+
+def _runs_by_session(runs: DataFrame, max_bytes: int, *more: Column) -> DataFrame:
+    """``counted_runs`` rows as one row a session, with ``runs`` in order."""
     size = (T.utf8_len(F.col("st")) + 1).cast("long")
     run = F.when(F.col("run_no") > 0, F.struct("run_no", F.when(size <= max_bytes, F.col("st")).alias("st"), "n", size.alias("size")))
-    runs = counted_runs(lines, chunk_bits, max_bytes).groupBy("session_id").agg(
-        F.array_sort(F.collect_list(run)).alias("runs"), F.max("n_content").alias("n_content"), F.max("n_runs").alias("n_runs"))
-    part = lambda name: F.transform("runs", lambda r: r[name]).alias
-    return runs.join(ends, F.col("session_id").eqNullSafe(F.col("_sid"))).select(
-        "session_id", F.col("lo.k1").alias("lo1"), F.col("lo.k2").alias("lo2"), F.col("hi.k1").alias("hi1"),
-        F.col("hi.k2").alias("hi2"), "last_at", "n_debug", "n_content", "n_runs", "first_key", "last_key",
-        part("st")("texts"), part("n")("counts"), part("size")("sizes"))
+    return runs.groupBy("session_id").agg(
+        F.array_sort(F.collect_list(run)).alias("runs"), F.max("removed_debug").alias("n_debug"), F.max("n_content").alias("n_content"),
+        F.max("n_runs").alias("n_runs"), *more)
 
 
 def merge(a: dict, b: dict, max_bytes: int) -> dict:

@@ -28,7 +28,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logsift.functions import text as T
@@ -129,18 +129,26 @@ def _fit(col: str, max_bytes: int | None):
     return F.lit(True) if max_bytes is None else F.col(col) <= max_bytes
 
 
-def _short_runs(base: DataFrame, max_bytes: int | None) -> DataFrame:
+def short_runs(base: DataFrame, max_bytes: int | None, carried: dict[str, Column] | None = None) -> DataFrame:
+    """``carried``: more columns, of window functions over the ``_numbered`` lines of a session in order.  They are taken
+    from its first line and stand on the row of that line's run, or of run 0."""
     x = _numbered(base, ["session_id"])
+    carried = carried or {}
+    if carried:
+        whole = Window.partitionBy("session_id").orderBy(*ORDER).rowsBetween(UNBOUNDED, Window.unboundedFollowing)
+        x = x.withColumns({c: e.over(whole) for c, e in carried.items()})
+        x = x.withColumns({c: F.when(F.col("_rn") == 1, F.col(c)) for c in carried})
     content = F.col("kind") == CONTENT
     rows = x.withColumn("run_no", F.when(content, F.col("run")).otherwise(0).cast("long")) \
         .where((content & _fit("least_before", max_bytes)) | (F.col("_rn") == 1))
     # a session whose first line is no content has a row of run 0 that carries its counts only
     return rows.groupBy("session_id", "run_no").agg(
         F.min_by("ord", "_rn").alias("ord"), F.min_by("st", "_rn").alias("st"), F.count("st").alias("n"),
-        F.max("n_debug").alias("removed_debug"), F.max("n_content").alias("n_content"), F.max("n_runs").alias("n_runs"))
+        F.max("n_debug").alias("removed_debug"), F.max("n_content").alias("n_content"), F.max("n_runs").alias("n_runs"),
+        *(F.max(c).alias(c) for c in carried))
 
 
-def _long_runs(base: DataFrame, long: DataFrame, chunk_bits: int, max_bytes: int | None) -> DataFrame:
+def long_runs(base: DataFrame, long: DataFrame, chunk_bits: int, max_bytes: int | None) -> DataFrame:
     x = _numbered(with_chunks(base, long, chunk_bits), ["session_id", "chunk"])
     whole = Window.partitionBy("session_id", "chunk").orderBy(*ORDER).rowsBetween(UNBOUNDED, Window.unboundedFollowing)
     summary = {"c_first": F.first("norm", ignorenulls=True).over(whole), "c_last": F.last("norm", ignorenulls=True).over(whole),
@@ -190,7 +198,7 @@ def counted_runs(lines: DataFrame, chunk_bits: int = DEFAULT_CHUNK_BITS, max_byt
     no line.  Runs that cannot fit ``max_bytes`` may be left out."""
     base = ordered_lines(lines, **cols)
     long = long_sessions(base, chunk_bits)
-    return _short_runs(base, max_bytes) if long is None else _long_runs(base, long, chunk_bits, max_bytes)
+    return short_runs(base, max_bytes) if long is None else long_runs(base, long, chunk_bits, max_bytes)
 
 
 def collapse_runs(lines: DataFrame, chunk_bits: int = DEFAULT_CHUNK_BITS, max_bytes: int | None = None,
