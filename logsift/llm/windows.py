@@ -145,7 +145,7 @@ def scan(units, width: int):
 
 
 SEGMENTS = "mh long, sid binary, kd long, kt int, start long, n long"
-PIECES = "mh long, sid binary, piece binary, copies long"
+PIECES = "mh long, sid binary, piece binary, copies long, hot boolean"
 
 
 def digest_segments(units, width: int):
@@ -175,8 +175,8 @@ def cut_segments(units, width: int):
             rows = []
             for text, places in zip(*(c.to_pylist() for c in b.columns)):
                 parts = unit.split(text)
-                rows += [(p["mh"], p["sid"], unit.cut(parts, p["start"], p["start"] + p["n"] + width - 1), p["copies"]) for p in places]
-            yield batch([c.split()[0] for c in PIECES.split(", ")], ["int64", "binary", "binary", "int64"], list(zip(*rows)) or [()] * 4)
+                rows += [(p["mh"], p["sid"], unit.cut(parts, p["start"], p["start"] + p["n"] + width - 1), p["copies"], p["hot"]) for p in places]
+            yield batch([c.split()[0] for c in PIECES.split(", ")], ["int64", "binary", "binary", "int64", "bool"], list(zip(*rows)) or [()] * 5)
 
     return run
 
@@ -273,9 +273,9 @@ def _search(segments: DataFrame, find, width: int) -> DataFrame:
 
 
 def _pieces(keyed: DataFrame, digests: DataFrame, units, width: int) -> DataFrame:
-    """``PIECES`` of digests (mh, sid, copies, at), cut out of the text at ``at``."""
+    """``PIECES`` of digests (mh, sid, copies, at, hot), cut out of the text at ``at``."""
     places = digests.groupBy(F.col("at.kd").alias("kd"), F.col("at.kt").alias("kt")).agg(
-        F.collect_list(F.struct("mh", "sid", "copies", "at.start", "at.n")).alias("places"))
+        F.collect_list(F.struct("mh", "sid", "copies", "at.start", "at.n", "hot")).alias("places"))
     return keyed.select("kd", "kt", "text").join(places, ["kd", "kt"]).select("text", "places").mapInArrow(
         cut_segments(units, width), PIECES)
 
@@ -302,12 +302,15 @@ def repeated_windows(docs: DataFrame, units, find, width: int, hot: int = HOT) -
     several = stage(distinct.groupBy("mh").count().where("count > 1"), "several-digests")
     alone = distinct.where("copies > 1").join(several, "mh", "left_anti").select(
         "mh", "sid", F.lit(0).cast("long").alias("first"), F.col("at.n").alias("n"))
-    crowded = several.where(F.col("count") > hot).select("mh")
-    few = distinct.join(several.where(F.col("count") <= hot).select("mh"), "mh", "left_semi")
-    found = alone.unionByName(_search(_pieces(keyed, few, units, width), find, width))
+    pieces = _pieces(keyed, distinct.join(several.select("mh", (F.col("count") > hot).alias("hot")), "mh"), units, width)
     used = [distinct, several]
-    if not crowded.isEmpty():
-        crowd = stage(_pieces(keyed, distinct.join(crowded, "mh", "left_semi"), units, width).dropDuplicates(["mh", "sid"]), "hot-pieces")
+    crowded = not several.where(F.col("count") > hot).isEmpty()
+    if crowded:  # the texts cross one shuffle for both ways
+        pieces = stage(pieces, "pieces")
+        used.append(pieces)
+    found = alone.unionByName(_search(pieces.where(~F.col("hot")), find, width))
+    if crowded:
+        crowd = stage(pieces.where("hot").dropDuplicates(["mh", "sid"]), "hot-pieces")
         crowd_rows = crowd.select("mh", "sid", "piece", "copies")
         twice = stage(crowd_rows.mapInArrow(window_hashes(units, width, False), "wh long, copies long").groupBy("wh").agg(
             F.sum("copies").alias("times")).where("times > 1").select("wh"), "repeated-hashes")

@@ -7,6 +7,7 @@ import pytest
 
 from logsift.llm import substring_dedup as words_op
 from logsift.llm import suffix_dedup as bytes_op
+from logsift.llm import windows
 
 
 def brute(rows, split, width, joint):
@@ -64,6 +65,15 @@ def test_byte_windows_match_brute_force(spark, hot):
     assert bytes_op.suffix_dedup(docs.limit(0)).count() == 0
 
 
+def test_texts_are_cut_once_for_hot_and_other_minimizers(spark, monkeypatch):
+    """Both kinds of segments come from one pass over the texts."""
+    rows, cuts, pieces = sample_rows(), [], windows._pieces
+    monkeypatch.setattr(windows, "_pieces", lambda *a: cuts.append(1) or pieces(*a))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    both = [digests(words_op.substring_dedup(docs, hot=hot).collect(), ["doc_id", "kept_sha256"]) for hot in (20_000, 5)]
+    assert both[0] == both[1] and len(cuts) == 2
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_indexes_find_all_repeated_windows_of_a_shard(seed):
     rnd = random.Random(seed)
