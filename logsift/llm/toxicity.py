@@ -8,13 +8,11 @@ frequencies are counted over all documents, and every document becomes a sparse
 TF-IDF vector of unit length, in which a term weighs one more than its chi-square
 (how far its presence tells the classes of the examples apart); no term is cut off.
 
-The index over the examples is an inverted list for each term, cut into blocks
-of ``BLOCK`` examples with the largest weight of each block.  The ``COMMON`` longest
-lists are also held as rows over all examples, so that one product of 32-bit
-matrices gives their part of the similarities for many queries at once.  To that
-part a query adds the maxima of its other terms, an upper bound for every block,
-gathers the postings of the most promising blocks, and then only of those whose
-bound reaches the k-th best similarity.  Examples within the rounding error of
+The index over the examples is an inverted list for each term.  The ``COMMON``
+longest lists are also held as rows over all examples, so that one product of
+32-bit matrices gives their part of the similarities for many queries at once;
+the postings of a query's other terms are added in one pass (bounds of blocks of
+examples cost more than the postings they spared).  Examples within the rounding error of
 the k-th are compared anew in 64 bits over all their terms, so the nearest
 neighbours are exact and do not depend on what else is scored.  All neighbours as near as the k-th count
 (equal vectors are indexed once, with their numbers of examples), so ties have
@@ -41,7 +39,6 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -51,8 +48,6 @@ from pyspark.sql import functions as F
 
 from logsift.llm.common import fresh, stage
 
-BLOCK = 64
-FIRST = 8       # blocks gathered before any can be left out
 COMMON = 1024   # longest lists held as rows
 QUERIES = 64    # vectors multiplied at once
 NEIGHBOURS = 25
@@ -62,7 +57,7 @@ THRESHOLD = 0.3
 STEM_LENGTHS = (4, 5, 6, 7)
 STEM = "^"
 WORD = re.compile(r"[^\W\d_]+")
-MEMO, MEMO_CHARS = 200_000, 40  # tokens whose terms a task remembers, and their greatest length
+MEMO, MEMO_CHARS = 400_000, 40  # words whose terms a task remembers, and their mean length at most
 
 
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -76,7 +71,7 @@ def vector_key(terms: np.ndarray, counts: np.ndarray) -> bytes:
 
 
 class TermIndex:
-    """Exact nearest examples by TF-IDF cosine, from block-max inverted lists."""
+    """Exact nearest examples by TF-IDF cosine, from inverted lists."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: list[int], ids: list[int],
                  weight: tuple[float, float], idf: np.ndarray, k: int = NEIGHBOURS, common: int = COMMON):
@@ -87,7 +82,7 @@ class TermIndex:
         for (terms, counts), label, doc in zip(vectors, labels, ids):
             g = groups.setdefault(vector_key(terms, counts), [terms, counts, [0, 0], doc])
             g[2][label] += 1
-        # examples that share their heaviest term lie together, so that the maxima of blocks are close
+        # examples that share their heaviest term lie together
         groups = dict(sorted(groups.items(), key=lambda g: (self.heaviest(g[1][0], g[1][1]), g[1][3])))
         self.place = {key: i for i, key in enumerate(groups)}
         self.votes = np.array([g[2] for g in groups.values()], "f8").reshape(-1, 2) * weight
@@ -99,36 +94,24 @@ class TermIndex:
         rows = [self.unit(g[0], g[1]) for g in groups.values()]
         at = np.repeat(np.arange(len(rows), dtype="i4"), [len(r) for r in rows])
         terms = np.concatenate([g[0] for g in groups.values()] or [np.zeros(0, "i4")]).astype("i4", copy=False)
-        self.blocks = -(-len(rows) // BLOCK)
         value = np.concatenate(rows or [np.zeros(0)])
-        self.row_start = np.cumsum([0, *map(len, rows)])
-        self.row_term, self.row_value = terms, value
-        self.weight_of = np.zeros(len(idf))  # of the query at hand; zero between queries
         del rows, groups
-        # the longest lists: one row of all examples each
+        # the longest lists: one row of all examples each; in 64 bits by example
         size = np.bincount(terms, minlength=len(idf))
         longest = np.argsort(-size, kind="stable")[:common]
         longest = longest[size[longest] > 0]
         self.line = np.full(len(idf), -1, "i4")
         self.line[longest] = np.arange(len(longest), dtype="i4")
-        self.lines = np.zeros((len(longest), len(self.number)), "f4")
+        self.long_part = np.zeros((len(self.number), len(longest)))
         is_long = self.line[terms] >= 0
-        self.lines[self.line[terms[is_long]], at[is_long]] = value[is_long]
+        self.long_part[at[is_long], self.line[terms[is_long]]] = value[is_long]
+        self.lines = np.ascontiguousarray(self.long_part.T, "f4")
         # 32-bit products and sums of non-negative numbers differ from the true ones by this share at most
         self.error = (len(longest) + 8) * 2.0 ** -23
         rest = np.flatnonzero(~is_long)
         rest = rest[np.argsort(terms[rest], kind="stable")].astype("i4")  # rows are in order already
-        terms, self.at, self.value = terms[rest], at[rest], value[rest].astype("f4")
-        del at, value, rest, is_long
-        block = self.at // BLOCK
-        # runs: the postings of one term in one block
-        new = np.ones(len(terms), bool)
-        new[1:] = (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])
-        self.run_at = np.flatnonzero(new)
-        self.run_size = np.diff(np.append(self.run_at, len(terms)))
-        self.run_block = block[self.run_at]
-        self.run_max = np.maximum.reduceat(self.value, self.run_at) if len(terms) else np.zeros(0)
-        self.runs = np.searchsorted(terms[self.run_at], np.arange(len(idf) + 1))
+        self.at, self.value = at[rest].astype("i8"), value[rest]  # the types that bincount adds in
+        self.lists = np.searchsorted(terms[rest], np.arange(len(idf) + 1))
         self.curve = (np.array([0.0]), np.array([self.base]))
 
     def __reduce__(self):
@@ -161,55 +144,33 @@ class TermIndex:
             left[i, line[line >= 0]] = w[line >= 0]
         return left @ self.lines
 
-    def nearest(self, terms: np.ndarray, counts: np.ndarray, without: int | None = None, idf: np.ndarray | None = None,
+    def nearest(self, terms: np.ndarray, counts: np.ndarray, without: int | None = None, w: np.ndarray | None = None,
                 sums: np.ndarray | None = None):
         """(places, similarities) of the neighbours, nearest first; ``without`` leaves one example of a place out.
 
-        ``sums``: this query's row of ``line_sums``, if it is known already.
+        ``w``, ``sums``: this query's ``query_weights`` and row of ``line_sums``, if they are known already.
         """
         number = self.number
         if without is not None:
             number = number.copy()
             number[without] -= 1
-        w = self.query_weights(terms, counts, idf)
-        sims = (self.line_sums([(terms, w)])[0] if sums is None else sums).astype("f8")
-        short = self.line[terms] < 0
-        first, many = self.runs[terms[short]], self.runs[terms[short] + 1] - self.runs[terms[short]]
-        run, weight = spread(first, many), np.repeat(w[short].astype("f4"), many)
-        block = self.run_block.take(run)
-        bound = np.bincount(block, self.run_max.take(run) * weight, self.blocks)
-        if len(sims):
-            bound = bound + np.maximum.reduceat(sims, np.arange(0, len(sims), BLOCK))
-        bound = bound * (1 + 2 * self.error) + 1e-9
-        floor, todo = 1e-9, np.argsort(-bound, kind="stable")
-        size = FIRST
-        while len(todo):
-            now = todo[:size][bound[todo[:size]] >= floor]
-            if not len(now):
-                break
-            chosen = np.zeros(len(bound), bool)
-            chosen[now] = True
-            use = np.flatnonzero(chosen.take(block))
-            some = run.take(use)
-            length = self.run_size.take(some)
-            at = spread(self.run_at.take(some), length)
-            sims = sims + np.bincount(self.at.take(at), self.value.take(at) * np.repeat(weight.take(use), length), len(sims))
-            todo, size = todo[size:], len(todo)
-            floor = max(floor, self._kth(sims, number))
+        w = self.query_weights(terms, counts) if w is None else w
+        line = self.line[terms]
+        short = terms[line < 0]
+        first = self.lists[short]
+        many = self.lists[short + 1] - first
+        at = spread(first, many)
+        rest = np.bincount(self.at[at], self.value[at] * np.repeat(w[line < 0], many), len(number))
+        sims = rest + (self.line_sums([(terms, w)])[0] if sums is None else sums)
+        floor = max(1e-9, self._kth(sims, number))
         near = np.flatnonzero((sims >= floor * (1 - 2 * self.error) - 2e-9) & (sims >= 5e-10) & (number > 0))
-        exact = np.round(self.exact(terms, w, near), 9)
+        common = np.zeros(len(self.lines))
+        common[line[line >= 0]] = w[line >= 0]
+        exact = np.round(rest[near] + self.long_part[near] @ common, 9)
         hit = np.flatnonzero(exact >= max(1e-9, round(self._kth(exact, number[near]), 9)))
         hit = hit[np.lexsort((hit, -exact[hit]))]
         return near[hit], exact[hit], number
 
-    def exact(self, terms: np.ndarray, w: np.ndarray, places: np.ndarray) -> np.ndarray:
-        """Similarities of these examples, over all their terms."""
-        self.weight_of[terms] = w
-        sims = np.array([self.weight_of.take(self.row_term[a:b], mode="clip") @ self.row_value[a:b]
-                         for a, b in zip(self.row_start[places].tolist(), self.row_start[places + 1].tolist())])
-        self.weight_of[terms] = 0
-        return sims
-
     def _kth(self, sims: np.ndarray, number: np.ndarray) -> float:
         """Similarity of the k-th nearest example scored so far."""
         some = np.flatnonzero((sims > 1e-9) & (number > 0))  # one left out is no neighbour
@@ -221,16 +182,16 @@ class TermIndex:
         i = int(np.searchsorted(have, self.k))
         return float(sims[order[i]]) if i < len(order) else 0.0
 
-    def vote(self, terms: np.ndarray, counts: np.ndarray, leave_out: int | None = None, idf: np.ndarray | None = None,
+    def vote(self, terms: np.ndarray, counts: np.ndarray, leave_out: int | None = None, w: np.ndarray | None = None,
              sums: np.ndarray | None = None):
         """(share of toxic votes, neighbours as (id, similarity)); ``leave_out`` is the label of the query itself."""
-        key = vector_key(terms, counts)
+        key = vector_key(terms, counts) if leave_out is not None or not len(terms) else None
         own = self.place.get(key) if leave_out is not None else None
         if not len(terms):
             hits, sims = np.array([self.place[key]] if key in self.place else [], "i8"), np.ones(1)
             sims = sims[:len(hits)]
         else:
-            hits, sims, _ = self.nearest(terms, counts, own, idf, sums)
+            hits, sims, _ = self.nearest(terms, counts, own, w, sums)
         votes = self.votes[hits].copy()
         if own is not None:
             votes[hits == own, leave_out] -= self.weight[leave_out]
@@ -252,10 +213,10 @@ class TermIndex:
         x, todo = np.zeros(len(labels)), list(places.values())
         for start in range(0, len(todo), QUERIES):
             some = [(same, *vectors[same[0]], labels[same[0]]) for same in todo[start:start + QUERIES]]
-            idfs = [weigh(t, label) if weigh else None for _, t, _, label in some]
-            sums = self.line_sums([(t, self.query_weights(t, c, idf)) for (_, t, c, _), idf in zip(some, idfs)])
-            for (same, t, c, label), idf, row in zip(some, idfs, sums):
-                x[same] = self.vote(t, c, label, idf, row)[0]
+            weights = [self.query_weights(t, c, weigh(t, label) if weigh else None) for _, t, c, label in some]
+            sums = self.line_sums([(t, w) for (_, t, _, _), w in zip(some, weights)])
+            for (same, t, c, label), w, row in zip(some, weights, sums):
+                x[same] = self.vote(t, c, label, w, row)[0]
         y, w = np.array(labels, "f8"), np.array(self.weight)[np.array(labels)]
         order = np.argsort(x, kind="stable")
         pools: list[list[float]] = []  # (largest share, weight, toxic weight, smallest share)
@@ -273,13 +234,13 @@ class TermIndex:
     def scores(self, vectors: list[tuple[np.ndarray, np.ndarray]]):
         """``score`` of every vector, in order."""
         for i in range(0, len(vectors), QUERIES):
-            some = vectors[i:i + QUERIES]
-            for (t, c), sums in zip(some, self.line_sums([(t, self.unit(t, c)) for t, c in some])):
-                yield self.score(t, c, sums)
+            some = [(t, c, self.unit(t, c)) for t, c in vectors[i:i + QUERIES]]
+            for (t, c, w), sums in zip(some, self.line_sums([(t, w) for t, _, w in some])):
+                yield self.score(t, c, w, sums)
 
-    def score(self, terms: np.ndarray, counts: np.ndarray, sums: np.ndarray | None = None):
+    def score(self, terms: np.ndarray, counts: np.ndarray, w: np.ndarray | None = None, sums: np.ndarray | None = None):
         """(probability, neighbours)."""
-        share, near = self.vote(terms, counts, sums=sums)
+        share, near = self.vote(terms, counts, w=w, sums=sums)
         if not near:
             return self.base, near
         # a small slope keeps the order of shares inside a level part of the curve
@@ -308,30 +269,51 @@ def vector_udf(terms: list[str]):
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         place = {t: i for i, t in enumerate(terms)}
         stems = sorted({len(t) - 1 for t in terms if t[0] == STEM})
-        number, memo = place.get, {}
-
-        def terms_of(token: str) -> list[int]:
-            """Numbers of the terms in what stands between white space, repeats included."""
-            found = []
-            for word in (token,) if token.isalpha() else WORD.findall(token):
-                if (i := number(word)) is not None:
-                    found.append(i)
-                length = len(word)
-                for size in stems:
-                    if size >= length or (i := number(STEM + word[:size])) is None:
-                        break  # an example's word with a longer stem has this one as well
-                    found.append(i)
-            if len(token) <= MEMO_CHARS and len(memo) < MEMO:
-                memo[token] = found
-            return found
+        number, wide = place.get, 1 + len(stems)
+        memo: dict[str, int] = {}  # words to rows of the table of their terms' numbers, -1 behind the last
+        table, chars = np.empty((MEMO, wide), "i4"), 0
+
+        def terms_of(word: str) -> list[int]:
+            """Numbers of the word's terms, repeats included."""
+            found = [] if (i := number(word)) is None else [i]
+            length = len(word)
+            for size in stems:
+                if size >= length or (i := number(STEM + word[:size])) is None:
+                    break  # an example's word with a longer stem has this one as well
+                found.append(i)
+            return found + [-1] * (wide - len(found))
 
         def one(text):
-            tokens = Counter((text or "").lower().split())
-            found = [terms_of(t) if (known := memo.get(t)) is None else known for t in tokens]
-            flat = np.fromiter(chain.from_iterable(found), "i4")
-            keys, at = np.unique(flat, return_inverse=True)
-            times = np.repeat(np.fromiter(tokens.values(), "i8", len(tokens)), list(map(len, found)))
-            return np.array([keys, np.bincount(at, times, len(keys))], "<i4").tobytes()
+            nonlocal table, chars
+            text = (text or "").lower()
+            for mark in ".,;:!?":  # no letters; fewer words are then left to the pattern
+                text = text.replace(mark, " ")
+            words = Counter(text.split())
+            for token in [t for t in words if not t.isalpha()]:
+                times = words.pop(token)
+                for word in WORD.findall(token):
+                    words[word] += times
+            if len(memo) >= MEMO or chars >= MEMO * MEMO_CHARS:
+                memo.clear()
+                chars = 0
+            ids = list(map(memo.get, words))
+            if None in ids:
+                have, new = len(memo), [w for w, i in zip(words, ids) if i is None]
+                while have + len(new) > len(table):
+                    table = np.concatenate([table, np.empty_like(table)])
+                table[have:have + len(new)] = [terms_of(w) for w in new]
+                memo.update(zip(new, range(have, have + len(new))))
+                chars += sum(map(len, new))
+                added = iter(range(have, have + len(new)))
+                ids = [next(added) if i is None else i for i in ids]
+            rows = table[np.array(ids, "i8")]
+            times = np.repeat(np.fromiter(words.values(), "i8", len(words)), wide)
+            flat = rows.ravel()
+            codes = np.sort((flat.astype("i8") << 32 | times)[flat >= 0])  # a term's counts side by side
+            keys = codes >> 32
+            first = np.flatnonzero(np.diff(keys, prepend=-1))
+            counts = np.add.reduceat(codes & 0xFFFFFFFF, first) if len(first) else codes
+            return np.array([keys[first], counts], "<i4").tobytes()
 
         for texts in batches:
             yield texts.map(one)

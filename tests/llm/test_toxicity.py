@@ -3,8 +3,10 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 
+from logsift.llm import toxicity
 from logsift.llm.toxicity import STEM, WORD, TermIndex, drop_toxic, may_learn, query, toxicity_scores, unpack, vector_udf
 
 SF = "/root/testdata/sf0.1"
@@ -157,3 +159,35 @@ def test_terms_are_counted_as_by_a_plain_loop(spark):
                     want[terms.index(term)] = want.get(terms.index(term), 0) + 1
         at, counts = unpack(r.v)
         assert list(at) == sorted(want) and dict(zip(at.tolist(), counts.tolist())) == want, r.t
+
+
+def test_a_query_is_one_pass_over_its_lists(monkeypatch):
+    """Each posting of a query's terms beyond the rows is gathered once, and no list is walked in rounds."""
+    rnd = random.Random(8)
+    rows = vectors(rnd, 600)
+    index = TermIndex(rows, [rnd.randint(0, 1) for _ in rows], list(range(600)), (1.0, 1.0), np.ones(40), k=5, common=10)
+    gathered = []
+    spread = toxicity.spread
+    monkeypatch.setattr(toxicity, "spread", lambda starts, lengths: gathered.append(int(lengths.sum())) or spread(starts, lengths))
+    sizes = np.bincount(np.concatenate([t for t, _ in {r[0].tobytes() + r[1].tobytes(): r for r in rows}.values()]), minlength=40)
+    for t, c in (q for q in vectors(rnd, 30) if len(q[0])):
+        gathered.clear()
+        index.nearest(t, c)
+        assert gathered == [sizes[t[index.line[t] < 0]].sum()]
+
+
+def test_terms_beyond_the_memo_are_counted(spark, monkeypatch):
+    """A memo smaller than one text's words, cleared between texts, changes no count."""
+    texts = [" ".join(f"{a}{b}word, {b}{a}_word9{a}" for a in "abcdefg" for b in "hijkl")] * 3 + ["ahword " * 4, "a" * 500, None]
+    terms = sorted({w for t in texts[:1] for w in WORD.findall(t)} | {STEM + "ahwo", STEM + "ahwor"})
+
+    def run():
+        rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").coalesce(1)
+        return [bytes(r.v) for r in rows.select("i", vector_udf(terms)("t").alias("v")).orderBy("i").collect()]
+
+    whole = run()
+    udf = vector_udf(terms).func
+    monkeypatch.setattr(toxicity, "MEMO", 3)
+    assert next(udf(iter([pd.Series(texts)]))).tolist() == whole
+    counts = dict(zip(*(x.tolist() for x in unpack(whole[3]))))
+    assert counts == {terms.index("ahword"): 4, terms.index("^ahwo"): 4, terms.index("^ahwor"): 4}
