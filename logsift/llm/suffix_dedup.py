@@ -5,10 +5,11 @@ places of a difference cover (six residues modulo 31: any two places are, some
 number of bytes below 31 further on, both in it) are ranked first, by doubling.  All
 window suffixes are then dealt to buckets by their first eight bytes, and one
 bucket is sorted at a time by its first 31 bytes.  Suffixes that tie on those
-are put in order by the ranks of the cover places that both reach, so no tie
-costs more than a look-up however long it is, and memory stays at the shard,
-the ranks and one bucket.  Neighbours in suffix order that share ``width``
-bytes (compared byte by byte) are repeated windows.
+are put in order by the ranks of the cover places that both reach, all groups of
+ties split around a member at once, so no tie costs more than a few look-ups
+however long it is, and memory stays at the shard, the ranks and one bucket.
+Neighbours in suffix order that share ``width`` bytes (compared byte by byte)
+are repeated windows.
 
 Cases: null and empty texts have no bytes; texts under ``width`` bytes have no
 window; repeated rows (same id and text) repeat each other; null ids are kept;
@@ -44,8 +45,10 @@ def reach_table() -> np.ndarray:
 
 def words_at(text: np.ndarray) -> np.ndarray:
     """The eight bytes from every place, as numbers in byte order."""
-    flat = np.lib.stride_tricks.sliding_window_view(text, 8)
-    return flat @ (np.uint64(1) << (np.arange(7, -1, -1, dtype="u8") * np.uint64(8)))
+    out = np.empty(len(text) - 7, "u8")
+    for o in range(min(8, len(out))):
+        out[o::8] = np.frombuffer(text, ">u8", len(out[o::8]), o)
+    return out
 
 
 def dense_ranks(order: np.ndarray, keys: list[np.ndarray]) -> np.ndarray:
@@ -109,23 +112,28 @@ class CoverSort:
     def break_ties(self, at: np.ndarray, group: np.ndarray) -> np.ndarray:
         """Suffixes with equal heads, group by group, in order of what follows.
 
-        Members of one residue are sorted by the rank of one cover place; a member's place in its
-        group is the number of members of every residue that come before it, by the ranks of the
-        cover places the two residues both reach.
+        All groups are split at once around a member each, by the ranks of the cover place that a
+        suffix and that member both reach; what equals the member is in place, both sides go on.
         """
-        residue = at % PERIOD
-        span = np.int64(self.rank.max()) + 2
-        before = np.zeros(len(at), "i8")
-        classes = [np.flatnonzero(residue == r) for r in range(PERIOD)]
-        for r, own in enumerate(classes):
-            for s, other in enumerate(classes):
-                if not len(own) or not len(other):
-                    continue
-                step = self.reach[r, s]
-                mine = group[own] * span + self.rank[at[own] + step]
-                theirs = np.sort(group[other] * span + self.rank[at[other] + step])
-                before[own] += np.searchsorted(theirs, mine) - np.searchsorted(theirs, group[own] * span)
-        return at[np.lexsort((before, group))]
+        out = at.copy()
+        slot = np.arange(len(at))
+        turn = 0
+        while len(at):
+            turn += 1
+            first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+            size = np.diff(np.append(first, len(at)))
+            pivot = np.repeat(at[first + (first + turn * 40_503) % size], size)
+            step = self.reach[at % PERIOD, pivot % PERIOD]
+            mine, theirs = self.rank[at + step], self.rank[pivot + step]
+            side = np.repeat(3 * np.arange(len(first)), size) + (mine >= theirs) + (mine > theirs)
+            order = np.argsort(side, kind="stable")
+            out[slot] = at = at[order]
+            group = side[order]
+            many = np.bincount(group)
+            many[1::3] = 0
+            left = np.flatnonzero(many[group] > 1)
+            at, group, slot = at[left], group[left], slot[left]
+        return out
 
     def share(self, a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
         """Whether the ``width`` bytes from places a and b are equal."""

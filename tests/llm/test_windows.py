@@ -103,3 +103,21 @@ def test_cover_reaches_every_pair():
     for a in range(31):
         for b in range(31):
             assert (a + reach[a, b]) % 31 in bytes_op.COVER and (b + reach[a, b]) % 31 in bytes_op.COVER
+
+
+@pytest.mark.parametrize("unit", [b"ab", b"z", b"abcabcabd", b"xyzzy" * 9 + b"q"])
+def test_ties_are_broken_for_all_groups_at_once(monkeypatch, unit):
+    """However many residues the tied suffixes have, a round splits every group; the order is that of the first 200 bytes."""
+    rnd = random.Random(9)
+    raw = b"".join(unit * rnd.randint(3, 900 // len(unit)) + bytes(rnd.choices(b"abz", k=rnd.randint(1, 40))) for _ in range(12))
+    sorter = bytes_op.CoverSort(raw, 200)
+    at = np.array(rnd.sample(range(len(raw)), len(raw)))
+    rounds = []
+    for name in ("argsort", "searchsorted", "sort"):
+        plain = getattr(np, name)
+        monkeypatch.setattr(np, name, lambda *a, plain=plain, **k: rounds.append(1) or plain(*a, **k))
+    got = sorter.sort_bucket(at)
+    padded = raw + bytes(200)
+    assert [padded[i:i + 200] for i in got] == sorted(padded[i:i + 200] for i in at)
+    assert sorted(got) == list(range(len(raw)))
+    assert len(rounds) < 80  # by pairs of residues: up to 1,900
