@@ -12,7 +12,8 @@ The index over the examples is an inverted list for each term.  The ``COMMON``
 longest lists are also held as rows over all examples, so that one product of
 32-bit matrices gives their part of the similarities for many queries at once;
 the postings of a query's other terms are added in one pass (bounds of blocks of
-examples cost more than the postings they spared).  Examples within the rounding error of
+examples cost more than the postings they spared).  The k-th best of the best of
+short stretches of examples leaves few of them to rank.  Examples within the rounding error of
 the k-th are compared anew in 64 bits over all their terms, so the nearest
 neighbours are exact and do not depend on what else is scored.  All neighbours as near as the k-th count
 (equal vectors are indexed once, with their numbers of examples), so ties have
@@ -37,19 +38,21 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logsift.llm.common import fresh, stage
 
 COMMON = 1024   # longest lists held as rows
-QUERIES = 64    # vectors multiplied at once
+QUERIES = 512   # vectors multiplied at once
+STRETCH = 32    # examples of which the best similarity is looked at first
 NEIGHBOURS = 25
 MAX_EXAMPLES = 2000
 PRIOR_WEIGHT = 0.5
@@ -57,12 +60,15 @@ THRESHOLD = 0.3
 STEM_LENGTHS = (4, 5, 6, 7)
 STEM = "^"
 WORD = re.compile(r"[^\W\d_]+")
+TEXTS = 64      # texts whose terms are sorted at once
 MEMO, MEMO_CHARS = 400_000, 40  # words whose terms a task remembers, and their mean length at most
 
 
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The numbers of all ranges of these starts and lengths, one range after the other."""
-    return np.arange(lengths.sum()) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+    out = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+    out += np.arange(len(out))
+    return out
 
 
 def vector_key(terms: np.ndarray, counts: np.ndarray) -> bytes:
@@ -155,15 +161,20 @@ class TermIndex:
             number = number.copy()
             number[without] -= 1
         w = self.query_weights(terms, counts) if w is None else w
-        line = self.line[terms]
-        short = terms[line < 0]
-        first = self.lists[short]
-        many = self.lists[short + 1] - first
+        line = self.line.take(terms)
+        listed = line < 0
+        short = terms[listed]
+        first = self.lists.take(short)
+        many = self.lists.take(short + 1) - first
         at = spread(first, many)
-        rest = np.bincount(self.at[at], self.value[at] * np.repeat(w[line < 0], many), len(number))
+        added = np.repeat(w[listed], many)
+        added *= self.value.take(at)
+        rest = np.bincount(self.at.take(at), added, len(number))
         sims = rest + (self.line_sums([(terms, w)])[0] if sums is None else sums)
-        floor = max(1e-9, self._kth(sims, number))
-        near = np.flatnonzero((sims >= floor * (1 - 2 * self.error) - 2e-9) & (sims >= 5e-10) & (number > 0))
+        if without is not None and not number[without]:
+            sims[without] = 0.0
+        some = np.flatnonzero(sims >= self._least(self._below(sims)))  # the k nearest are among them
+        near = some[sims[some] >= self._least(max(1e-9, self._kth(sims[some], number[some])))]
         common = np.zeros(len(self.lines))
         common[line[line >= 0]] = w[line >= 0]
         exact = np.round(rest[near] + self.long_part[near] @ common, 9)
@@ -171,6 +182,18 @@ class TermIndex:
         hit = hit[np.lexsort((hit, -exact[hit]))]
         return near[hit], exact[hit], number
 
+    def _least(self, floor: float) -> float:
+        """What an example must have by these sums if its true similarity may be ``floor``."""
+        return max(floor * (1 - 2 * self.error) - 2e-9, 5e-10)
+
+    def _below(self, sims: np.ndarray) -> float:
+        """A bound that at least k examples reach: the k-th best of the best of stretches of examples."""
+        whole = len(sims) // STRETCH * STRETCH
+        if whole < self.k * STRETCH:
+            return 0.0
+        best = sims[:whole].reshape(-1, STRETCH).max(1)
+        return float(np.partition(best, len(best) - self.k)[len(best) - self.k])
+
     def _kth(self, sims: np.ndarray, number: np.ndarray) -> float:
         """Similarity of the k-th nearest example scored so far."""
         some = np.flatnonzero((sims > 1e-9) & (number > 0))  # one left out is no neighbour
@@ -273,6 +296,12 @@ def vector_udf(terms: list[str]):
         memo: dict[str, int] = {}  # words to rows of the table of their terms' numbers, -1 behind the last
         table, chars = np.empty((MEMO, wide), "i4"), 0
 
+        def plain(text) -> str:
+            text = (text or "").lower()
+            for mark in ".,;:!?":  # no letters; fewer tokens are then left to the pattern
+                text = text.replace(mark, " ")
+            return text
+
         def terms_of(word: str) -> list[int]:
             """Numbers of the word's terms, repeats included."""
             found = [] if (i := number(word)) is None else [i]
@@ -283,40 +312,54 @@ def vector_udf(terms: list[str]):
                 found.append(i)
             return found + [-1] * (wide - len(found))
 
-        def one(text):
+        def rows_of(words: list[str]) -> np.ndarray:
+            """The table's rows of the words."""
             nonlocal table, chars
-            text = (text or "").lower()
-            for mark in ".,;:!?":  # no letters; fewer words are then left to the pattern
-                text = text.replace(mark, " ")
-            words = Counter(text.split())
-            for token in [t for t in words if not t.isalpha()]:
-                times = words.pop(token)
-                for word in WORD.findall(token):
-                    words[word] += times
             if len(memo) >= MEMO or chars >= MEMO * MEMO_CHARS:
                 memo.clear()
                 chars = 0
             ids = list(map(memo.get, words))
             if None in ids:
-                have, new = len(memo), [w for w, i in zip(words, ids) if i is None]
+                have, new = len(memo), list(dict.fromkeys(w for w, i in zip(words, ids) if i is None))
                 while have + len(new) > len(table):
                     table = np.concatenate([table, np.empty_like(table)])
                 table[have:have + len(new)] = [terms_of(w) for w in new]
                 memo.update(zip(new, range(have, have + len(new))))
                 chars += sum(map(len, new))
-                added = iter(range(have, have + len(new)))
-                ids = [next(added) if i is None else i for i in ids]
-            rows = table[np.array(ids, "i8")]
-            times = np.repeat(np.fromiter(words.values(), "i8", len(words)), wide)
-            flat = rows.ravel()
-            codes = np.sort((flat.astype("i8") << 32 | times)[flat >= 0])  # a term's counts side by side
-            keys = codes >> 32
-            first = np.flatnonzero(np.diff(keys, prepend=-1))
-            counts = np.add.reduceat(codes & 0xFFFFFFFF, first) if len(first) else codes
-            return np.array([keys[first], counts], "<i4").tobytes()
+                ids = list(map(memo.get, words))
+            return np.array(ids, "i8")
+
+        def coded(texts: list) -> Iterator[bytes]:
+            """All texts of a batch at once: its tokens are told apart and looked up once."""
+            split = pc.ascii_split_whitespace(pa.array([plain(t) for t in texts], pa.large_string()))
+            tokens = split.flatten().dictionary_encode()
+            every = tokens.dictionary.to_pylist()
+            words = [[t] if t.isalpha() else WORD.findall(t) for t in every]
+            many = np.fromiter(map(len, words), "i8", len(words))
+            row, start = rows_of(list(chain.from_iterable(words))), np.cumsum(many) - many
+            doc = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
+            pair, times = np.unique(doc * max(1, len(every)) + tokens.indices.to_numpy(), return_counts=True)
+            doc, token = np.divmod(pair, max(1, len(every)))
+            # a term's counts side by side, for some texts at once if term, text and count fit into 63 bits
+            shift = int(times.max(initial=1)).bit_length()
+            block = TEXTS if (TEXTS * len(terms)).bit_length() + shift <= 63 else 1
+            for at in range(0, len(texts), block):
+                some = slice(*np.searchsorted(doc, (at, at + block)))
+                n = many[token[some]]
+                flat = table[row[spread(start[token[some]], n)]]
+                text = np.repeat(doc[some] - at, n)[:, None] * len(terms)
+                codes = np.sort(((text + flat) << shift | np.repeat(times[some], n)[:, None])[flat >= 0])
+                keys = codes >> shift
+                first = np.flatnonzero(np.diff(keys, prepend=-1))
+                counts = np.add.reduceat(codes & (1 << shift) - 1, first) if len(first) else codes
+                found, term = np.divmod(keys[first], max(1, len(terms)))
+                both = np.array([term, counts], "<i4")
+                ends = np.searchsorted(found, np.arange(min(block, len(texts) - at) + 1))
+                for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+                    yield both[:, a:b].tobytes()
 
         for texts in batches:
-            yield texts.map(one)
+            yield pd.Series(list(coded(texts.tolist())), dtype=object)
 
     return vectors
 

@@ -191,3 +191,38 @@ def test_terms_beyond_the_memo_are_counted(spark, monkeypatch):
     assert next(udf(iter([pd.Series(texts)]))).tolist() == whole
     counts = dict(zip(*(x.tolist() for x in unpack(whole[3]))))
     assert counts == {terms.index("ahword"): 4, terms.index("^ahwo"): 4, terms.index("^ahwor"): 4}
+
+
+def test_few_examples_are_ranked_and_all_neighbours_found(monkeypatch):
+    """The k-th is looked for among the examples that the best of stretches leave; with examples left out, too."""
+    rnd = random.Random(10)
+    rows = vectors(rnd, 3000, 90)
+    labels = [rnd.randint(0, 1) for _ in rows]
+    idf = np.array([rnd.uniform(1, 5) for _ in range(90)])
+    index = TermIndex(rows, labels, list(range(len(rows))), (1.0, 2.0), idf, k=8, common=30)
+    queries = [q for q in vectors(rnd, 80, 90) + rows[:20] if len(q[0])]
+    ranked, plain = [], TermIndex._kth
+    monkeypatch.setattr(TermIndex, "_kth", lambda self, sims, number: ranked.append(len(sims)) or plain(self, sims, number))
+    run = lambda: [index.score(*q) for q in queries] + [index.vote(*rows[i], labels[i]) for i in range(30) if len(rows[i][0])]
+    quick = run()
+    assert np.median(ranked) < len(index.number) / 10
+    monkeypatch.setattr(TermIndex, "_below", lambda self, sims: 0.0, raising=False)
+    assert run() == quick
+
+
+def test_a_batch_looks_its_tokens_up_once(spark, monkeypatch):
+    """A token that is no plain word goes to the pattern once a batch, not once a text."""
+    seen = []
+
+    class Pattern:
+        def findall(self, token):
+            seen.append(token)
+            return WORD.findall(token)
+
+    monkeypatch.setattr(toxicity, "WORD", Pattern())
+    texts = [f"Sun9tree {'tree ' * i}x{i % 3}y __" for i in range(200)] + [None, "", "99", "\t sun tree\x1csun "]
+    udf = vector_udf(["^tree", "sun", "tree", "y"]).func
+    got = [dict(zip(*(x.tolist() for x in unpack(v)))) for v in next(udf(iter([pd.Series(texts)])))]
+    assert got[:200] == [{1: 1, 2: i + 1, 3: 1} for i in range(200)]
+    assert got[200:] == [{}, {}, {}, {1: 2, 2: 1}]
+    assert len(seen) == len(set(seen)) <= 8
