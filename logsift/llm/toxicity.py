@@ -9,13 +9,16 @@ TF-IDF vector of unit length, in which a term weighs one more than its chi-squar
 (how far its presence tells the classes of the examples apart); no term is cut off.
 
 The index over the examples is an inverted list for each term.  The ``COMMON``
-longest lists are also held as rows over all examples, so that one product of
-32-bit matrices gives their part of the similarities for many queries at once;
-the postings of a query's other terms are added in one pass (bounds of blocks of
-examples cost more than the postings they spared).  The k-th best of the best of
+longest lists are held as rows over all examples, so that one product of
+32-bit matrices gives their part of the similarities for many queries at once.
+Queries are multiplied beside others of the same most frequent term (texts of one
+language have many terms in common), and the lists that many queries of such a
+block have in common are made rows for it as well; the postings of a query's other
+terms are added in one pass (bounds of blocks of examples, or of terms of small
+weight, cost more than the postings they spared).  The k-th best of the best of
 short stretches of examples leaves few of them to rank.  Examples within the rounding error of
 the k-th are compared anew in 64 bits over all their terms, so the nearest
-neighbours are exact and do not depend on what else is scored.  All neighbours as near as the k-th count
+neighbours are exact to nine digits, whatever else is scored.  All neighbours as near as the k-th count
 (equal vectors are indexed once, with their numbers of examples), so ties have
 no order.  Votes are weighted by squared similarity and by how many labelled
 rows an example stands for, and shrunk to the share of toxic rows; a monotone
@@ -37,7 +40,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import zlib
 from collections.abc import Iterator
 from itertools import chain
 
@@ -51,7 +53,10 @@ from pyspark.sql import functions as F
 from logsift.llm.common import fresh, stage
 
 COMMON = 1024   # longest lists held as rows
+MORE = 3072     # next longest lists: those that a block of queries has in common are made rows for it
 QUERIES = 512   # vectors multiplied at once
+# postings whose sum takes as long as multiplying an example of a row with a query, and as making it
+MULTIPLIED, MADE = 0.002, 0.15
 STRETCH = 32    # examples of which the best similarity is looked at first
 NEIGHBOURS = 25
 MAX_EXAMPLES = 2000
@@ -76,6 +81,13 @@ def vector_key(terms: np.ndarray, counts: np.ndarray) -> bytes:
     return hashlib.blake2b(np.concatenate([terms, counts]).astype("<i4", copy=False).tobytes(), digest_size=16).digest()
 
 
+def alike(vectors: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[list[int]]:
+    """Blocks of ``QUERIES`` numbers of vectors, those of the same most frequent term beside each other."""
+    order = sorted(range(len(vectors)), key=lambda i: int(vectors[i][0][np.argmax(vectors[i][1])]) if len(vectors[i][0]) else -1)
+    for i in range(0, len(order), QUERIES):
+        yield order[i:i + QUERIES]
+
+
 class TermIndex:
     """Exact nearest examples by TF-IDF cosine, from inverted lists."""
 
@@ -83,7 +95,6 @@ class TermIndex:
                  weight: tuple[float, float], idf: np.ndarray, k: int = NEIGHBOURS, common: int = COMMON):
         """``vectors``: (terms, counts) of each example; ``weight``: labelled rows an example of class 0 or 1 stands for."""
         self.idf, self.k, self.common = idf, k, common
-        self.parts = vectors, labels, ids
         groups: dict[bytes, list] = {}
         for (terms, counts), label, doc in zip(vectors, labels, ids):
             g = groups.setdefault(vector_key(terms, counts), [terms, counts, [0, 0], doc])
@@ -91,41 +102,51 @@ class TermIndex:
         # examples that share their heaviest term lie together
         groups = dict(sorted(groups.items(), key=lambda g: (self.heaviest(g[1][0], g[1][1]), g[1][3])))
         self.place = {key: i for i, key in enumerate(groups)}
-        self.votes = np.array([g[2] for g in groups.values()], "f8").reshape(-1, 2) * weight
-        self.number = np.array([sum(g[2]) for g in groups.values()], "i8")
-        self.ids = [g[3] for g in groups.values()]
-        self.weight = weight
+        flat = [np.concatenate([g[i] for g in groups.values()] or [np.zeros(0)]).astype("i4", copy=False) for i in (0, 1)]
+        self.build(*flat, [len(g[0]) for g in groups.values()], [g[2] for g in groups.values()],
+                   [g[3] for g in groups.values()], weight)
+
+    def build(self, terms: np.ndarray, counts: np.ndarray, sizes: list[int], members: list[list[int]], ids: list[int],
+              weight: tuple[float, float]) -> None:
+        """The lists, from the distinct vectors one behind the other and their members by class."""
+        self.terms, self.counts, self.sizes, self.members, self.ids, self.weight = terms, counts, sizes, members, ids, weight
+        self.votes = np.array(members, "f8").reshape(-1, 2) * weight
+        self.number = np.array(members, "i8").reshape(-1, 2).sum(1)
         total = self.votes.sum()
         self.base = float(self.votes[:, 1].sum() / total) if total else 0.0
-        rows = [self.unit(g[0], g[1]) for g in groups.values()]
-        at = np.repeat(np.arange(len(rows), dtype="i4"), [len(r) for r in rows])
-        terms = np.concatenate([g[0] for g in groups.values()] or [np.zeros(0, "i4")]).astype("i4", copy=False)
-        value = np.concatenate(rows or [np.zeros(0)])
-        del rows, groups
-        # the longest lists: one row of all examples each; in 64 bits by example
-        size = np.bincount(terms, minlength=len(idf))
-        longest = np.argsort(-size, kind="stable")[:common]
+        self.ends = np.cumsum([0, *sizes]).tolist()
+        n, vocabulary = len(sizes), len(self.idf)
+        at = np.repeat(np.arange(n), sizes)
+        value = (1 + np.log(counts)) * self.idf[terms]
+        value /= np.sqrt(np.bincount(at, value * value, n))[at]
+        size = np.bincount(terms, minlength=vocabulary)
+        longest = np.argsort(-size, kind="stable")[:self.common + MORE]
         longest = longest[size[longest] > 0]
-        self.line = np.full(len(idf), -1, "i4")
-        self.line[longest] = np.arange(len(longest), dtype="i4")
-        self.long_part = np.zeros((len(self.number), len(longest)))
-        is_long = self.line[terms] >= 0
-        self.long_part[at[is_long], self.line[terms[is_long]]] = value[is_long]
-        self.lines = np.ascontiguousarray(self.long_part.T, "f4")
-        # 32-bit products and sums of non-negative numbers differ from the true ones by this share at most
-        self.error = (len(longest) + 8) * 2.0 ** -23
-        rest = np.flatnonzero(~is_long)
-        rest = rest[np.argsort(terms[rest], kind="stable")].astype("i4")  # rows are in order already
-        self.at, self.value = at[rest].astype("i8"), value[rest]  # the types that bincount adds in
-        self.lists = np.searchsorted(terms[rest], np.arange(len(idf) + 1))
+        self.rank = np.full(vocabulary, -1, "i4")
+        self.rank[longest] = np.arange(len(longest), dtype="i4")
+        self.longest, rank = longest, self.rank[terms]
+        # what may be made a row, in 64 bits by example
+        some = np.flatnonzero(rank >= 0)
+        self.ranks, self.part = rank[some].astype("i8"), value[some]
+        self.parts = np.searchsorted(some, self.ends).tolist()
+        # the longest lists: one row of all examples each
+        some = some[self.ranks < self.common]
+        self.lines = np.zeros((min(len(longest), self.common), n), "f4")
+        self.lines[rank[some], at[some]] = value[some]
+        # the others: by term, then by example
+        some = np.flatnonzero((rank < 0) | (rank >= self.common))
+        some = some[np.argsort(terms[some] * np.int64(max(1, n)) + at[some])]
+        self.at, self.value = at[some].astype(np.min_scalar_type(n)), value[some]
+        size[longest[:self.common]] = 0
+        self.size, self.lists = size, np.cumsum(size) - size
+        self.line = np.where(self.rank < self.common, self.rank, -1)
         self.curve = (np.array([0.0]), np.array([self.base]))
 
     def __reduce__(self):
         """Tasks get the examples and build the lists anew: a tenth of the bytes in every executor."""
-        vectors, labels, ids = self.parts
-        packer = zlib.compressobj(1)
-        packed = [packer.compress(v[i].astype("<i4", copy=False).tobytes()) for i in (0, 1) for v in vectors]
-        return unpacked, (b"".join([*packed, packer.flush()]), [len(v[0]) for v in vectors], labels, ids, self.weight, self.idf, self.k, self.common, self.curve)
+        flat = np.concatenate([self.terms, self.counts]).astype("<i4", copy=False)
+        return unpacked, (pa.compress(flat.tobytes(), "zstd", asbytes=True), self.sizes, self.members, self.ids, self.weight,
+                          self.idf, self.k, self.common, self.curve)
 
     def unit(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         w = (1 + np.log(counts)) * self.idf[terms]
@@ -142,79 +163,104 @@ class TermIndex:
         w = (1 + np.log(counts)) * idf
         return w / np.sqrt((w * w).sum()) * idf / self.idf[terms]
 
-    def line_sums(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """What the longest lists add to the similarities: a row for each query, given as (terms, weights)."""
-        left = np.zeros((len(queries), len(self.lines)), "f4")
-        for i, (terms, w) in enumerate(queries):
-            line = self.line[terms]
-            left[i, line[line >= 0]] = w[line >= 0]
-        return left @ self.lines
-
-    def nearest(self, terms: np.ndarray, counts: np.ndarray, without: int | None = None, w: np.ndarray | None = None,
-                sums: np.ndarray | None = None):
-        """(places, similarities) of the neighbours, nearest first; ``without`` leaves one example of a place out.
-
-        ``w``, ``sums``: this query's ``query_weights`` and row of ``line_sums``, if they are known already.
-        """
-        number = self.number
+    def line_sums(self, queries: list[tuple[np.ndarray, np.ndarray]]):
+        """What lists multiplied as rows add to the similarities: a row for each query, given as (terms, weights);
+        the share by which 32-bit sums differ from the true ones at most; and for each query the ranks and weights of
+        its terms with such lists, and which terms have others."""
+        n, long = len(self.number), len(self.lines)
+        ranks = [self.rank.take(t) for t, _ in queries]
+        times = np.bincount(np.concatenate(ranks) + 1, minlength=len(self.longest) + 1)[1:]
+        more = np.flatnonzero(times * self.size[self.longest] > n * (MULTIPLIED * len(queries) + MADE))  # no lines: size 0
+        line = np.full(len(self.longest) + 1, -1)  # the last: terms without a rank, -1
+        line[:long], line[more] = np.arange(long), np.arange(long, long + len(more))
+        rows, lists = np.zeros((len(more), n), "f4"), self.longest[more]
+        for row, a, size in zip(rows, self.lists[lists].tolist(), self.size[lists].tolist()):
+            row[self.at[a:a + size]] = self.value[a:a + size]
+        left, split = np.zeros((len(queries), long + len(more)), "f4"), []
+        for row, rank, (_, w) in zip(left, ranks, queries):
+            own = line.take(rank)
+            some = np.flatnonzero(own >= 0)
+            weights = w.take(some)
+            row[own.take(some)] = weights
+            split.append((rank.take(some), weights, np.flatnonzero(own < 0)))
+        sums = left[:, :long] @ self.lines
+        sums += left[:, long:] @ rows
+        return sums, (left.shape[1] + 8) * 2.0 ** -23, split  # products and sums of non-negative numbers
+
+    def nearest(self, terms: np.ndarray, counts: np.ndarray, without: int | None = None):
+        """(places, similarities, numbers of examples by place) of the neighbours, nearest first; ``without`` leaves
+        one example of a place out."""
+        number = self.number.copy()
         if without is not None:
-            number = number.copy()
             number[without] -= 1
-        w = self.query_weights(terms, counts) if w is None else w
-        line = self.line.take(terms)
-        listed = line < 0
-        short = terms[listed]
-        first = self.lists.take(short)
-        many = self.lists.take(short + 1) - first
-        at = spread(first, many)
-        added = np.repeat(w[listed], many)
-        added *= self.value.take(at)
-        rest = np.bincount(self.at.take(at), added, len(number))
-        sims = rest + (self.line_sums([(terms, w)])[0] if sums is None else sums)
-        if without is not None and not number[without]:
-            sims[without] = 0.0
-        some = np.flatnonzero(sims >= self._least(self._below(sims)))  # the k nearest are among them
-        near = some[sims[some] >= self._least(max(1e-9, self._kth(sims[some], number[some])))]
-        common = np.zeros(len(self.lines))
-        common[line[line >= 0]] = w[line >= 0]
-        exact = np.round(rest[near] + self.long_part[near] @ common, 9)
-        hit = np.flatnonzero(exact >= max(1e-9, round(self._kth(exact, number[near]), 9)))
-        hit = hit[np.lexsort((hit, -exact[hit]))]
-        return near[hit], exact[hit], number
-
-    def _least(self, floor: float) -> float:
+        return *next(self.nearest_of([(terms, self.query_weights(terms, counts))], [without])), number
+
+    def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], without: list[int | None]):
+        """(places, similarities) of the neighbours of each query, given as (terms, weights)."""
+        sims, error, split = self.line_sums(queries)
+        rest, common = np.empty(sims.shape), np.zeros(len(self.longest))
+        for row, (terms, w), (_, _, listed) in zip(rest, queries, split):
+            short = terms.take(listed)
+            many = self.size.take(short)
+            at = spread(self.lists.take(short), many)
+            added = np.repeat(w.take(listed), many)
+            added *= self.value.take(at)
+            row[:] = np.bincount(self.at.take(at), added, len(row))
+        sims += rest
+        for row, place in zip(sims, without):
+            if place is not None and self.number[place] == 1:
+                row[place] = 0.0
+        floor = np.broadcast_to(self._least(self._below(sims), error), len(queries))
+        query, place = np.nonzero(sims >= floor[:, None])  # the k nearest are among them
+        found, ends = sims[query, place], np.searchsorted(query, np.arange(len(queries) + 1)).tolist()
+        for i, ((ranks, weights, _), out) in enumerate(zip(split, without)):
+            near, some = place[ends[i]:ends[i + 1]], found[ends[i]:ends[i + 1]]
+            number = self.number.take(near)
+            if out is not None:
+                number -= near == out
+            keep = some >= self._least(self._kth(some, number), error)
+            near, number = near[keep], number[keep]
+            common[ranks] = weights
+            parts = [(self.parts[n], self.parts[n + 1]) for n in near.tolist()]
+            exact = np.round(rest[i].take(near) + [common.take(self.ranks[a:b]).dot(self.part[a:b]) for a, b in parts], 9)
+            common[ranks] = 0.0
+            order = np.argsort(-exact, kind="stable")
+            exact = exact.take(order)
+            last = int(np.searchsorted(np.cumsum(number.take(order)), self.k))
+            least = max(1e-9, exact[last] if last < len(exact) else 0.0)
+            many = int(np.searchsorted(-exact, -least, "right"))
+            yield near.take(order[:many]), exact[:many]
+
+    def _least(self, floor, error: float):
         """What an example must have by these sums if its true similarity may be ``floor``."""
-        return max(floor * (1 - 2 * self.error) - 2e-9, 5e-10)
+        return np.maximum(np.maximum(floor, 1e-9) * (1 - 2 * error) - 2e-9, 5e-10)
 
-    def _below(self, sims: np.ndarray) -> float:
-        """A bound that at least k examples reach: the k-th best of the best of stretches of examples."""
-        whole = len(sims) // STRETCH * STRETCH
+    def _below(self, sims: np.ndarray):
+        """A bound for each query that at least k examples reach: the k-th best of the best of stretches of examples."""
+        whole = sims.shape[1] // STRETCH * STRETCH
         if whole < self.k * STRETCH:
             return 0.0
-        best = sims[:whole].reshape(-1, STRETCH).max(1)
-        return float(np.partition(best, len(best) - self.k)[len(best) - self.k])
+        best = sims[:, :whole].reshape(len(sims), -1, STRETCH).max(2)
+        return np.partition(best, best.shape[1] - self.k, 1)[:, -self.k]
 
     def _kth(self, sims: np.ndarray, number: np.ndarray) -> float:
-        """Similarity of the k-th nearest example scored so far."""
-        some = np.flatnonzero((sims > 1e-9) & (number > 0))  # one left out is no neighbour
-        if len(some) > self.k:
-            least = np.partition(sims[some], len(some) - self.k)[len(some) - self.k]
-            some = some[sims[some] >= least]
-        order = some[np.argsort(-sims[some], kind="stable")]
-        have = np.cumsum(number[order])
-        i = int(np.searchsorted(have, self.k))
+        """Similarity of the k-th nearest of these examples."""
+        order = np.argsort(-sims, kind="stable")
+        i = int(np.searchsorted(np.cumsum(number.take(order)), self.k))  # one left out counts for none
         return float(sims[order[i]]) if i < len(order) else 0.0
 
-    def vote(self, terms: np.ndarray, counts: np.ndarray, leave_out: int | None = None, w: np.ndarray | None = None,
-             sums: np.ndarray | None = None):
-        """(share of toxic votes, neighbours as (id, similarity)); ``leave_out`` is the label of the query itself."""
+    def vote(self, terms: np.ndarray, counts: np.ndarray, leave_out: int | None = None, found=None):
+        """(share of toxic votes, neighbours as (id, similarity)); ``leave_out`` is the label of the query itself.
+
+        ``found``: its neighbours by ``nearest_of``, if they are known already.
+        """
         key = vector_key(terms, counts) if leave_out is not None or not len(terms) else None
         own = self.place.get(key) if leave_out is not None else None
         if not len(terms):
             hits, sims = np.array([self.place[key]] if key in self.place else [], "i8"), np.ones(1)
             sims = sims[:len(hits)]
         else:
-            hits, sims, _ = self.nearest(terms, counts, own, w, sums)
+            hits, sims = found or self.nearest(terms, counts, own)[:2]
         votes = self.votes[hits].copy()
         if own is not None:
             votes[hits == own, leave_out] -= self.weight[leave_out]
@@ -230,16 +276,16 @@ class TermIndex:
         """
         if not len(labels):
             return
-        places: dict[tuple, list[int]] = {}
+        equal: dict[tuple, list[int]] = {}
         for i, ((t, c), label) in enumerate(zip(vectors, labels)):
-            places.setdefault((vector_key(t, c), label), []).append(i)
-        x, todo = np.zeros(len(labels)), list(places.values())
-        for start in range(0, len(todo), QUERIES):
-            some = [(same, *vectors[same[0]], labels[same[0]]) for same in todo[start:start + QUERIES]]
+            equal.setdefault((vector_key(t, c), label), []).append(i)
+        x, todo = np.zeros(len(labels)), list(equal.values())
+        for block in alike([vectors[same[0]] for same in todo]):
+            some = [(same, *vectors[same[0]], labels[same[0]]) for same in (todo[i] for i in block)]
             weights = [self.query_weights(t, c, weigh(t, label) if weigh else None) for _, t, c, label in some]
-            sums = self.line_sums([(t, w) for (_, t, _, _), w in zip(some, weights)])
-            for (same, t, c, label), w, row in zip(some, weights, sums):
-                x[same] = self.vote(t, c, label, w, row)[0]
+            places = [self.place.get(vector_key(t, c)) for _, t, c, _ in some]
+            for (same, t, c, label), found in zip(some, self.nearest_of([(t, w) for (_, t, _, _), w in zip(some, weights)], places)):
+                x[same] = self.vote(t, c, label, found)[0]
         y, w = np.array(labels, "f8"), np.array(self.weight)[np.array(labels)]
         order = np.argsort(x, kind="stable")
         pools: list[list[float]] = []  # (largest share, weight, toxic weight, smallest share)
@@ -256,25 +302,30 @@ class TermIndex:
 
     def scores(self, vectors: list[tuple[np.ndarray, np.ndarray]]):
         """``score`` of every vector, in order."""
-        for i in range(0, len(vectors), QUERIES):
-            some = [(t, c, self.unit(t, c)) for t, c in vectors[i:i + QUERIES]]
-            for (t, c, w), sums in zip(some, self.line_sums([(t, w) for t, _, w in some])):
-                yield self.score(t, c, w, sums)
-
-    def score(self, terms: np.ndarray, counts: np.ndarray, w: np.ndarray | None = None, sums: np.ndarray | None = None):
+        out: list = [None] * len(vectors)
+        for block in alike(vectors):
+            queries = [(vectors[i][0], self.unit(*vectors[i])) for i in block]
+            for i, found in zip(block, self.nearest_of(queries, [None] * len(block))):
+                out[i] = self.score(*vectors[i], found)
+        return out
+
+    def score(self, terms: np.ndarray, counts: np.ndarray, found=None):
         """(probability, neighbours)."""
-        share, near = self.vote(terms, counts, w=w, sums=sums)
+        share, near = self.vote(terms, counts, found=found)
         if not near:
             return self.base, near
         # a small slope keeps the order of shares inside a level part of the curve
         return float(min(1.0, max(0.0, 0.98 * np.interp(share, *self.curve) + 0.02 * share))), near
 
 
-def unpacked(packed: bytes, sizes: list[int], labels, ids, weight, idf, k, common, curve) -> TermIndex:
+def unpacked(packed: bytes, sizes, members, ids, weight, idf, k, common, curve) -> TermIndex:
     """The index of ``TermIndex.__reduce__``."""
-    flat, ends = np.frombuffer(zlib.decompress(packed), "<i4").reshape(2, -1), np.cumsum(sizes)
-    index = TermIndex([(flat[0, e - n:e], flat[1, e - n:e]) for n, e in zip(sizes, ends)], labels, ids, weight, idf, k, common)
-    index.curve, index.parts = curve, None  # a task sends it no further
+    index = TermIndex.__new__(TermIndex)
+    index.idf, index.k, index.common = idf, k, common
+    terms, counts = np.frombuffer(pa.decompress(packed, 8 * sum(sizes), "zstd"), "<i4").reshape(2, -1)
+    index.build(terms, counts, sizes, members, ids, weight)
+    index.place = {vector_key(terms[e - n:e], counts[e - n:e]): i for i, (n, e) in enumerate(zip(sizes, index.ends[1:]))}
+    index.curve, index.terms, index.counts = curve, None, None  # a task sends it no further
     return index
 
 
@@ -290,9 +341,14 @@ def vector_udf(terms: list[str]):
     """
     @F.pandas_udf("binary")
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        place = {t: i for i, t in enumerate(terms)}
-        stems = sorted({len(t) - 1 for t in terms if t[0] == STEM})
-        number, wide = place.get, 1 + len(stems)
+        place: dict[str, int] = {}
+        stems: dict[int, dict[str, int]] = {n: {} for n in sorted({len(t) - 1 for t in terms if t[0] == STEM})}
+        for i, t in enumerate(terms):
+            if t[0] == STEM:
+                stems[len(t) - 1][t[1:]] = i
+            else:
+                place[t] = i
+        wide = 1 + len(stems)
         memo: dict[str, int] = {}  # words to rows of the table of their terms' numbers, -1 behind the last
         table, chars = np.empty((MEMO, wide), "i4"), 0
 
@@ -302,15 +358,16 @@ def vector_udf(terms: list[str]):
                 text = text.replace(mark, " ")
             return text
 
-        def terms_of(word: str) -> list[int]:
-            """Numbers of the word's terms, repeats included."""
-            found = [] if (i := number(word)) is None else [i]
-            length = len(word)
-            for size in stems:
-                if size >= length or (i := number(STEM + word[:size])) is None:
-                    break  # an example's word with a longer stem has this one as well
-                found.append(i)
-            return found + [-1] * (wide - len(found))
+        def terms_of(words: list[str]) -> np.ndarray:
+            """Numbers of the words' terms, repeats included: a row for each word."""
+            found = np.full((len(words), wide), -1, "i4")
+            found[:, 0] = [place.get(w, -1) for w in words]
+            left, length = np.arange(len(words)), np.fromiter(map(len, words), "i8", len(words))
+            for column, (size, of) in enumerate(stems.items(), 1):
+                left = left[length[left] > size]
+                some = found[left, column] = np.array([of.get(words[i][:size], -1) for i in left.tolist()], "i4")
+                left = left[some >= 0]  # an example's word with a longer stem has the shorter ones as well
+            return found
 
         def rows_of(words: list[str]) -> np.ndarray:
             """The table's rows of the words."""
@@ -323,7 +380,7 @@ def vector_udf(terms: list[str]):
                 have, new = len(memo), list(dict.fromkeys(w for w, i in zip(words, ids) if i is None))
                 while have + len(new) > len(table):
                     table = np.concatenate([table, np.empty_like(table)])
-                table[have:have + len(new)] = [terms_of(w) for w in new]
+                table[have:have + len(new)] = terms_of(new)
                 memo.update(zip(new, range(have, have + len(new))))
                 chars += sum(map(len, new))
                 ids = list(map(memo.get, words))
@@ -333,7 +390,7 @@ def vector_udf(terms: list[str]):
             """All texts of a batch at once: its tokens are told apart and looked up once."""
             split = pc.ascii_split_whitespace(pa.array([plain(t) for t in texts], pa.large_string()))
             tokens = split.flatten().dictionary_encode()
-            every = tokens.dictionary.to_pylist()
+            every = tokens.dictionary.to_numpy(zero_copy_only=False).tolist()
             words = [[t] if t.isalpha() else WORD.findall(t) for t in every]
             many = np.fromiter(map(len, words), "i8", len(words))
             row, start = rows_of(list(chain.from_iterable(words))), np.cumsum(many) - many

@@ -226,3 +226,46 @@ def test_a_batch_looks_its_tokens_up_once(spark, monkeypatch):
     assert got[:200] == [{1: 1, 2: i + 1, 3: 1} for i in range(200)]
     assert got[200:] == [{}, {}, {}, {1: 2, 2: 1}]
     assert len(seen) == len(set(seen)) <= 8
+
+
+def test_lists_that_a_block_has_in_common_are_rows_for_it(monkeypatch):
+    """Queries scored together gather few postings: their common terms are multiplied, with the results of each alone."""
+    rnd = random.Random(12)
+    rows = vectors(rnd, 600)
+    rows += rows[:40]
+    labels = [rnd.randint(0, 1) for _ in rows]
+    idf = np.array([rnd.uniform(1, 5) for _ in range(40)])
+    index = TermIndex(rows, labels, list(range(len(rows))), (1.0, 2.0), idf, k=5, common=5)
+    queries = [q for q in vectors(rnd, 300) + rows[:50] if len(q[0])]
+    gathered, spread = [], toxicity.spread
+    monkeypatch.setattr(toxicity, "spread", lambda starts, lengths: gathered.append(int(lengths.sum())) or spread(starts, lengths))
+    alone = [index.score(*q) for q in queries]
+    postings = sum(gathered)
+    gathered.clear()
+    assert list(index.scores(queries)) == alone
+    assert sum(gathered) < postings / 4
+    own = [index.place.get(toxicity.vector_key(*q)) for q in queries]
+    for q, out, (hits, sims) in zip(queries, own, index.nearest_of([(q[0], index.unit(*q)) for q in queries], own)):
+        one = index.nearest(*q, out)
+        assert hits.tolist() == one[0].tolist() and sims.tolist() == one[1].tolist()
+
+
+def test_new_words_of_a_batch_are_looked_up_level_by_level(spark):
+    """A stem is looked up only for words that have the shorter ones, and none needs the mark of stems in front."""
+    terms = ["^nast", "^nasty", "^nastyw", "^sunn", "nasty", "nastywords", "sunny"]
+    made = []
+
+    class Marked(str):
+        def __add__(self, other):
+            made.append(other)
+            return str.__add__(self, other)
+
+    mark, toxicity.STEM = toxicity.STEM, Marked(STEM)
+    try:
+        udf = vector_udf(terms).func
+        got = next(udf(iter([pd.Series(["nasty nastyword sunny", "nastywords sun sunnier nas", ""])])))
+    finally:
+        toxicity.STEM = mark
+    assert [dict(zip(*(x.tolist() for x in unpack(v)))) for v in got] == [
+        {0: 2, 1: 1, 2: 1, 3: 1, 4: 1, 6: 1}, {0: 1, 1: 1, 2: 1, 3: 1, 5: 1}, {}]
+    assert not made
